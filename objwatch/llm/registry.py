@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from objwatch.llm import exact_dedup, packing, pii, transport
+from objwatch.llm import exact_dedup, language, packing, pii, quality, transport
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_quality": quality.op4_quality,
     "op5_pii": pii.op5_pii,
     "op6_media": transport.op6_media,
     "op8_packing": packing.op8_packing,
