@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from objwatch.llm import exact_dedup, language, packing, pii, quality, transport
+from objwatch.llm import exact_dedup, jaccard, language, packing, pii, quality, transport
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op6_media": transport.op6_media,
     "op8_packing": packing.op8_packing,
+    "op9_jaccard": jaccard.op9_jaccard,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
