@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from objwatch.llm import exact_dedup, jaccard, language, packing, pii, quality, transport
+from objwatch.llm import exact_dedup, extraction, jaccard, language, packing, pii, quality, substring, transport
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -10,8 +10,10 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_pii": pii.op5_pii,
     "op6_media": transport.op6_media,
+    "op7_substring": substring.op7_substring,
     "op8_packing": packing.op8_packing,
     "op9_jaccard": jaccard.op9_jaccard,
+    "op10_extraction": extraction.op10_extraction,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
