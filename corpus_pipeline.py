@@ -1,25 +1,58 @@
-"""From raw documents to packed sequences: quality, exact and near duplicates, mixing, packing."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept; docs has
+the columns of documents, and so has what each stage but the last returns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from objwatch.llm import exact_dedup, packing
+from objwatch.llm import exact_dedup, jaccard, mixing, packing, quality
 from objwatch.llm.common import fresh_path, table
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of at least one half; the rest go."""
+    labels = table(spark, sf_dir, "labels").where("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1, true)")
+    model = quality.train(docs, labels)
+    return quality.score(docs, model).where("score >= 0.5").select(docs.columns)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the smallest doc_id."""
     return exact_dedup.drop_duplicates(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share four fifths of their five-word shingles, over any number of steps, the one with the smallest doc_id."""
+    return jaccard.drop_near_duplicates(docs, jaccard.Join(n=5, percent=80))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The flattest mix of sources in which none is read more than one and a half times as often as the largest, which is read once.
+
+    No document is left out; those that are taken twice are in the result twice.
+    """
+    return mixing.Mix(repetition=1.5).realise(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 2048 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("exact dedup", exact), ("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", keep_distinct),
+    ("n-gram Jaccard join", keep_dissimilar),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What each stage returns is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = fresh_path(spark, f"stage{k}")
@@ -28,4 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-ORACLE_SQL = None  # the tokeniser and the classifier have no SQL form
+#: The classifier and the tokeniser have no SQL form; tests hold the stages against brute force.
+ORACLE_SQL = None

@@ -21,53 +21,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from objwatch.llm.common import cut_lineage, flag_members, membership_filter, table, without_ids
+from objwatch.llm.rolling import mixed, powers
 
 FRAGMENTS = 8
 #: Places of the frequency levels, which are broadcast: one byte each.
 LEVEL_SLOTS = 1 << 20
 #: N-grams that a task counts together, and the count from which it reports one. Only the order depends on it.
 COUNTED, REPORTED = 2_000_000, 8
+#: Bits of a set's parity signature.
+PARITY_BITS = 2048
 BLOCK_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0xD1342543DE82EF95)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _MIX = _RNG.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_STEP, _BACK)):
-            _POWERS[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n * 5 // 4, base))])
-    return _POWERS
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
 
 
 def _block_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     data = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)  # bytes.lower() changes A-Z only
     ends_of_docs = np.cumsum([len(t) + 1 for t in texts])
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
     space = _SPACE[data]
     start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     end = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-    words = _mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    words = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
     doc = np.searchsorted(ends_of_docs, start, "right")
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for k in range(n):
         grams += words[k : len(grams) + k] * _MIX[k]
-    grams = _mixed(grams)
+    grams = mixed(grams)
     out = []
     for a, b in zip(first, first[1:], strict=False):
         if b - a >= n:
@@ -75,7 +62,7 @@ def _block_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
             g.sort()
             out.append(g[np.concatenate([[True], g[1:] != g[:-1]])])
         elif b > a:  # fewer words: all of them are the one gram
-            out.append(_mixed(np.array([np.uint64(b - a) + (words[a:b] * _MIX[n : n + b - a]).sum()], np.uint64)))
+            out.append(mixed(np.array([np.uint64(b - a) + (words[a:b] * _MIX[n : n + b - a]).sum()], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -137,23 +124,32 @@ class Join:
         return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, d0 bigint, d1 bigint, slot bigint, hot bigint")
 
     def prefixes(self, docs: DataFrame, level: np.ndarray) -> DataFrame:
-        """(doc_id, n, grams): the prefix of each set in the global order, which is (level, hash)."""
+        """(doc_id, n, grams, parity): the prefix of each set in the global order, which is (level, hash).
+
+        parity has for each of PARITY_BITS ranges of the hash order whether the set has an odd
+        number of n-grams in it. Two sets differ in at least as many n-grams as their parities in bits.
+        """
+        shift = np.uint64(64 - PARITY_BITS.bit_length() + 1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
-                    sizes, own = [], []
+                    sizes, own, parity = [], [], []
                     for s in gram_sets(part["text"].to_pylist(), self.n):
                         sizes.append(len(s))
                         levels = level[(s % np.uint64(LEVEL_SLOTS)).astype(np.int64)]
                         ordered = s[np.argsort(levels, kind="stable")] if levels.any() else s
                         own.append(ordered[: self.prefix(len(s)) if len(s) else 0])
+                        odd = np.bincount((s >> shift).astype(np.int64), minlength=PARITY_BITS) & 1
+                        parity.append(np.packbits(odd.astype(bool)).view(np.int64))
                     ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
                     grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes, pa.int64()), grams], ["doc_id", "n", "grams"])
+                    starts = np.arange(len(own) + 1, dtype=np.int32) * (PARITY_BITS // 64)
+                    parities = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(parity)))
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes, pa.int64()), grams, parities], ["doc_id", "n", "grams", "parity"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, grams array<bigint>")
+        return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, grams array<bigint>, parity array<bigint>")
 
     def fragments(self, docs: DataFrame) -> DataFrame:
         """(id, fragment, part): each set cut at fixed places of the hash order."""
@@ -177,13 +173,20 @@ class Join:
 
         return docs.select("doc_id", "text").mapInArrow(run, "id bigint, fragment int, part array<bigint>")
 
-    def links(self, docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar. Texts are read again for the sets that occur in a pair; sizes is (id, n)."""
-        size_a, size_b = (sizes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-        sized = cut_lineage(pairs.join(size_a, "a").join(size_b, "b").where(self.close_sizes("n_a", "n_b")))
+    def links(self, docs: DataFrame, pairs: DataFrame, facts: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar. facts is (id, n, parity).
+
+        Sizes and parities rule pairs out that cannot be; for the rest, texts are read again.
+        """
+        size_a, size_b = (facts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+        parity_a, parity_b = (facts.select(F.col("id").alias(x), F.col("parity").alias(f"p_{x}")) for x in "ab")
+        sized = pairs.join(size_a, "a").join(size_b, "b").where(self.close_sizes("n_a", "n_b"))
+        apart = "aggregate(zip_with(p_a, p_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+        sized = sized.join(parity_a, "a").join(parity_b, "b").where(f"{apart} * {100 + self.percent} <= (n_a + n_b) * {100 - self.percent}").drop("p_a", "p_b")
+        sized = cut_lineage(sized)
         ids = sized.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         wanted = flag_members(docs.select("doc_id", "text"), "doc_id", membership_filter(ids, "id")).where("_maybe")
-        parts = cut_lineage(self.fragments(wanted).join(ids, "id", "left_semi"))
+        parts = cut_lineage(self.fragments(wanted))
         left = parts.select(F.col("id").alias("a"), "fragment", F.col("part").alias("part_a"))
         right = parts.select(F.col("id").alias("b"), "fragment", F.col("part").alias("part_b"))
         each = sized.join(left, "a").join(right, ["b", "fragment"])
@@ -207,22 +210,22 @@ class Join:
         rows = found.where("slot is null").select("doc_id", "n", "d0", "d1")
         reps = rows.where("n > 0 and doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"))
         reps = cut_lineage(reps)
-        sizes = reps.select("id", "n")
 
-        named = self.prefixes(docs, level).join(sizes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        named = self.prefixes(docs, level).join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
         prefixes = cut_lineage(named.dropDuplicates(["doc_id"]))
+        facts = prefixes.select(F.col("doc_id").alias("id"), "n", "parity")
         grams = prefixes.select(F.col("doc_id").alias("id"), F.explode("grams").alias("gram"))
         # buckets with more than one set; hot n-grams combine before the shuffle
         live = cut_lineage(grams.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("gram", "a"))
-        near = flag_members(grams, "gram", membership_filter(live, "gram", 1 << 24)).where("_maybe").drop("_maybe")
+        near = flag_members(grams, "gram", membership_filter(live, "gram", 1 << 24), bits=1 << 24).where("_maybe").drop("_maybe")
         members = cut_lineage(near.join(live, "gram").select("gram", "a", F.col("id").alias("b")))
 
         star = members.where("a <> b").select("a", "b").distinct()
-        links = self.links(docs, star, sizes)
+        links = self.links(docs, star, facts)
         label = connected(links)
-        across = self._across(members, label, sizes)
+        across = self._across(members, label, facts.select("id", "n"))
         if not across.isEmpty():
-            label = connected(links.unionByName(self.links(docs, across, sizes)))
+            label = connected(links.unionByName(self.links(docs, across, facts)))
         named = reps.join(label, "id", "left").select("d0", "d1", F.coalesce("label", "id").alias("component_id"))
         out = rows.join(named, ["d0", "d1"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -10,6 +10,7 @@ the pieces of its length, which is counted in parallel.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,37 +25,100 @@ from objwatch.llm.common import cut_lineage, table
 
 CAPACITY = 2048
 END_ID = 0
-#: Distinct words whose ids a worker keeps; it starts anew beyond that.
-WORD_CACHE = 150_000
+#: Distinct words, and runs of letters, whose ids a worker keeps: twice as many at most.
+WORD_CACHE, LETTER_CACHE = 120_000, 200_000
 #: Rows of one length that one window of ranks holds, about.
 RANK_ROWS = 20_000
 
 
+class _Cache:
+    """A dictionary that forgets what was not asked for lately: what is found among the old moves to the young."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def renew(self) -> None:
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        out = []
+        for k in keys.difference(self.young):
+            if (v := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self.young[k] = v
+        return out
+
+
+#: Letters, then ASCII symbols other than the apostrophe, which begins tokens with letters.
+LETTERS_SYMBOLS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordTokenizer:
     """Token ids of whole texts, by way of the ids of their words.
 
     The vocabulary's pre-tokeniser never joins characters across a space or line feed and its
-    normaliser has no rule that looks across one, so a text's ids are its words' ids in order.
+    normaliser has no rule that looks across one, so a text's ids are its words' ids in order. It
+    parts letters from symbols, too, and makes letters lower case: words of Latin letters and
+    symbols are the ids of their letters in lower case and those of their symbols.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {"": b""}
+        self.words, self.letters = _Cache(WORD_CACHE), _Cache(LETTER_CACHE)
+        self.symbols: dict[str, bytes] = {"": b""}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _of_letters(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters; joined by spaces, they are one text whose ids the ends of words part."""
+        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(runs):
+            return self._each(runs)
+        raw = ids.tobytes()
+        cuts = [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        parted, whole, runs = [], [], set()
+        for w in new:
+            m = LETTERS_SYMBOLS.fullmatch(w)
+            if m and (m[1].isascii() or max(m[1]) < "\u0250" and "\u0130" not in m[1]) and m[1].isalpha():
+                run = m[1].lower()
+                runs.add(run)
+                parted.append((w, run, m[2]))
+            else:
+                whole.append(w)
+        unseen = self.letters.missing(runs)
+        for i in range(0, len(unseen), 2000):
+            part = unseen[i : i + 2000]
+            self.letters.young.update(zip(part, self._of_letters(part), strict=True))
+        if len(self.symbols) > 10_000:
+            self.symbols = {"": b""}
+        signs = list({s for _, _, s in parted}.difference(self.symbols))
+        self.symbols.update(zip(signs, self._each(signs), strict=True))
+        young, letters, symbols = self.words.young, self.letters.young, self.symbols
+        for w, run, s in parted:
+            young[w] = letters[run] + symbols[s]
+        for i in range(0, len(whole), 20_000):
+            part = whole[i : i + 20_000]
+            young.update(zip(part, self._each(part), strict=True))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids and END_ID, as little-endian unsigned 32-bit numbers."""
         end = END_ID.to_bytes(4, "little")
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.ids) > WORD_CACHE:
-            self.ids = {"": b""}
-        new = list(set().union(*words).difference(self.ids))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.ids.__getitem__
+        self.words.renew()
+        self.letters.renew()
+        self._learn(self.words.missing(set().union(*words)))
+        get = self.words.young.__getitem__
         for w in words:
             yield b"".join(map(get, w)) + end
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from objwatch.llm import exact_dedup, extraction, jaccard, language, packing, pii, quality, substring, transport
+from objwatch.llm import exact_dedup, extraction, jaccard, language, mixing, packing, pii, quality, substring, transport
 
 QUERIES = {
     "op1_language": language.op1_language,
+    "op2_mixing": mixing.op2_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality": quality.op4_quality,
     "op5_pii": pii.op5_pii,
@@ -16,5 +17,6 @@ QUERIES = {
     "op10_extraction": extraction.op10_extraction,
 }
 ORACLE_SQL = {
+    "op2_mixing": mixing.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
 }

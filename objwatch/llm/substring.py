@@ -6,17 +6,19 @@ first by (doc_id, position) stays; sentences that any other one covers are remov
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from objwatch.llm.common import cut_lineage, flag_members, membership_filter, table
+from objwatch.llm.rolling import mixed, powers
 
 #: A sentence ends with a line or after . ! ? and what closes it, where white space follows; it owns that white space.
 SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|$)[^\n.!?]*)*(?:[.!?]+\s*|\n\s*|$)")
@@ -37,24 +39,25 @@ class SpanDedup:
     span: int = 2
     min_words: int = 20
 
-    def runs(self, parts: list[str]) -> list[tuple[int, int, bytes]]:
-        """(first, end, digest) of each run: from every sentence on, the shortest that is long enough; and up to every sentence."""
+    def runs(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """first, end and two 64-bit hashes of each run: from every sentence on, the shortest that is long enough; and up to every sentence."""
         words = [s.split() for s in parts]
-        keys = [" ".join(w).lower() for w in words]
-        real = [i for i, w in enumerate(words) if w]  # blank parts belong to no run
-        count = np.cumsum([0, *(len(words[i]) for i in real)])
-        found = set()
+        real = np.array([i for i, w in enumerate(words) if w], np.int64)  # blank parts belong to no run
         n = len(real)
-        for a in range(n):
-            b = max(a + self.span, int(np.searchsorted(count, count[a] + self.min_words)))
-            if b <= n:
-                found.add((a, b))
-        for b in range(n, 0, -1):
-            a = min(b - self.span, int(np.searchsorted(count, count[b] - self.min_words, "right")) - 1)
-            if a < 0:
-                break
-            found.add((a, b))
-        return [(real[a], real[b - 1] + 1, hashlib.blake2b("\n".join(keys[i] for i in real[a:b]).encode(), digest_size=16).digest()) for a, b in sorted(found)]
+        if n < self.span:
+            return real[:0], real[:0], np.zeros((0, 2), np.int64)
+        digests = b"".join(xxhash.xxh3_128_digest(" ".join(words[i]).lower().encode()) for i in real)
+        count = np.cumsum([0, *(len(words[i]) for i in real)])
+        at = np.arange(n)
+        on = np.maximum(at + self.span, np.searchsorted(count, count[:-1] + self.min_words))
+        back = np.minimum(at + 1 - self.span, np.searchsorted(count, count[1:] - self.min_words, "right") - 1)
+        pairs = np.unique(np.concatenate([(at * (n + 1) + on)[on <= n], (back * (n + 1) + at + 1)[back >= 0]]))
+        a, b = pairs // (n + 1), pairs % (n + 1)
+        up, down = powers(n + 1)
+        sums = np.zeros((n + 1, 2), np.uint64)
+        np.cumsum(np.frombuffer(digests, np.uint64).reshape(-1, 2) * up[:n, None], axis=0, out=sums[1:])
+        h = mixed((sums[b] - sums[a]) * down[a][:, None] + (b - a)[:, None].astype(np.uint64))
+        return real[a], real[b - 1] + 1, h.view(np.int64)
 
     def spans(self, docs: DataFrame) -> DataFrame:
         """(doc_id, first, end, h0, h1): the runs of all texts."""
@@ -63,26 +66,19 @@ class SpanDedup:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    ids, first, end, digest = [], [], [], []
-                    for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                        for a, b, h in self.runs(sentences(text)):
-                            ids.append(doc)
-                            first.append(a)
-                            end.append(b)
-                            digest.append(h)
-                    h = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "first", "end", "h0", "h1"])
+                    found = [self.runs(sentences(t)) for t in part["text"].to_pylist()]
+                    ids = np.repeat(part["doc_id"].to_numpy(), [len(a) for a, _, _ in found])
+                    first, end, h = (np.concatenate([x[k] for x in found]) for k in range(3))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "first", "end", "h0", "h1"])
 
         return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, first int, end int, h0 bigint, h1 bigint")
 
     def covered(self, docs: DataFrame) -> DataFrame:
         """(doc_id, covered): for documents with a repeat that is not the first, the ranges [first, end) of sentences to remove."""
-        at = F.struct("doc_id", "first")
-        # the place of the first occurrence as one number cannot be; two numbers keep the aggregation in hash tables
         marked = self.spans(docs)
         counts = marked.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep_doc")).where("n > 1")
         counts = cut_lineage(counts.select("h0", "h1", "keep_doc"))
-        maybe = flag_members(marked, "h0", membership_filter(counts, "h0", 1 << 24)).where("_maybe").drop("_maybe")
+        maybe = flag_members(marked, "h0", membership_filter(counts, "h0", 1 << 24), bits=1 << 24).where("_maybe").drop("_maybe")
         hits = cut_lineage(maybe.join(counts, ["h0", "h1"]))
         own = hits.where("doc_id = keep_doc").groupBy("h0", "h1").agg(F.min("first").alias("keep_first"))
         gone = hits.join(own, ["h0", "h1"]).where(~((F.col("doc_id") == F.col("keep_doc")) & (F.col("first") == F.col("keep_first"))))
@@ -102,7 +98,7 @@ class SpanDedup:
         kept = docs.columns
         passed = flagged.where("not _maybe").select(*kept, F.expr("cast(null as array<struct<first:int, end:int>>)").alias("covered"))
         checked = flagged.where("_maybe").join(covered, "doc_id", "left").select(*kept, "covered")
-        schema = docs.schema.add("n_sentences", "bigint").add("n_removed", "bigint")
+        schema = StructType([*docs.schema.fields, StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
