@@ -10,6 +10,7 @@ the pieces of its length, which is counted in parallel.
 from __future__ import annotations
 
 import bisect
+import gc
 import re
 import zlib
 from collections import defaultdict
@@ -26,7 +27,7 @@ from objwatch.llm.common import cut_lineage, table
 CAPACITY = 2048
 END_ID = 0
 #: Distinct words, and runs of letters, whose ids a worker keeps: twice as many at most.
-WORD_CACHE, LETTER_CACHE = 120_000, 200_000
+WORD_CACHE, LETTER_CACHE = 160_000, 300_000
 #: Rows of one length that one window of ranks holds, about.
 RANK_ROWS = 20_000
 
@@ -51,8 +52,8 @@ class _Cache:
         return out
 
 
-#: Letters, then ASCII symbols other than the apostrophe, which begins tokens with letters.
-LETTERS_SYMBOLS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: A line of Latin letters and then of ASCII symbols other than the apostrophe, which begins tokens with letters; or any line.
+LETTERS_SYMBOLS = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)|.*)$", re.M)
 
 
 class WordTokenizer:
@@ -78,7 +79,7 @@ class WordTokenizer:
 
     def _of_letters(self, runs: list[str]) -> list[bytes]:
         """Ids of runs of letters; joined by spaces, they are one text whose ids the ends of words part."""
-        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(runs):
             return self._each(runs)
@@ -87,26 +88,21 @@ class WordTokenizer:
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, new: list[str]) -> None:
-        parted, whole, runs = [], [], set()
-        for w in new:
-            m = LETTERS_SYMBOLS.fullmatch(w)
-            if m and (m[1].isascii() or max(m[1]) < "\u0250" and "\u0130" not in m[1]) and m[1].isalpha():
-                run = m[1].lower()
-                runs.add(run)
-                parted.append((w, run, m[2]))
-            else:
-                whole.append(w)
+        parts = LETTERS_SYMBOLS.findall("\n".join(new).lower()) if new else []
+        runs, signs = (set(x) for x in zip(*parts, strict=True)) if parts else (set(), set())
+        runs.discard("")
         unseen = self.letters.missing(runs)
         for i in range(0, len(unseen), 2000):
             part = unseen[i : i + 2000]
             self.letters.young.update(zip(part, self._of_letters(part), strict=True))
         if len(self.symbols) > 10_000:
             self.symbols = {"": b""}
-        signs = list({s for _, _, s in parted}.difference(self.symbols))
-        self.symbols.update(zip(signs, self._each(signs), strict=True))
+        fresh = list(signs.difference(self.symbols))
+        self.symbols.update(zip(fresh, self._each(fresh), strict=True))
         young, letters, symbols = self.words.young, self.letters.young, self.symbols
-        for w, run, s in parted:
-            young[w] = letters[run] + symbols[s]
+        letters[""] = b""
+        young.update(zip(new, [letters[run] + symbols[s] for run, s in parts], strict=True))
+        whole = [w for w, (run, _) in zip(new, parts, strict=True) if not run and w]
         for i in range(0, len(whole), 20_000):
             part = whole[i : i + 20_000]
             young.update(zip(part, self._each(part), strict=True))
@@ -141,10 +137,13 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = WordTokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 rows: list[tuple] = []
-                for doc, ids in zip(part["doc_id"].to_pylist(), _TOKENIZERS[path].encode(part["text"].to_pylist()), strict=True):
+                gc.disable()  # nothing here makes cycles, and each collection would walk the caches
+                encoded = list(_TOKENIZERS[path].encode(part["text"].to_pylist()))
+                gc.enable()
+                for doc, ids in zip(part["doc_id"].to_pylist(), encoded, strict=True):
                     for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[s : s + 4 * capacity]
                         rows.append((doc, k, s // 4, len(cut) // 4, zlib.crc32(cut)))
