@@ -1 +1 @@
-
+"""Scalar functions with the monitor's semantics."""

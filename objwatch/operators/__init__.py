@@ -1 +1 @@
-
+"""Objects, temporal access, activation, rules, quantifiers and verdicts."""

@@ -1 +1 @@
-
+"""Distributed orderings, and the registered queries."""

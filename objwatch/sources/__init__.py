@@ -1 +1 @@
-
+"""Traces in, verdicts out."""

@@ -1 +1 @@
-
+"""The monitor on Structured Streaming."""
