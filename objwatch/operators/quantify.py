@@ -235,20 +235,19 @@ def expand(intervals: DataFrame, cycles: DataFrame, at: str, span: int) -> DataF
     return points.join(dealt, (F.col("_point") == F.col("_span")) & (F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi"))).drop("_point", "_span", "lo", "hi")
 
 
-def inner(objs: ObjectSet, name: str, found: DataFrame, at: str, end: int, some: bool) -> DataFrame:
-    """(lo, hi, name__key): where, for an outer object, some (or no) intervals of found hold.
+def inner(outer: DataFrame, found: DataFrame, keys: list[str], some: bool) -> DataFrame:
+    """(lo, hi, keys): where an outer binding holds and some (or no) interval of found does.
 
-    found is (lo, hi, name__key, ...): satisfying bindings of the inner quantifier, or violating ones.
-    exists-in-exists takes satisfying and some; forall-in-exists takes violating and not some.
+    outer is (lo, hi, keys); found is (lo, hi, keys, ...): satisfying bindings of the inner quantifier, or violating
+    ones. exists-in-exists takes satisfying ones and some; forall-in-exists takes violating ones and not some.
     """
-    keys = [f"{name}__{k}" for k in objs.keys]
+    both = outer.select("lo", "hi", *keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(found.select("lo", "hi", *keys, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
     edge = F.explode(F.array(F.struct(F.col("lo").alias("p"), F.lit(1).alias("d")), F.struct(F.col("hi").alias("p"), F.lit(-1).alias("d"))))
-    edges = found.select(*keys, edge.alias("x")).select(*keys, "x.p", "x.d")
-    starts = objs.rows.groupBy(*objs.keys).agg(F.min(at).alias("p")).select(*[F.col(k).alias(f"{name}__{k}") for k in objs.keys], "p", F.lit(0).alias("d"))
-    sums = edges.unionByName(starts).groupBy(*keys, "p").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("p")
-    steps = sums.withColumn("n", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.coalesce(F.lead("p").over(w), F.lit(end)))
-    return steps.where((F.col("n") > 0) if some else (F.col("n") == 0)).where("p < hi").select(F.col("p").alias("lo"), "hi", *keys)
+    sums = both.select(*keys, "_a", "_b", edge.alias("x")).groupBy(*keys, F.col("x.p").alias("lo")).agg(F.sum(F.col("_a") * F.col("x.d")).alias("_a"), F.sum(F.col("_b") * F.col("x.d")).alias("_b"))
+    w = Window.partitionBy(*keys).orderBy("lo")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    steps = sums.select(*keys, "lo", F.lead("lo").over(w).alias("hi"), F.sum("_a").over(upto).alias("_in"), F.sum("_b").over(upto).alias("_n"))
+    return steps.where("_in > 0 and hi is not null").where("_n > 0" if some else "_n = 0").select("lo", "hi", *keys)
 
 
 def world_rule(name: str, truth: DataFrame, level: str, message: Column | str, cycle: str, ts: str, when: Column | None = None, kind: str = "event") -> DataFrame:

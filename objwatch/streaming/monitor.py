@@ -2,7 +2,7 @@
 
 Rows of a key are applied in the order of (time, order): they wait in state until the watermark
 has passed them, so that a late neighbour still finds its place. Rows behind the watermark
-never reopen a cycle: they go to the output as late.
+never reopen a cycle: Spark drops and counts them, and late_batches() keeps them apart.
 """
 
 from __future__ import annotations
@@ -22,71 +22,74 @@ from objwatch.operators.rules import VERDICT
 class ObjectProcessor(StatefulProcessor):
     """State of one object of a collection with one numeric signal.
 
-    Emits a row per update (kind event), per tick of the object's clock (tick) and per late row
-    (late): the held value and the depth last updates before it. Ticks come at start + step,
-    start + 2 step ...; an update at the time of a tick is applied before it.
+    Emits a row per update (kind event) and per tick of the object's clock (tick): the held value
+    and the depth last updates before it. Ticks come at start + step, start + 2 step ..., or at the times of a
+    shared clock; an update at the time of a tick is applied before it.
     ends_below: an update under this value ends the object; the next one starts it anew.
+    One timer per object is set, at the earliest time that it waits for; when the watermark has
+    passed it, all rows and ticks up to the watermark are applied in order.
     """
 
-    def __init__(self, depth: int = 1, step_ms: int | None = None, zero_ms: int | None = None, ends_below: float | None = None, key_type: str = "long"):
+    def __init__(self, depth: int = 1, step_ms: int | None = None, zero_ms: int | None = None, ends_below: float | None = None):
         self.depth, self.step_ms, self.zero_ms, self.ends_below = depth, step_ms, zero_ms, ends_below
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", StructType([StructField("ms", LongType()), StructField("order", LongType()), StructField("value", DoubleType())]))
+        self.waiting = handle.getListState("waiting", StructType([StructField("us", LongType()), StructField("order", LongType()), StructField("value", DoubleType())]))
         self.past = handle.getListState("past", StructType([StructField("value", DoubleType())]))
-        self.clock = handle.getValueState("clock", StructType([StructField("next_ms", LongType())]))
+        self.clock = handle.getValueState("clock", StructType([StructField("next_us", LongType())]))
 
-    def _row(self, key, ms: int, order: int | None, kind: str, value: float | None, past: list[float]) -> dict:
-        return {"key": key[0], "ts": pd.Timestamp(ms, unit="ms"), "order": order, "kind": kind, "value": value, "last": past[0] if past else None, **{f"prev_{k}": past[k - 1 + (kind == "event" and value is not None)] if len(past) > k - 1 + (kind == "event" and value is not None) else None for k in range(1, self.depth + 1)}}
+    def _row(self, key, us: int, order: int | None, kind: str, value: float | None, past: list[float]) -> dict:
+        skip = int(kind == "event" and value is not None)  # the row's own update is not before it
+        prevs = {f"prev_{k}": past[k - 1 + skip] if len(past) >= k + skip else None for k in range(1, self.depth + 1)}
+        return {"key": key[0], "ts": pd.Timestamp(us, unit="us"), "order": order, "kind": kind, "value": value, "last": past[0] if past else None, **prevs}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        mark = timer_values.getCurrentWatermarkInMs()
-        late = []
+        new = []
         for batch in rows:
             for ts, order, value in zip(batch["ts"], batch["order"], batch["value"], strict=True):
-                ms, value = int(pd.Timestamp(ts).value // 1_000_000), None if pd.isna(value) else float(value)
-                if mark > 0 and ms <= mark:
-                    late.append({**self._row(key, ms, int(order), "late", value, []), "last": None})
-                    continue
-                self.waiting.appendValue((ms, int(order), value))
-                self.handle.registerTimer(ms)
-        if late:
-            yield pd.DataFrame(late)
+                new.append((pd.Timestamp(ts).value // 1000, int(order), None if pd.isna(value) else float(value)))
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(us for us, _, _ in new) // 1000 + 1)
+        return iter(())
+
+    def _first_tick(self, us: int) -> int | None:
+        if not self.step_ms:
+            return None
+        step = self.step_ms * 1000
+        if self.zero_ms is None:
+            return us + step
+        zero = self.zero_ms * 1000
+        return zero + step * max(1, -((zero - us) // step))
 
     def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        now = expired_timer_info.getExpiryTimeInMs()
-        rows = sorted((r for r in self.waiting.get()), key=lambda r: (r[0], r[1]))
-        ready, rest = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
-        if ready:
-            self.waiting.clear()
-            for r in rest:
-                self.waiting.appendValue(r)
+        mark = timer_values.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
+        ready, rest = [r for r in rows if r[0] < mark], [tuple(r) for r in rows if r[0] >= mark]
         past = [r[0] for r in self.past.get()]
         clock = self.clock.get()[0] if self.clock.exists() else None
         out = []
-        for ms, order, value in ready:
-            if clock is None and self.step_ms:
-                start = ms if self.zero_ms is None else self.zero_ms
-                clock = start + self.step_ms * max(1, -((start - ms) // self.step_ms))
-                clock = clock + self.step_ms if self.zero_ms is not None and clock < ms else clock
-                self.handle.registerTimer(clock)
+        for us, order, value in ready:
+            while clock is not None and clock < us:
+                out.append(self._row(key, clock, None, "tick", None, past))
+                clock += self.step_ms * 1000
+            if clock is None:
+                clock = self._first_tick(us)
             if value is not None:
                 past = [value, *past][: self.depth + 1]
-            out.append(self._row(key, ms, order, "event", value, past))
+            out.append(self._row(key, us, order, "event", value, past))
             if value is not None and self.ends_below is not None and value < self.ends_below:
                 past, clock = [], None
-        if clock is not None and clock <= now:
+        while clock is not None and clock < mark:
             out.append(self._row(key, clock, None, "tick", None, past))
-            clock += self.step_ms
-            self.handle.registerTimer(clock)
-        self.past.clear()
-        for v in past:
-            self.past.appendValue((v,))
-        if clock is None:
-            self.clock.clear()
-        else:
-            self.clock.update((clock,))
+            clock += self.step_ms * 1000
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        self.past.put([(v,) for v in past]) if past else self.past.clear()
+        self.clock.update((clock,)) if clock is not None else self.clock.clear()
+        waits = [r[0] for r in rest[:1]] + ([clock] if clock is not None else [])
+        if waits:
+            self.handle.registerTimer(min(waits) // 1000 + 1)
         if out:
             yield pd.DataFrame(out)
 
@@ -95,7 +98,7 @@ class ObjectProcessor(StatefulProcessor):
 
 
 def object_stream(stream: DataFrame, key: str, ts: str, order: str, value: str, delay: str, depth: int = 1, step_ms: int | None = None, zero_ms: int | None = None, ends_below: float | None = None) -> DataFrame:
-    """Updates (kind event), ticks (tick) and late rows (late) of every object, each with the held value and the updates before it.
+    """Updates (kind event) and ticks (tick) of every object, each with the held value and the updates before it.
 
     step_ms starts a clock per object, from its first row on; with zero_ms, at the times of one shared clock.
     Applied rows come when the watermark, `delay` behind the latest time, has passed them.
@@ -109,13 +112,27 @@ def object_stream(stream: DataFrame, key: str, ts: str, order: str, value: str,
 
 def stream_rule(states: DataFrame, name: str, guard, level: str, message) -> DataFrame:
     """Verdicts over the rows of object_stream() that are events or ticks."""
-    fired = states.where((F.col("kind") != "late") & guard)
+    fired = states.where(guard)
     return fired.select(F.lit(name).alias("rule"), F.lit(level).alias("level"), F.col("kind").alias("cycle_kind"), F.col("order").alias("cycle_id"), "ts", F.array("key").alias("key"), message.cast("string").alias("value")).select(VERDICT)
 
 
-def late_rows(states: DataFrame) -> DataFrame:
-    """The rows that came behind the watermark."""
-    return states.where("kind = 'late'").select("key", "ts", "order", "value")
+def late_batches(spark: SparkSession, path: str, ts: str, delay: str, sink: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that parts rows into sink/on_time and sink/late.
+
+    A row is late if, in the batches before its own, a row was seen that is more than delay newer.
+    The latest time is kept under path by batch, so a batch that runs again gives the same.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{path}/latest-{number - 1}").first()[0] if number > 0 else None
+        late = F.lit(False) if before is None else F.col(ts) < F.lit(before) - F.expr(f"INTERVAL {delay}")
+        marked = batch.withColumn("_late", late)
+        for name, wanted in (("late", F.col("_late")), ("on_time", ~F.col("_late"))):
+            marked.where(wanted).drop("_late").write.mode("overwrite").parquet(f"{sink}/{name}/batch={number}")
+        latest = batch.agg(F.greatest(F.max(ts), F.lit(before).cast("timestamp")).alias("latest"))
+        latest.write.mode("overwrite").parquet(f"{path}/latest-{number}")
+
+    return run
 
 
 def world_batches(spark: SparkSession, path: str, order: list[str], key: str, signals: list[str], evaluate: Callable[[ObjectSet, DataFrame], DataFrame], sink: str) -> Callable[[DataFrame, int], None]:
