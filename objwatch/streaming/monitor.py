@@ -44,7 +44,7 @@ class ObjectProcessor(StatefulProcessor):
         prevs = {f"prev_{k}": past[k - 1 + skip] if len(past) >= k + skip else None for k in range(1, self.depth + 1)}
         return {"key": key[0], "ts": pd.Timestamp(us, unit="us"), "order": order, "kind": kind, "value": value, "last": past[0] if past else None, **prevs}
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = []
         for batch in rows:
             for ts, order, value in zip(batch["ts"], batch["order"], batch["value"], strict=True):
@@ -63,8 +63,8 @@ class ObjectProcessor(StatefulProcessor):
         zero = self.zero_ms * 1000
         return zero + step * max(1, -((zero - us) // step))
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        mark = timer_values.getCurrentWatermarkInMs() * 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
         ready, rest = [r for r in rows if r[0] < mark], [tuple(r) for r in rows if r[0] >= mark]
         past = [r[0] for r in self.past.get()]
