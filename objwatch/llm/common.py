@@ -49,11 +49,16 @@ def flag_members(df: DataFrame, key: str, members: DataFrame, flag: str = "_mayb
     return joined.withColumn(flag, hit).drop("_slot", "_word", "_mask")
 
 
+def as_rows(docs: DataFrame, *keys: str) -> DataFrame:
+    """docs as one struct column _row beside _key, or _key0, _key1 ...: no name of docs can clash with an operator's own."""
+    names = ["_key"] if len(keys) == 1 else [f"_key{i}" for i in range(len(keys))]
+    return docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def without_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without the rows whose key is in dropped. Only rows that the filter flags are shuffled, so most texts stay where they are."""
-    columns = docs.columns
     dropped = dropped.select(F.col(key).alias("_gone")).where("_gone is not null").distinct()
-    flagged = flag_members(docs, key, membership_filter(dropped, "_gone"))
-    passed = flagged.where("not _maybe").select(columns)
-    checked = flagged.where("_maybe").join(dropped, F.col(key) == F.col("_gone"), "left_anti").select(columns)
+    flagged = flag_members(as_rows(docs, key), "_key", membership_filter(dropped, "_gone"))
+    passed = flagged.where("not _maybe").select("_row.*")
+    checked = flagged.where("_maybe").join(dropped, F.col("_key") == F.col("_gone"), "left_anti").select("_row.*")
     return passed.unionByName(checked)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from objwatch.llm.common import cut_lineage, flag_members, membership_filter, table
+from objwatch.llm.common import as_rows, cut_lineage, flag_members, membership_filter, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Documents of a block, about.
@@ -111,15 +111,14 @@ class Mix:
 
     def realise(self, docs: DataFrame) -> DataFrame:
         """docs, all columns, each row as often as rows() takes its doc_id; only rows taken not once are shuffled."""
-        columns = docs.columns
         taken = self.rows(docs).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("_n"))
         there = docs.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("_rows"))
         copies = there.join(taken, there["doc_id"].eqNullSafe(taken["doc_id"]) & there["source"].eqNullSafe(taken["source"]), "left").select(there["doc_id"].alias("_id"), there["source"].alias("_source"), F.floor(F.coalesce("_n", F.lit(0)) / F.col("_rows")).cast("int").alias("_n"))
         copies = cut_lineage(copies.where("_n <> 1"))
-        flagged = flag_members(docs, "doc_id", membership_filter(copies, "_id", 1 << 24), bits=1 << 24)
-        passed = flagged.where("not _maybe").select(columns)
-        checked = flagged.where("_maybe").join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-        checked = checked.withColumn("_n", F.coalesce("_n", F.lit(1))).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(columns)
+        flagged = flag_members(as_rows(docs, "doc_id", "source"), "_key0", membership_filter(copies, "_id", 1 << 24), bits=1 << 24)
+        passed = flagged.where("not _maybe").select("_row.*")
+        checked = flagged.where("_maybe").join(copies, F.col("_key0").eqNullSafe(F.col("_id")) & F.col("_key1").eqNullSafe(F.col("_source")), "left")
+        checked = checked.withColumn("_n", F.coalesce("_n", F.lit(1))).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
         return passed.unionByName(checked)
 
 

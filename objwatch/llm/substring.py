@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from objwatch.llm.common import cut_lineage, flag_members, membership_filter, table
+from objwatch.llm.common import as_rows, cut_lineage, flag_members, membership_filter, table
 from objwatch.llm.rolling import mixed, powers
 
 #: A sentence ends with a line or after . ! ? and what closes it, where white space follows; it owns that white space.
@@ -91,21 +91,22 @@ class SpanDedup:
         stay as they are and count no sentence. Of equal texts, the first keeps its sentences and the
         others lose all that a run covers; a text of less than a run is never changed. doc_id
         identifies a document: rows that repeat it are one document and are changed alike. Rows
-        without one are not looked at. A text within which a run repeats loses the later ones.
+        without one are not looked at. Columns n_sentences and n_removed of docs are replaced. A text within which a run repeats loses the later ones.
         """
         covered = cut_lineage(self.covered(docs))
-        flagged = flag_members(docs, "doc_id", membership_filter(covered, "doc_id"))
-        kept = docs.columns
-        passed = flagged.where("not _maybe").select(*kept, F.expr("cast(null as array<struct<first:int, end:int>>)").alias("covered"))
-        checked = flagged.where("_maybe").join(covered, "doc_id", "left").select(*kept, "covered")
-        schema = StructType([*docs.schema.fields, StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
+        flagged = flag_members(as_rows(docs, "doc_id"), "_key", membership_filter(covered, "doc_id"))
+        kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
+        own = [F.col(f"_row.`{c}`").alias(c) for c in kept]
+        passed = flagged.where("not _maybe").select(*own, F.expr("cast(null as array<struct<first:int, end:int>>)").alias("_covered"))
+        checked = flagged.where("_maybe").join(covered.select(F.col("doc_id").alias("_id"), F.col("covered").alias("_covered")), F.col("_key") == F.col("_id"), "left").select(*own, "_covered")
+        schema = StructType([*(f for f in docs.schema.fields if f.name in kept), StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
                     texts, total, removed = [], [], []
-                    for text, ranges in zip(part["text"].to_pylist(), part["covered"].to_pylist(), strict=True):
+                    for text, ranges in zip(part["text"].to_pylist(), part["_covered"].to_pylist(), strict=True):
                         parts = sentences(text)
                         stay = np.ones(len(parts), bool)
                         for r in ranges or []:
