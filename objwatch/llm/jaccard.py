@@ -28,8 +28,8 @@ FRAGMENTS = 8
 LEVEL_SLOTS = 1 << 20
 #: N-grams that a task counts together, and the count from which it reports one. Only the order depends on it.
 COUNTED, REPORTED = 2_000_000, 8
-#: Bits of a set's parity signature.
-PARITY_BITS = 2048
+#: Words of 64 bits of the longest parity signature.
+PARITY_WORDS = 1 << 14
 BLOCK_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
@@ -126,10 +126,10 @@ class Join:
     def prefixes(self, docs: DataFrame, level: np.ndarray) -> DataFrame:
         """(doc_id, n, grams, parity): the prefix of each set in the global order, which is (level, hash).
 
-        parity has for each of PARITY_BITS ranges of the hash order whether the set has an odd
-        number of n-grams in it. Two sets differ in at least as many n-grams as their parities in bits.
+        parity tells for each value of the hashes' last bits whether the set has an odd number of such
+        n-grams: two to four bits per n-gram, a power of two. Two sets differ in at least as many
+        n-grams as their parities in bits; the longer one is folded to the length of the other.
         """
-        shift = np.uint64(64 - PARITY_BITS.bit_length() + 1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -141,11 +141,12 @@ class Join:
                         levels = level[(s % np.uint64(LEVEL_SLOTS)).astype(np.int64)]
                         ordered = s[np.argsort(levels, kind="stable")] if levels.any() else s
                         own.append(ordered[: self.prefix(len(s)) if len(s) else 0])
-                        odd = np.bincount((s >> shift).astype(np.int64), minlength=PARITY_BITS) & 1
-                        parity.append(np.packbits(odd.astype(bool)).view(np.int64))
+                        bits = 64 * min(PARITY_WORDS, 1 << max(0, (2 * len(s) - 1 >> 6).bit_length()))
+                        odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+                        parity.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
                     ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
                     grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))
-                    starts = np.arange(len(own) + 1, dtype=np.int32) * (PARITY_BITS // 64)
+                    starts = np.cumsum([0, *map(len, parity)]).astype(np.int32)
                     parities = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(parity)))
                     yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes, pa.int64()), grams, parities], ["doc_id", "n", "grams", "parity"])
 
@@ -181,7 +182,8 @@ class Join:
         size_a, size_b = (facts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
         parity_a, parity_b = (facts.select(F.col("id").alias(x), F.col("parity").alias(f"p_{x}")) for x in "ab")
         sized = pairs.join(size_a, "a").join(size_b, "b").where(self.close_sizes("n_a", "n_b"))
-        apart = "aggregate(zip_with(p_a, p_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+        fold = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y), {0})"  # sizes of a pair are at most one doubling apart
+        apart = f"aggregate(zip_with({fold.format('p_a', 'p_b')}, {fold.format('p_b', 'p_a')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
         sized = sized.join(parity_a, "a").join(parity_b, "b").where(f"{apart} * {100 + self.percent} <= (n_a + n_b) * {100 - self.percent}").drop("p_a", "p_b")
         sized = cut_lineage(sized)
         ids = sized.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -208,11 +210,14 @@ class Join:
         for r in found.where("slot is not null").groupBy("slot").agg(F.sum("hot").alias("hot")).select("slot", F.ceil(F.log2("hot")).alias("level")).collect():  # at most LEVEL_SLOTS rows
             level[r["slot"]] = min(255, r["level"])
         rows = found.where("slot is null").select("doc_id", "n", "d0", "d1")
-        reps = rows.where("n > 0 and doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"))
-        reps = cut_lineage(reps)
-
-        named = self.prefixes(docs, level).join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        prefixes = cut_lineage(named.dropDuplicates(["doc_id"]))
+        if not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+            docs = docs.dropDuplicates(["doc_id"])
+        linked = rows.where("n > 0 and doc_id is not null")
+        reps = cut_lineage(linked.groupBy("d0", "d1").agg(F.min("doc_id").alias("id"), F.min("n").alias("n")))
+        copies = linked.join(reps.select("d0", "d1", "id"), ["d0", "d1"]).where("doc_id <> id").select("doc_id")
+        distinct = without_ids(docs.where("doc_id is not null"), copies)
+
+        prefixes = cut_lineage(self.prefixes(distinct, level).where("n > 0"))
         facts = prefixes.select(F.col("doc_id").alias("id"), "n", "parity")
         grams = prefixes.select(F.col("doc_id").alias("id"), F.explode("grams").alias("gram"))
         # buckets with more than one set; hot n-grams combine before the shuffle
