@@ -26,8 +26,9 @@ from objwatch.llm.rolling import mixed, powers
 FRAGMENTS = 8
 #: Places of the frequency levels, which are broadcast: one byte each.
 LEVEL_SLOTS = 1 << 20
-#: N-grams that a task counts together, and the count from which it reports one. Only the order depends on it.
-COUNTED, REPORTED = 2_000_000, 8
+#: N-grams that a task counts together, and the count from which it reports one. Only the order depends on it:
+#: links are the same in any order. Prefixes are the first 15 to 20 percent of it, so the first quarter of the hashes is counted.
+COUNTED, REPORTED, FIRST = 4_000_000, 4, np.uint64(1 << 62)
 #: Words of 64 bits of the longest parity signature.
 PARITY_WORDS = 1 << 14
 BLOCK_BYTES = 1 << 20
@@ -113,7 +114,7 @@ class Join:
                     for s in gram_sets(part["text"].to_pylist(), self.n):
                         sizes.append(len(s))
                         digests.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) if len(s) else (None, None))
-                        kept.append(s)
+                        kept.append(s[: np.searchsorted(s, FIRST)])
                     none = pa.nulls(len(sizes), pa.int64())
                     d = [pa.array([x[k] if x[k] is None else int(x[k]) for x in digests], pa.int64()) for k in (0, 1)]
                     yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes, pa.int64()), *d, none, none], names)
@@ -207,8 +208,8 @@ class Join:
         docs = docs.select("doc_id", "text")
         found = cut_lineage(self.sets(docs))
         level = np.zeros(LEVEL_SLOTS, np.uint8)
-        for r in found.where("slot is not null").groupBy("slot").agg(F.sum("hot").alias("hot")).select("slot", F.ceil(F.log2("hot")).alias("level")).collect():  # at most LEVEL_SLOTS rows
-            level[r["slot"]] = min(255, r["level"])
+        hot = found.where("slot is not null").groupBy("slot").agg(F.sum("hot").alias("hot")).toArrow()  # at most LEVEL_SLOTS rows
+        level[hot["slot"].to_numpy()] = np.ceil(np.log2(hot["hot"].to_numpy())).astype(np.uint8) if len(hot) else 0
         rows = found.where("slot is null").select("doc_id", "n", "d0", "d1")
         if not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
             docs = docs.dropDuplicates(["doc_id"])
@@ -219,11 +220,11 @@ class Join:
 
         prefixes = cut_lineage(self.prefixes(distinct, level).where("n > 0"))
         facts = prefixes.select(F.col("doc_id").alias("id"), "n", "parity")
-        grams = prefixes.select(F.col("doc_id").alias("id"), F.explode("grams").alias("gram"))
+        grams = prefixes.select(F.col("doc_id").alias("id"), F.posexplode("grams").alias("pos", "gram"))
         # buckets with more than one set; hot n-grams combine before the shuffle
         live = cut_lineage(grams.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("gram", "a"))
         near = flag_members(grams, "gram", membership_filter(live, "gram", 1 << 24), bits=1 << 24).where("_maybe").drop("_maybe")
-        members = cut_lineage(near.join(live, "gram").select("gram", "a", F.col("id").alias("b")))
+        members = cut_lineage(near.join(live, "gram").select("gram", "a", F.col("id").alias("b"), "pos"))
 
         star = members.where("a <> b").select("a", "b").distinct()
         links = self.links(docs, star, facts)
@@ -236,14 +237,18 @@ class Join:
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
     def _across(self, members: DataFrame, label: DataFrame, sizes: DataFrame) -> DataFrame:
-        """Pairs of one bucket that are in different components, except those with the bucket's smallest set, which are settled."""
-        labelled = members.join(label.withColumnRenamed("id", "b"), "b", "left").select("gram", "a", "b", F.coalesce("label", "b").alias("label"))
+        """Pairs of one bucket that are in different components, except those with the bucket's smallest set, which are settled.
+
+        A pair is taken where its first common n-gram can be: after positions i and j, no more
+        than the rest of either set is in common.
+        """
+        labelled = members.where("a <> b").join(label.withColumnRenamed("id", "b"), "b", "left").select("gram", "b", "pos", F.coalesce("label", "b").alias("label"))
         labelled = cut_lineage(labelled)
-        split = labelled.where("a <> b").groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
-        rest = labelled.where("a <> b").join(split, "gram").join(sizes.withColumnRenamed("id", "b"), "b").select("gram", "b", "label", "n")
-        other = rest.select("gram", F.col("b").alias("c"), F.col("label").alias("label_c"), F.col("n").alias("n_c"))
-        pairs = rest.join(other, "gram").where(f"b < c and label <> label_c and {self.close_sizes('n', 'n_c')}")
-        return cut_lineage(pairs.select(F.col("b").alias("a"), F.col("c").alias("b")).distinct())
+        split = labelled.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
+        rest = labelled.join(split, "gram").join(sizes.withColumnRenamed("id", "b"), "b").select("gram", "b", "label", "n", (F.col("n") - F.col("pos")).alias("room"))
+        other = rest.select("gram", *[F.col(c).alias(f"{c}_c") for c in ("b", "label", "n", "room")])
+        pairs = rest.join(other, "gram").where(f"b < b_c and label <> label_c and {self.close_sizes('n', 'n_c')} and {100 + self.percent} * least(room, room_c) >= {self.percent} * (n + n_c)")
+        return cut_lineage(pairs.select(F.col("b").alias("a"), F.col("b_c").alias("b")).distinct())
 
 
 def connected(edges: DataFrame) -> DataFrame:
