@@ -49,13 +49,18 @@ def _cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint8), n
 
 
-def _convolved(data: np.ndarray, filters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Outputs (cells, positions, FILTERS) and the steps of input they come from. A window may reach into the next cell."""
+def _convolved(data: np.ndarray, n: np.ndarray, filters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Outputs (cells, positions, FILTERS), the steps of input, and the first step of each text.
+
+    A window may reach into the next cell, but not into the next text: there it sees zeros.
+    """
     steps = BYTE_TRAITS[data].reshape(-1, STRIDE * TRAITS)
+    first = (np.cumsum(n) - n) * (CELL // STRIDE)
     both = steps @ filters  # first and second half of each window
+    both[first, FILTERS:] = 0
     out = both[:, :FILTERS]
     out[:-1] += both[1:, FILTERS:]
-    return out.reshape(-1, CELL // STRIDE, FILTERS), steps
+    return out.reshape(-1, CELL // STRIDE, FILTERS), steps, first
 
 
 def _chunks(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +83,7 @@ class Network:
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         data, n = _cells(texts)
-        pooled = np.maximum(_convolved(data, self.filters)[0].max(1) + self.bias, 0)
+        pooled = np.maximum(_convolved(data, n, self.filters)[0].max(1) + self.bias, 0)
         cells, first = _chunks(n)
         chunk = pooled[cells].max(1)
         per = np.diff(np.append(first, len(chunk)))[:, None]
@@ -128,7 +133,9 @@ def _train_filters(texts: list[bytes], y: np.ndarray, rng: np.random.Generator)
         for at in range(0, len(order), 48):
             own = order[at : at + 48]
             data, n = _cells([texts[i] for i in own])
-            out, steps = _convolved(data, filters)
+            out, steps, begins = _convolved(data, n, filters)
+            seconds = steps.copy()
+            seconds[begins] = 0
             where = out.argmax(1)
             pooled = np.take_along_axis(out, where[:, None], 1)[:, 0] + bias
             cells, first = _chunks(n)
@@ -139,11 +146,11 @@ def _train_filters(texts: list[bytes], y: np.ndarray, rng: np.random.Generator)
             error = (1 / (1 + np.exp(-np.clip(mean @ w + b, -30, 30))) - y[own]) / len(own)
             back = np.repeat(error / per, per)[:, None] * w * (top > 0)
             place = which * (CELL // STRIDE) + np.take_along_axis(where, which, 0)
-            after = np.minimum(place + 1, len(steps) - 1)
+            after = (place + 1) % len(steps)
             g = np.zeros_like(filters)
             for f in range(FILTERS):
                 g[:, f] = back[:, f] @ steps[place[:, f]]
-                g[:, FILTERS + f] = back[:, f] @ steps[after[:, f]]
+                g[:, FILTERS + f] = back[:, f] @ seconds[after[:, f]]
             adam.step(filters=(filters, g), bias=(bias, back.sum(0).astype(np.float32)), w=(w, (error @ mean).astype(np.float32)), b=(b, error.sum(keepdims=True).astype(np.float32)))
     return filters, bias
 
