@@ -23,6 +23,10 @@ from objwatch.operators.rules import verdicts
 from objwatch.plans import ordering
 
 
+#: Cycles of a range over which one task adds up.
+TOTALS = 1 << 14
+
+
 class Var:
     """A bound object in a body: a.speed.last(0), .prev(0), .history(n, d), .now; a != b compares objects."""
 
@@ -225,7 +229,7 @@ def sweep(intervals: DataFrame, cycles: DataFrame, at: str, span: int) -> DataFr
     edges = edges.groupBy(F.col(f"x.{at}").alias(at)).agg(F.sum("x.d").alias("_d")).withColumn("_kind", F.lit(0))
     points = cycles.withColumn("_d", F.lit(0).cast("bigint")).withColumn("_kind", F.lit(1))
     both = points.unionByName(edges, allowMissingColumns=True)
-    return ordering.running_total(both, F.floor(F.col(at) / span), [at, "_kind"], "_d", "n").where("_kind = 1").drop("_d", "_kind")
+    return ordering.running_total(both, F.floor(F.col(at) / max(span, TOTALS)), [at, "_kind"], "_d", "n").where("_kind = 1").drop("_d", "_kind")
 
 
 def expand(intervals: DataFrame, cycles: DataFrame, at: str, span: int) -> DataFrame:

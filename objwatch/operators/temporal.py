@@ -68,3 +68,8 @@ def retained(signal: str, n: int, keys: list[str], order: list[str]) -> Column:
 def class_history(df: DataFrame, signal: str, n: int, order: list[str], bucket: Column, name: str) -> DataFrame:
     """Add history(n) over all objects of a class. bucket is a non-decreasing function of the order."""
     return ordering.global_history(df, bucket, order, signal, n, name)
+
+
+def split_history(df: DataFrame, signal: str, n: int, keys: list[str], order: list[str], bucket: Column, name: str) -> DataFrame:
+    """Add history(n) by keys where a single object may have more rows than one task should see: its rows are dealt by bucket, too."""
+    return ordering.global_history(df, bucket, order, signal, n, name, keys)

@@ -37,26 +37,32 @@ def running_total(df: DataFrame, bucket: Column, order: list[str], value: str, n
     return out.withColumn(name, F.col("_before") + F.col("_own")).drop("_bucket", "_b", "_before", "_own")
 
 
-def global_history(df: DataFrame, bucket: Column, order: list[str], value: str, n: int, name: str) -> DataFrame:
-    """Add the n-th last non-null value of all rows before this one, over the whole frame.
+def global_history(df: DataFrame, bucket: Column, order: list[str], value: str, n: int, name: str, keys: list[str] = ()) -> DataFrame:
+    """Add the n-th last non-null value of all rows before this one: over the whole frame, or over those with the same keys.
 
     A row looks into its own bucket first; for what is missing there, each bucket carries the
-    last n values of all buckets before it.
+    last n values of all buckets before it. So one key may have any share of the rows.
     """
-    within = Window.partitionBy("_bucket").orderBy(*_names(order))
+    keys = list(keys)
+    within = Window.partitionBy(*keys, "_bucket").orderBy(*_names(order))
     dealt = df.withColumn("_bucket", bucket)
     seen = F.count(value).over(within.rowsBetween(Window.unboundedPreceding, -1))
     ordering = ", ".join(f"`{c}` ASC NULLS FIRST" for c in order)
-    own = F.expr(f"lag(`{value}`, {n}) IGNORE NULLS OVER (PARTITION BY _bucket ORDER BY {ordering})")
+    own = F.expr(f"lag(`{value}`, {n}) IGNORE NULLS OVER (PARTITION BY {', '.join([*[f'`{k}`' for k in keys], '_bucket'])} ORDER BY {ordering})")
     local = dealt.withColumn("_seen", F.coalesce(seen, F.lit(0))).withColumn("_own", own)
 
-    back = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[F.col(c).desc_nulls_last() for c in order]))
+    back = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*[F.col(c).desc_nulls_last() for c in order]))
     tails = dealt.where(F.col(value).isNotNull()).withColumn("_back", back).where(F.col("_back") <= n)
-    counts = dealt.groupBy("_bucket").agg(F.least(F.count(value), F.lit(n)).alias("_n"))
-    upto = F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col("_bucket").alias("_b"), "_n", upto.alias("_upto"))
-    numbered = tails.join(counts, F.col("_bucket").eqNullSafe(F.col("_b"))).select((F.col("_upto") + F.col("_n") - F.col("_back")).alias("_at"), F.col(value).alias("_value"))
-    wanted = local.join(counts, F.col("_bucket").eqNullSafe(F.col("_b"))).drop("_n", "_b")
-    wanted = wanted.withColumn("_want", F.when(F.col("_seen") < n, F.col("_upto") - (n - F.col("_seen"))))
-    out = wanted.join(numbered, F.col("_want") == F.col("_at"), "left")
-    return out.withColumn(name, F.when(F.col("_seen") >= n, F.col("_own")).otherwise(F.col("_value"))).drop("_bucket", "_seen", "_own", "_upto", "_want", "_at", "_value")
+    counts = dealt.groupBy(*keys, "_bucket").agg(F.least(F.count(value), F.lit(n)).alias("_n"))
+    upto = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), "_n", upto.alias("_upto"))
+    same = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    numbered = tails.join(counts, same).select(*[F.col(f"_k{i}").alias(f"_v{i}") for i in range(len(keys))], (F.col("_upto") + F.col("_n") - F.col("_back")).alias("_at"), F.col(value).alias("_value"))
+    wanted = local.join(counts, same).withColumn("_want", F.when(F.col("_seen") < n, F.col("_upto") - (n - F.col("_seen"))))
+    found = F.col("_want") == F.col("_at")
+    for i in range(len(keys)):
+        found &= F.col(f"_k{i}").eqNullSafe(F.col(f"_v{i}"))
+    out = wanted.join(numbered, found, "left").withColumn(name, F.when(F.col("_seen") >= n, F.col("_own")).otherwise(F.col("_value")))
+    return out.select(*[c for c in df.columns if c != name], name)

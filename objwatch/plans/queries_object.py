@@ -113,6 +113,12 @@ def class_scope_history(spark, sf):
     return temporal.class_history(first, "click", 3, ["cycle"], bucket, "third_any").drop("click")
 
 
+@query("split_history", f"WITH {E} SELECT cycle, user_id, {LAG.format('click', 2)} AS h2 FROM e")
+def split_history(spark, sf):
+    rows = trace(spark, sf).select("cycle", "user_id", "click")
+    return temporal.split_history(rows, "click", 2, ["user_id"], ["cycle"], F.floor(F.col("cycle") / SPAN), "h2").drop("click")
+
+
 @query("bounded_history", f"WITH {E}, p AS (SELECT user_id, cycle, purchase, count(purchase) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT a.user_id, a.cycle, coalesce(list(b.purchase ORDER BY b.k DESC) FILTER (WHERE b.purchase IS NOT NULL), [])::VARCHAR AS kept FROM p a LEFT JOIN p b ON a.user_id = b.user_id AND b.purchase IS NOT NULL AND b.k BETWEEN a.k - 2 AND a.k AND b.cycle <= a.cycle GROUP BY 1, 2")
 def bounded_history(spark, sf):
     o = users(spark, sf, "purchase")

@@ -6,7 +6,7 @@ import pytest
 from interpreter import Model
 from pyspark.sql import functions as F
 
-from objwatch.operators import activation, quantify, rules, verdicts
+from objwatch.operators import activation, quantify, rules, temporal, verdicts
 from objwatch.operators.activation import always, every, fresh
 from objwatch.operators.objects import objects
 from objwatch.operators.quantify import Near, exists, forall
@@ -152,6 +152,20 @@ def test_global_order(spark, seed):
     assert [r["n"] for r in got] == list(range(80))
 
 
+@pytest.mark.parametrize("n", [1, 3])
+def test_history_of_split_objects(spark, n):
+    rows = trace(11, 120, 3)
+    df = frame(spark, rows)
+    got = temporal.split_history(df, "a", n, ["uid"], ["cycle"], F.floor(F.col("cycle") / 9), "h").collect()
+    past, want = {}, {}
+    for i, (u, a, _) in enumerate(rows):
+        own = past.setdefault(u, [])
+        want[i] = own[n - 1] if len(own) >= n else None
+        if a is not None:
+            own.insert(0, a)
+    assert {r["cycle"]: r["h"] for r in got} == want
+
+
 def test_ticks_see_events_of_their_own_time(spark):
     df = spark.createDataFrame([(0, 10, 1, 1.0), (1, 20, 1, 2.0), (2, 20, 2, 5.0), (3, 45, 1, 3.0)], "cycle bigint, t bigint, uid bigint, a double")
     o = objects(df, "uid", ["a", "t"], ["cycle"])
