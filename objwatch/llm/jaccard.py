@@ -29,8 +29,8 @@ LEVEL_SLOTS = 1 << 20
 #: N-grams that a task counts together, and the count from which it reports one. Only the order depends on it:
 #: links are the same in any order. Prefixes are the first 15 to 20 percent of it, so the first quarter of the hashes is counted.
 COUNTED, REPORTED, FIRST = 4_000_000, 4, np.uint64(1 << 62)
-#: Words of 64 bits of the longest parity signature.
-PARITY_WORDS = 1 << 14
+#: Words of 64 bits of the shortest and the longest parity signature; all are folded to the shortest, too.
+SHORT_WORDS, PARITY_WORDS = 8, 1 << 14
 BLOCK_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
@@ -125,11 +125,12 @@ class Join:
         return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, d0 bigint, d1 bigint, slot bigint, hot bigint")
 
     def prefixes(self, docs: DataFrame, level: np.ndarray) -> DataFrame:
-        """(doc_id, n, grams, parity): the prefix of each set in the global order, which is (level, hash).
+        """(doc_id, n, grams, parity, short): the prefix of each set in the global order, which is (level, hash).
 
         parity tells for each value of the hashes' last bits whether the set has an odd number of such
         n-grams: two to four bits per n-gram, a power of two. Two sets differ in at least as many
         n-grams as their parities in bits; the longer one is folded to the length of the other.
+        short is parity folded to SHORT_WORDS.
         """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,16 +143,18 @@ class Join:
                         levels = level[(s % np.uint64(LEVEL_SLOTS)).astype(np.int64)]
                         ordered = s[np.argsort(levels, kind="stable")] if levels.any() else s
                         own.append(ordered[: self.prefix(len(s)) if len(s) else 0])
-                        bits = 64 * min(PARITY_WORDS, 1 << max(0, (2 * len(s) - 1 >> 6).bit_length()))
+                        bits = 64 * min(PARITY_WORDS, max(SHORT_WORDS, 1 << max(0, (2 * len(s) - 1 >> 6).bit_length())))
                         odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
                         parity.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
                     ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
                     grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))
                     starts = np.cumsum([0, *map(len, parity)]).astype(np.int32)
                     parities = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(parity)))
-                    yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes, pa.int64()), grams, parities], ["doc_id", "n", "grams", "parity"])
+                    folded = np.concatenate([np.bitwise_xor.reduce(x.reshape(-1, SHORT_WORDS), 0) for x in parity])
+                    short = pa.FixedSizeListArray.from_arrays(pa.array(folded), SHORT_WORDS).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes, pa.int64()), grams, parities, short], ["doc_id", "n", "grams", "parity", "short"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, grams array<bigint>, parity array<bigint>")
+        return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, grams array<bigint>, parity array<bigint>, short array<bigint>")
 
     def fragments(self, docs: DataFrame) -> DataFrame:
         """(id, fragment, part): each set cut at fixed places of the hash order."""
@@ -219,7 +222,7 @@ class Join:
         distinct = without_ids(docs.where("doc_id is not null"), copies)
 
         prefixes = cut_lineage(self.prefixes(distinct, level).where("n > 0"))
-        facts = prefixes.select(F.col("doc_id").alias("id"), "n", "parity")
+        facts = prefixes.select(F.col("doc_id").alias("id"), "n", "parity", *[F.col("short")[i].alias(f"q{i}") for i in range(SHORT_WORDS)])
         grams = prefixes.select(F.col("doc_id").alias("id"), F.posexplode("grams").alias("pos", "gram"))
         # buckets with more than one set; hot n-grams combine before the shuffle
         live = cut_lineage(grams.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("gram", "a"))
@@ -229,25 +232,28 @@ class Join:
         star = members.where("a <> b").select("a", "b").distinct()
         links = self.links(docs, star, facts)
         label = connected(links)
-        across = self._across(members, label, facts.select("id", "n"))
+        across = self._across(members, label, facts.drop("parity"))
         if not across.isEmpty():
             label = connected(links.unionByName(self.links(docs, across, facts)))
         named = reps.join(label, "id", "left").select("d0", "d1", F.coalesce("label", "id").alias("component_id"))
         out = rows.join(named, ["d0", "d1"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
-    def _across(self, members: DataFrame, label: DataFrame, sizes: DataFrame) -> DataFrame:
+    def _across(self, members: DataFrame, label: DataFrame, facts: DataFrame) -> DataFrame:
         """Pairs of one bucket that are in different components, except those with the bucket's smallest set, which are settled.
 
         A pair is taken where its first common n-gram can be: after positions i and j, no more
-        than the rest of either set is in common.
+        than the rest of either set is in common. Short parities rule most of the others out inside the join.
         """
         labelled = members.where("a <> b").join(label.withColumnRenamed("id", "b"), "b", "left").select("gram", "b", "pos", F.coalesce("label", "b").alias("label"))
         labelled = cut_lineage(labelled)
         split = labelled.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
-        rest = labelled.join(split, "gram").join(sizes.withColumnRenamed("id", "b"), "b").select("gram", "b", "label", "n", (F.col("n") - F.col("pos")).alias("room"))
-        other = rest.select("gram", *[F.col(c).alias(f"{c}_c") for c in ("b", "label", "n", "room")])
-        pairs = rest.join(other, "gram").where(f"b < b_c and label <> label_c and {self.close_sizes('n', 'n_c')} and {100 + self.percent} * least(room, room_c) >= {self.percent} * (n + n_c)")
+        quick = [f"q{i}" for i in range(SHORT_WORDS)]
+        rest = labelled.join(split, "gram").join(facts.withColumnRenamed("id", "b"), "b").select("gram", "b", "label", "n", (F.col("n") - F.col("pos")).alias("room"), *quick)
+        other = rest.select("gram", *[F.col(c).alias(f"{c}_c") for c in ("b", "label", "n", "room", *quick)])
+        apart = " + ".join(f"bit_count({q} ^ {q}_c)" for q in quick)
+        like = f"{100 + self.percent} * least(room, room_c) >= {self.percent} * (n + n_c) and ({apart}) * {100 + self.percent} <= (n + n_c) * {100 - self.percent}"
+        pairs = rest.join(other, "gram").where(f"b < b_c and label <> label_c and {self.close_sizes('n', 'n_c')} and {like}")
         return cut_lineage(pairs.select(F.col("b").alias("a"), F.col("b_c").alias("b")).distinct())
 
 
