@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from objwatch.llm.common import cut_lineage, table
+from objwatch.llm.common import cut_lineage, table, tidied
 
 CAPACITY = 2048
 END_ID = 0
@@ -149,7 +149,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
                         rows.append((doc, k, s // 4, len(cut) // 4, zlib.crc32(cut)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), PIECES)
 
 
 class Plan:
@@ -306,7 +306,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             offset = columns["offset"][at] + nth % per * length
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return _ranked(pieces).mapInArrow(place, f"{PIECES}, sequence_id bigint, offset bigint")
+    return _ranked(pieces).mapInArrow(tidied(place), f"{PIECES}, sequence_id bigint, offset bigint")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objwatch.llm.common import table
+from objwatch.llm.common import table, tidied
 
 TRAITS, STRIDE, WIDTH, FILTERS = 8, 4, 8, 32
 CELL = 64  # bytes that are pooled first
@@ -26,7 +26,7 @@ HIDDEN = 16
 TRAIN_ROWS, TRAIN_BYTES = 700, 1 << 14
 EPOCHS, HEAD_STEPS = 12, 600
 #: Bytes convolved at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def _traits() -> np.ndarray:
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
                 value = np.full(len(texts), model) if isinstance(model, float) else model.score(texts)
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(value)], [*kept, "score"])
 
-    return docs.select(kept).mapInArrow(run, schema)
+    return docs.select(kept).mapInArrow(tidied(run), schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

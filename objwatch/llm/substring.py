@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from objwatch.llm.common import as_rows, cut_lineage, flag_members, membership_filter, table
+from objwatch.llm.common import as_rows, cut_lineage, flag_members, membership_filter, table, tidied
 from objwatch.llm.rolling import mixed, powers
 
 #: A sentence ends with a line or after . ! ? and what closes it, where white space follows; it owns that white space.
@@ -71,7 +71,7 @@ class SpanDedup:
                     first, end, h = (np.concatenate([x[k] for x in found]) for k in range(3))
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "first", "end", "h0", "h1"])
 
-        return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, first int, end int, h0 bigint, h1 bigint")
+        return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(tidied(run), "doc_id bigint, first int, end int, h0 bigint, h1 bigint")
 
     def covered(self, docs: DataFrame) -> DataFrame:
         """(doc_id, covered): for documents with a repeat that is not the first, the ranges [first, end) of sentences to remove."""
@@ -116,7 +116,7 @@ class SpanDedup:
                         removed.append(int((~stay).sum()))
                     yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if c == "text" else part[c] for c in kept), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*kept, "n_sentences", "n_removed"])
 
-        return passed.unionByName(checked).mapInArrow(run, schema)
+        return passed.unionByName(checked).mapInArrow(tidied(run), schema)
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

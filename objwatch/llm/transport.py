@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from objwatch.llm.common import table
+from objwatch.llm.common import table, tidied
 
 # fixed values of the format
 PACKET, BODY, SYNC = 188, 184, 0x47
@@ -224,7 +224,7 @@ def to_media(docs: DataFrame) -> DataFrame:
                 media = [write_stream(padded(t)[0]) for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(media, pa.binary())], ["doc_id", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, media binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id bigint, media binary")
 
 
 STREAM = "payload binary, packets bigint, pts array<bigint>, random_access array<bigint>, sync_errors bigint, table_errors bigint, continuity_errors bigint, length_errors bigint"
@@ -242,7 +242,7 @@ def read_media(df: DataFrame, key: str = "doc_id", column: str = "media") -> Dat
                 found = [read_stream(m) for m in part[column].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part[key], *(pa.array([getattr(s, n) for s in found], k) for n, k in zip(names, kinds, strict=True))], [key, *names])
 
-    return df.select(key, column).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, {STREAM}")
+    return df.select(key, column).mapInArrow(tidied(run), f"{key} {dict(df.dtypes)[key]}, {STREAM}")
 
 
 DIGESTS = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -264,7 +264,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
                     rows.append((doc, n, len(back.payload), hashlib.sha256(back.payload).hexdigest(), zlib.crc32(back.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), back.feature()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for x, n in zip(zip(*rows, strict=True), names, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGESTS)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), DIGESTS)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
