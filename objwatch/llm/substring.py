@@ -33,25 +33,28 @@ def sentences(text: str | None) -> list[str]:
 class SpanDedup:
     """span: sentences of a run. min_words: shorter runs are extended until they have so many words.
 
-    Lengthening a run that is all short sentences ("Yes. No. Why?") keeps chance repeats from counting.
+    A sentence of long_words is a run by itself, as the neighbours of a passage of few long
+    sentences differ. Lengthening a run that is all short sentences ("Yes. No. Why?") keeps chance repeats from counting.
     """
 
     span: int = 2
     min_words: int = 20
+    long_words: int = 25
 
     def runs(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """first, end and two 64-bit hashes of each run: from every sentence on, the shortest that is long enough; and up to every sentence."""
         words = [s.split() for s in parts]
         real = np.array([i for i, w in enumerate(words) if w], np.int64)  # blank parts belong to no run
         n = len(real)
-        if n < self.span:
+        if not n:
             return real[:0], real[:0], np.zeros((0, 2), np.int64)
         digests = b"".join(xxhash.xxh3_128_digest(" ".join(words[i]).lower().encode()) for i in real)
         count = np.cumsum([0, *(len(words[i]) for i in real)])
         at = np.arange(n)
         on = np.maximum(at + self.span, np.searchsorted(count, count[:-1] + self.min_words))
         back = np.minimum(at + 1 - self.span, np.searchsorted(count, count[1:] - self.min_words, "right") - 1)
-        pairs = np.unique(np.concatenate([(at * (n + 1) + on)[on <= n], (back * (n + 1) + at + 1)[back >= 0]]))
+        alone = at[np.diff(count) >= self.long_words]
+        pairs = np.unique(np.concatenate([(at * (n + 1) + on)[on <= n], (back * (n + 1) + at + 1)[back >= 0], alone * (n + 1) + alone + 1]))
         a, b = pairs // (n + 1), pairs % (n + 1)
         up, down = powers(n + 1)
         sums = np.zeros((n + 1, 2), np.uint64)

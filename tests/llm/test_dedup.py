@@ -138,6 +138,7 @@ def plain_spans(rows, dedup):
                 if sum(len(words[k]) for k in real[a:b]) >= dedup.min_words:
                     runs.add((a, b))
                     break
+        runs |= {(a, a + 1) for a in range(len(real)) if len(words[real[a]]) >= dedup.long_words}
         for a, b in sorted(runs):
             key = tuple(" ".join(words[k]).lower() for k in real[a:b])
             if key in seen:
@@ -152,7 +153,7 @@ def test_sentence_spans(spark, seed):
     sentence = lambda: " ".join(f"w{r.randrange(50)}" for _ in range(r.randrange(1, 9))) + r.choice([". ", "! ", ".\n", "\n", "? "])
     passage = "".join(sentence() for _ in range(8))
     rows = [(i, "".join(sentence() for _ in range(r.randrange(0, 6))) + (passage if i % 3 == 0 else "") + "".join(sentence() for _ in range(3)) + (passage if i == 12 else "")) for i in range(20)]
-    dedup = substring.SpanDedup(2, 8)
+    dedup = substring.SpanDedup(2, 8, 8)
     got = dedup.clean(frame(spark, rows)).collect()
     assert {x["doc_id"]: x["text"] for x in got} == plain_spans(rows, dedup)
     assert sum(x["n_removed"] for x in got) > 20
