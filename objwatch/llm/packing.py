@@ -29,7 +29,7 @@ END_ID = 0
 #: Distinct words, and runs of letters, whose ids a worker keeps: twice as many at most.
 WORD_CACHE, LETTER_CACHE = 160_000, 300_000
 #: Rows of one length that one window of ranks holds, about.
-RANK_ROWS = 20_000
+RANK_ROWS = 2_000
 
 
 class _Cache:
