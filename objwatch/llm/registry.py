@@ -19,4 +19,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op9_jaccard": jaccard.ORACLE_SQL,
 }
