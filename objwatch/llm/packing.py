@@ -27,7 +27,7 @@ from objwatch.llm.common import cut_lineage, table, tidied
 CAPACITY = 2048
 END_ID = 0
 #: Distinct words, and runs of letters, whose ids a worker keeps: twice as many at most.
-WORD_CACHE, LETTER_CACHE = 160_000, 300_000
+WORD_CACHE, LETTER_CACHE = 100_000, 300_000
 #: Rows of one length that one window of ranks holds, about.
 RANK_ROWS = 2_000
 
@@ -137,8 +137,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = WordTokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 rows: list[tuple] = []
                 gc.disable()  # nothing here makes cycles, and each collection would walk the caches
                 encoded = list(_TOKENIZERS[path].encode(part["text"].to_pylist()))
