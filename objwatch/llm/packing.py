@@ -43,13 +43,10 @@ class _Cache:
             self.old, self.young = self.young, {}
 
     def missing(self, keys: set[str]) -> list[str]:
-        out = []
-        for k in keys.difference(self.young):
-            if (v := self.old.get(k)) is None:
-                out.append(k)
-            else:
-                self.young[k] = v
-        return out
+        unknown = keys.difference(self.young)
+        again = unknown & self.old.keys()
+        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        return list(unknown.difference(again))
 
 
 #: A line of Latin letters and then of ASCII symbols other than the apostrophe, which begins tokens with letters; or any line.
