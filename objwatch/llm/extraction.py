@@ -36,7 +36,7 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\"<>]|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 LEFT_OUT = frozenset("nav footer aside form head button dialog menu input label option datalist fieldset".split())
@@ -57,7 +57,9 @@ class Element:
         self.name, self.open, self.close = name, at, -1
         self.key, self.out, self.main = name, name in LEFT_OUT, name in ("article", "main")
         if attributes and not attributes.isspace():
-            found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
+            found: dict[str, str] = {}  # every value is read to its end, so that none is taken for a name; the first of a name counts
+            for k, v in ATTRIBUTE.findall(attributes):
+                found.setdefault(k.lower(), v.strip("\"'"))
             cues = f"{found.get('class', '')} {found.get('id', '')}"
             role = found.get("role", "").lower()
             self.key = f"{name} {found.get('class', '')} #{found.get('id', '')}"
