@@ -15,7 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -45,16 +45,44 @@ CUE_OUT = re.compile(
     re.I,
 )
 CUE_MAIN = re.compile(r"(?:^|[\s_-])(?:main|article(?:-?body)?|articlebody|content|post(?:-?(?:body|content))?|entry(?:-?content)?|story|body-?text|page-?text|text)(?:$|[\s_-])", re.I)
+#: Elements whose closing tag may be omitted: they end with what they are in.
+IMPLIED = frozenset("body caption colgroup dd dt head html li optgroup option p tbody td tfoot th thead tr".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+SPECIAL = frozenset("applet article aside blockquote body button caption center colgroup dd details dir dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html li listing main marquee menu nav ol optgroup option pre search section summary table tbody td tfoot th thead title tr ul".split())
+SCOPE = frozenset("applet button caption html marquee table td th".split())
+TABLE = frozenset(["html", "table"])
+
+
+def _ends() -> dict[str, list[tuple[frozenset[str], frozenset[str]]]]:
+    """By the name of an opening tag: which open elements it ends, and the elements beyond which it ends none."""
+    out: dict[str, list[tuple[frozenset[str], frozenset[str]]]] = defaultdict(list)
+    for name in ("dd", "dt"):
+        out[name].append((frozenset(["dd", "dt"]), SPECIAL - {"dd", "dt"}))
+    out["li"].append((frozenset(["li"]), SPECIAL - {"li"}))
+    out["option"].append((frozenset(["option"]), SPECIAL - {"option"}))
+    out["optgroup"].append((frozenset(["option", "optgroup"]), SPECIAL - {"option", "optgroup"}))
+    cells = frozenset(["td", "th", "caption", "colgroup"])
+    for name in ("td", "th"):
+        out[name].append((cells, TABLE))
+    out["tr"].append((cells | {"tr"}, TABLE))
+    for name in ("tbody", "thead", "tfoot", "caption", "colgroup"):
+        out[name].append((cells | {"tr", "tbody", "thead", "tfoot"}, TABLE))
+    for name in "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p pre search section summary table ul".split():
+        out[name].append((frozenset(["p"]), SCOPE))
+    return dict(out)
+
+
+ENDS = _ends()
 ROLE_OUT = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 
 
 class Element:
-    """An opened element of a page; key is its role: name, class, id."""
+    """An opened element of a page; key is its role: name, class, id. It ends at end; close is the same if its tag, or HTML, closes it there."""
 
-    __slots__ = ("close", "key", "main", "name", "open", "out")
+    __slots__ = ("close", "end", "key", "main", "name", "open", "out")
 
     def __init__(self, name: str, attributes: str, at: int):
-        self.name, self.open, self.close = name, at, -1
+        self.name, self.open, self.close, self.end = name, at, -1, -1
         self.key, self.out, self.main = name, name in LEFT_OUT, name in ("article", "main")
         if attributes and not attributes.isspace():
             found: dict[str, str] = {}  # every value is read to its end, so that none is taken for a name; the first of a name counts
@@ -84,10 +112,28 @@ class Page:
         self.spaces: list[int] = []
         stack: list[Element] = []
         opened: Counter = Counter()
+
+        def ended(upto: int, place: int, name: str = "") -> None:
+            """End the elements from number upto of the stack on; name: whose own tag does it."""
+            while len(stack) > upto:
+                e = stack.pop()
+                opened[e.name] -= 1
+                e.end = place
+                if e.name in IMPLIED or name and len(stack) == upto:
+                    e.close = place
+
+        def innermost(name: str) -> int:
+            return next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name)
+
+        def texted(text: str, place: int) -> None:
+            if stack and stack[-1].name == "head" and not text.isspace():
+                ended(len(stack) - 1, place)
+            self.texts.append((place, text))
+
         place = last = 0
         for m in TOKEN.finditer(source):
             if m.start() > last:
-                self.texts.append((place, source[last : m.start()]))
+                texted(source[last : m.start()], place)
                 place += 1
             last = m.end()
             name = m[3] or m[6]
@@ -98,29 +144,47 @@ class Page:
                 self.breaks.append(place)
             elif name == "br":
                 self.spaces.append(place)
+            if not (m[2] or m[5]) and opened["head"] and name not in IN_HEAD:
+                ended(innermost("head"), place)
             if name in VOID:
+                for targets, barrier in ENDS.get(name, ()):
+                    self._imply(stack, opened, targets, barrier, ended, place)
                 continue
             if not (m[2] or m[5]):
+                for targets, barrier in ENDS.get(name, ()):
+                    self._imply(stack, opened, targets, barrier, ended, place)
                 e = Element(name, m[4] or m[7] or "", place)
                 self.elements.append(e)
                 if not (m[4] or m[7] or "").endswith("/"):
                     stack.append(e)
                     opened[name] += 1
+                else:
+                    e.close = e.end = place
             elif opened[name]:
-                while True:
-                    e = stack.pop()
-                    opened[e.name] -= 1
-                    if e.name == name:
-                        e.close = place
-                        break
+                ended(innermost(name), place, name)
             place += 1
         if last < len(source):
-            self.texts.append((place, source[last:]))
+            texted(source[last:], place)
             place += 1
+        ended(0, place)
         self.end = place
 
+    @staticmethod
+    def _imply(stack: list[Element], opened: Counter, targets: frozenset[str], barrier: frozenset[str], ended: Callable[..., None], place: int) -> None:
+        """End the outermost of the targets that no element of barrier is in between."""
+        if not any(opened[t] for t in targets):
+            return
+        found = -1
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i].name in targets:
+                found = i
+            elif stack[i].name in barrier:
+                break
+        if found >= 0:
+            ended(found, place)
+
     def element_counts(self) -> dict[str, list[int]]:
-        """Of each role, how many elements open and how many are closed by their own tag."""
+        """Of each role, how many elements open and how many are closed by their own tag or as HTML implies."""
         out: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         for e in self.elements:
             n = out[e.key]
@@ -133,16 +197,7 @@ class Page:
 
     def _out_ranges(self) -> list[tuple[int, int]]:
         """Places of elements to leave out; one that is never closed ends with what it is in."""
-        ranges, ends = [], []
-        for e in self.elements:
-            while ends and ends[-1] <= e.open:
-                ends.pop()
-            end = e.close if e.close >= 0 else (ends[-1] if ends else self.end)
-            if e.close >= 0:
-                ends.append(end)
-            if e.out:
-                ranges.append((e.open, end))
-        return ranges
+        return [(e.open, e.end) for e in self.elements if e.out]
 
     def main_text(self, template: set[int], once: set[int], template_texts: set[int]) -> str:
         """template: hashes of roles that are balanced on the host's pages; once: those that a page has once."""

@@ -30,3 +30,36 @@ def test_cues_are_read_from_whole_attributes():
 def test_overflow_hidden_keeps_the_text(spark):
     page = '<html><body style="overflow-x:hidden"><article style="overflow:hidden"><p>One <a href="/hidden-gems">two</a></p><p hidden>three</p></article></body></html>'
     assert texts(spark, [("a.example", page)]) == ["One two"]
+
+
+# ---- omitted tags
+
+
+OMITTED = [
+    ("<html><head><title>T</title><body><article><p>One</p></article></body></html>", "One"),
+    ("<html><head><title>T</title><article><p>One</article>", "One"),
+    ("<head><title>T</title>One", "One"),
+    ('<article><p class="ad">Ad<p>One<p>two</article>', "One\ntwo"),
+    ('<article><p class="ad"><b>Ad<div>One</div><p class="ad">Ad<hr>two</article>', "One\ntwo"),
+    ('<article><ul><li class="ad">Ad<li>One<ul><li>two<li class="ad">Ad</ul>three</ul></article>', "One\ntwo\nthree"),
+    ('<article><dl><dt class="ad">Ad<dd>One<dt>two</dl></article>', "One\ntwo"),
+    ('<article><table><tr class="ad"><td>Ad<tr><td class="ad">Ad<td>One<tr><td>two</table></article>', "One\ntwo"),
+    ("<article><div><option>No</div>One<p><option>No<option>No</p>two</article>", "One\ntwo"),
+    ('<article><p>One<table><tr><td><p class="ad">Ad</table>two</article>', "One\ntwo"),
+    ('<article><aside/>One<p>two</article>', "One\ntwo"),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), OMITTED)
+def test_omitted_tags(source, want):
+    page = extraction.Page(source)
+    assert page.main_text({extraction.hashed(e.key) for e in page.elements}, set(), set()) == want
+
+
+def test_many_open_elements_take_no_square_time():
+    import time
+
+    began = time.monotonic()
+    for tag in ("<p><span>", "<li><div>", "<b><p>", "<td><i>", "<ul><li>", "<div>", "<option><b>", "<dl><dd><section>"):
+        extraction.Page(tag * 20_000)
+    assert time.monotonic() - began < 20
