@@ -5,8 +5,8 @@ closes, and of texts. Over the pages of one host, tokens with the same occurrenc
 often on which page) form a class; vectors are compared by a commutative hash, so that they
 are never gathered. An element whose opening and closing tags are in one class is balanced on
 every page and is part of the host's template; classes nest as their elements do. The template
-parts a page into slots. The slot with the article is the element that is named so, or else the
-smallest one that holds most of the page's text; its text, without nested menus, notices,
+parts a page into slots. The slot with the article is the outermost element that is named so, or
+else the page; an inner slot is taken if only texts of the template and what is left out lie between both. Its text, without nested menus, notices,
 adverts, forms and comments and without texts of the template, is the result.
 """
 
@@ -206,27 +206,35 @@ class Page:
         out = bytearray(self.end + 1)
         for a, b in self._out_ranges():
             out[a:b] = b"\1" * (b - a)
-        kept = [(p, t) for p, t in self.texts if not out[p]]
-        total = [0] * (self.end + 2)
-        for p, t in kept:
+        kept = [(p, t, bool(template_texts) and hashed("#" + " ".join(t.split())) in template_texts) for p, t in self.texts if not out[p]]
+        own, total = [0] * (self.end + 2), [0] * (self.end + 2)  # up to a place, without and with texts of the template
+        for p, t, shared in kept:
             total[p + 1] = len(t.strip())
+            own[p + 1] = 0 if shared else total[p + 1]
         for i in range(1, len(total)):
             total[i] += total[i - 1]
+            own[i] += own[i - 1]
         spans = []
         for e in self.elements:
             if e.close >= 0 and not out[e.open] and e.name != "html":
                 h = hashed(e.key)
                 if h in template:
-                    spans.append((total[e.close] - total[e.open], e.open, e.close, e.main, h in once))
-        named = [s for s in spans if s[3] and s[4]] or [s for s in spans if s[3]]
+                    spans.append((e.open, e.close, e.main, h in once))
+        named = [s for s in spans if s[2]]
+        lo, hi = 0, self.end
         if named:
-            most = max(s[0] for s in named)
-            choice = max((s for s in named if s[0] * 10 >= most * 6), key=lambda s: (s[1], -s[2]))
-        else:
-            whole = total[-1]
-            choice = min((s for s in spans if s[4] and s[0] * 10 >= whole * 6), key=lambda s: s[2] - s[1], default=None)
-        lo, hi = (choice[1], choice[2]) if choice else (0, self.end)
-        return self._blocks([(p, t) for p, t in kept if lo <= p < hi and not (template_texts and hashed("#" + " ".join(t.split())) in template_texts)])
+            # one that begins before the others end holds them: the outermost ones
+            outer, reach = [], -1
+            for s in named:
+                if s[0] >= reach:
+                    outer.append(s)
+                    reach = s[1]
+            lo, hi = max(outer, key=lambda s: total[s[1]] - total[s[0]])[:2]
+        # an inner slot only if all between both is of the template or left out
+        inner = [s for s in spans if (s[2] if named else s[3]) and lo <= s[0] and s[1] <= hi and own[s[1]] - own[s[0]] == own[hi] - own[lo]]
+        if own[hi] > own[lo] and inner:
+            lo, hi = min(inner, key=lambda s: s[1] - s[0])[:2]
+        return self._blocks([(p, t) for p, t, shared in kept if lo <= p < hi and not shared])
 
     def _blocks(self, texts: list[tuple[int, str]]) -> str:
         cuts, spaces = self.breaks, set(self.spaces)

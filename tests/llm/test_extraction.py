@@ -63,3 +63,29 @@ def test_many_open_elements_take_no_square_time():
     for tag in ("<p><span>", "<li><div>", "<b><p>", "<td><i>", "<ul><li>", "<div>", "<option><b>", "<dl><dd><section>"):
         extraction.Page(tag * 20_000)
     assert time.monotonic() - began < 20
+
+
+# ---- the slot with the article
+
+
+def main_text(source, shared=()):
+    page = extraction.Page(source)
+    roles = {extraction.hashed(e.key) for e in page.elements}
+    return page.main_text(roles, roles, {extraction.hashed(f"#{t}") for t in shared})
+
+
+LONG = "long " * 40 + "end"
+
+
+def test_outermost_article():
+    inner = f'<div class="entry-content"><p>{LONG}</p></div>'
+    assert main_text(f"<body><p>Top</p><article><h1>Title</h1><p>Lead</p>{inner}<p>Last</p></article></body>") == f"Title\nLead\n{LONG}\nLast"
+    assert main_text(f"<main><h1>Title</h1><article>{inner}</article></main>") == f"Title\n{LONG}"
+    assert main_text(f"<main><p>Our motto</p><nav>Menu</nav><article><h1>Title</h1>{inner}</article></main>", ["Our motto"]) == f"Title\n{LONG}"
+    assert main_text(f"<article><p>Short</p></article><article><p>{LONG}</p></article>") == LONG
+
+
+def test_page_without_a_named_element():
+    source = f'<body><p>Motto</p><div class="wrap"><h1>Title</h1><div class="inner"><p>{LONG}</p></div><p>Last</p></div></body>'
+    assert main_text(source, ["Motto"]) == f"Title\n{LONG}\nLast"
+    assert main_text(source) == f"Motto\nTitle\n{LONG}\nLast"
