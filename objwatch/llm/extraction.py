@@ -1,13 +1,13 @@
 """Main text of web pages by equivalence classes of template tokens.
 
 A page is a sequence of tags, where a closing tag carries the role of the element that it
-closes, and of texts. Over the pages of one host, tokens with the same occurrence vector (how
-often on which page) form a class; vectors are compared by a commutative hash, so that they
-are never gathered. An element whose opening and closing tags are in one class is balanced on
-every page and is part of the host's template; classes nest as their elements do. The template
-parts a page into slots. The slot with the article is the outermost element that is named so, or
-else the page; an inner slot is taken if only texts of the template and what is left out lie between both. Its text, without nested menus, notices,
-adverts, forms and comments and without texts of the template, is the result.
+closes, and of texts. Two tags of a role are in one class on the pages on which they occur equally
+often. An element whose tags are so on most of the host's pages that have it is part of the host's
+template, so that a page that is cut off changes nothing for the others; pages are only counted
+and never gathered. The template parts a page into slots. The slot with the article is the outermost
+element that is named so, or else the page; an inner slot is taken if only texts of the template and
+what is left out lie between both. Its text, without nested menus, notices, adverts, forms and
+comments, is the result; from a slot that is not named, texts of the template are left out, too.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 
 from objwatch.llm.common import cut_lineage, table, tidied
 
-#: A template text is on all pages of a host that has at least so many.
+#: A template text is on all pages of a host that has at least so many different ones.
 TEXT_PAGES = 8
 #: Hosts with more than one page in so many of all are hot, and fewer than that; their pages are dealt to SALTS keys.
 HOT, SALTS = 1000, 64
 #: An element is part of a template from this share of the host's pages on, in percent.
 SUPPORT = 5
+#: And if its two tags balance on this share of the pages that have it, in percent.
+BALANCED = 50
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -200,7 +202,7 @@ class Page:
         return [(e.open, e.end) for e in self.elements if e.out]
 
     def main_text(self, template: set[int], once: set[int], template_texts: set[int]) -> str:
-        """template: hashes of roles that are balanced on the host's pages; once: those that a page has once."""
+        """template: hashes of roles that are balanced on most of the host's pages; once: those that most have once."""
         if not self.texts:
             return ""
         out = bytearray(self.end + 1)
@@ -216,10 +218,10 @@ class Page:
             own[i] += own[i - 1]
         spans = []
         for e in self.elements:
-            if e.close >= 0 and not out[e.open] and e.name != "html":
+            if not out[e.open] and e.name != "html":
                 h = hashed(e.key)
                 if h in template:
-                    spans.append((e.open, e.close, e.main, h in once))
+                    spans.append((e.open, e.end, e.main, h in once))
         named = [s for s in spans if s[2]]
         lo, hi = 0, self.end
         if named:
@@ -234,7 +236,8 @@ class Page:
         inner = [s for s in spans if (s[2] if named else s[3]) and lo <= s[0] and s[1] <= hi and own[s[1]] - own[s[0]] == own[hi] - own[lo]]
         if own[hi] > own[lo] and inner:
             lo, hi = min(inner, key=lambda s: s[1] - s[0])[:2]
-        return self._blocks([(p, t) for p, t, shared in kept if lo <= p < hi and not shared])
+        whole = named or own[hi] == own[lo]
+        return self._blocks([(p, t) for p, t, shared in kept if lo <= p < hi and (whole or not shared)])
 
     def _blocks(self, texts: list[tuple[int, str]]) -> str:
         cuts, spaces = self.breaks, set(self.spaces)
@@ -262,48 +265,52 @@ def host(url: str = "url") -> F.Column:
 
 
 def token_classes(pages: DataFrame) -> DataFrame:
-    """(host, key, opens, closes, pages, n): hashes of the occurrence vectors of a role's two tags, on how many pages it is and how often.
+    """(host, key, balanced, once, pages): of a role or text, on how many pages it is, on how many its two tags balance, and on how many it is once.
 
-    key 0 stands for the page itself. Each task adds up its own pages before anything is shuffled.
+    key 0 stands for the page itself. Rows with 0 pages stand for the host's different pages, by their
+    texts, one each. Each task adds up its own pages before anything is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[str, int], list[int]] = {}
-            for h, number, page, source in zip(batch["host"].to_pylist(), batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
+            for h, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
                 parsed = Page(source)
-                own = f"{number}\n{page}"
+                texts = parsed.text_counts()
                 rows = [(0, 1, 1)]
                 rows += [(hashed(k), a, b) for k, (a, b) in parsed.element_counts().items()]
-                rows += [(hashed("#" + k), n, n) for k, n in parsed.text_counts().items()]
+                rows += [(hashed("#" + k), n, n) for k, n in texts.items()]
                 for key, a, b in rows:
-                    x = found.setdefault((h, key), [0, 0, 0, 0])
-                    v = hashed(f"{own}\n{a}")
-                    x[0] ^= v
-                    x[1] ^= v if a == b else hashed(f"{own}\n{b}")
+                    x = found.setdefault((h, key), [0, 0, 0])
+                    x[0] += a == b
+                    x[1] += a == 1
                     x[2] += 1
-                    x[3] += a
-            columns = [[k[0] for k in found], [k[1] for k in found], *([v[i] for v in found.values()] for i in range(4))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], ["host", "key", "opens", "closes", "pages", "n"])
+                # no text has a line feed, so this key is none of theirs
+                found.setdefault((h, hashed("#\n" + "\n".join(f"{n} {k}" for k, n in texts.items()))), [0, 0, 0])
+            columns = [[k[0] for k in found], [k[1] for k in found], *([v[i] for v in found.values()] for i in range(3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], ["host", "key", "balanced", "once", "pages"])
 
-    rows = pages.select(host().alias("host"), "page_id", "url", "html").mapInArrow(tidied(run), "host string, key bigint, opens bigint, closes bigint, pages bigint, n bigint")
-    return rows.groupBy("host", "key").agg(F.bit_xor("opens").alias("opens"), F.bit_xor("closes").alias("closes"), F.sum("pages").alias("pages"), F.sum("n").alias("n"))
+    rows = pages.select(host().alias("host"), "html").mapInArrow(tidied(run), "host string, key bigint, balanced bigint, once bigint, pages bigint")
+    return rows.groupBy("host", "key").agg(F.sum("balanced").alias("balanced"), F.sum("once").alias("once"), F.sum("pages").alias("pages"))
 
 
 def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(host, elements, once, every): hashes of the roles of each host's template, of those that a page has once, and
-    of what is once on all pages. And the hot hosts, fewer than HOT rows."""
+    of the texts that are once on all pages. And the hot hosts, fewer than HOT rows."""
     # a text on one page is no template; an element on one page may be, if the host has few pages
-    classes = cut_lineage(token_classes(pages).where("opens = closes and (pages > 1 or key % 2 = 0)"))
-    size = classes.where("key = 0").select("host", F.col("pages").alias("of"))
-    shared = classes.where("key <> 0 and (pages > 1)").join(size, "host").where(f"pages * 100 >= of * {SUPPORT}")
+    classes = cut_lineage(token_classes(pages).where(f"pages = 0 or (balanced * 100 >= pages * {BALANCED} and (pages > 1 or key % 2 = 0))"))
+    different = classes.where("pages = 0").groupBy("host").agg(F.count(F.lit(1)).alias("different"))
+    size = classes.where("key = 0").select("host", F.col("pages").alias("of")).join(different, "host")
+    shared = classes.where("key <> 0 and pages > 1").join(size, "host").where(f"pages * 100 >= of * {SUPPORT}")
     alone = classes.where("key <> 0 and pages = 1").join(size.where(f"{SUPPORT} * of <= 100"), "host")
-    total = size.agg(F.sum("of")).first()[0] or 0
+    total = classes.where("key = 0").agg(F.sum("pages")).first()[0] or 0
     hot = size.where(F.col("of") * HOT > total).select(F.col("host").alias("_hot"))
+    role = F.col("key") % 2 == 0
     found = shared.unionByName(alone).groupBy("host").agg(
-        F.collect_list("key").alias("elements"),
-        F.collect_list(F.when(F.col("n") == F.col("pages"), F.col("key"))).alias("once"),
-        F.collect_list(F.when((F.col("n") == F.col("pages")) & (F.col("pages") == F.col("of")) & (F.col("of") >= TEXT_PAGES), F.col("key"))).alias("every"),
+        F.collect_list(F.when(role, F.col("key"))).alias("elements"),
+        F.collect_list(F.when(role & (F.col("once") * 100 >= F.col("pages") * BALANCED), F.col("key"))).alias("once"),
+        # copies of a page have the same texts, so a text of all pages is one of all different pages
+        F.collect_list(F.when(~role & (F.col("once") == F.col("of")) & (F.col("different") >= TEXT_PAGES), F.col("key"))).alias("every"),
     )
     return found, hot
 

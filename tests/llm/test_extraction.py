@@ -89,3 +89,23 @@ def test_page_without_a_named_element():
     source = f'<body><p>Motto</p><div class="wrap"><h1>Title</h1><div class="inner"><p>{LONG}</p></div><p>Last</p></div></body>'
     assert main_text(source, ["Motto"]) == f"Title\n{LONG}\nLast"
     assert main_text(source) == f"Motto\nTitle\n{LONG}\nLast"
+
+
+# ---- hosts of different sizes
+
+
+def post(i, rest="</div><p>Bye</p></body></html>"):
+    return f'<html><body><p>Motto</p><div class="post"><p>Text {i}</p><p>By us</p>{rest}'
+
+
+@pytest.mark.parametrize("n", [4, 40])
+def test_a_page_that_is_cut_off_changes_no_other(spark, n):
+    got = texts(spark, [("a.example", post(i)) for i in range(n)] + [("a.example", post("cut", "<p>of"))])
+    assert got == [*(f"Text {i}\nBy us" for i in range(n)), "Text cut\nBy us\nof"]
+
+
+@pytest.mark.parametrize("n", [7, 8, 30])
+def test_copies_of_a_page_are_no_template(spark, n):
+    plain = "<html><body><h1>Title</h1><p>One</p><p>two</p></body></html>"
+    got = texts(spark, [("a.example", post(1)) for _ in range(n)] + [("b.example", plain) for _ in range(n)] + [("c.example", plain.replace("</h1>", f"</h1><p>{i}</p>").replace("<body>", "<body><article>").replace("</body>", "</article></body>")) for i in range(n)])
+    assert got == ["Text 1\nBy us"] * n + ["Title\nOne\ntwo"] * n + [f"Title\n{i}\nOne\ntwo" for i in range(n)]
