@@ -18,35 +18,44 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 PASSED = f"us < (SELECT max(us) // 1000 * 1000 - {HOUR} FROM e)"
 
 
-def _streamed(spark, sf, *parts):
-    """The trace as a stream; parts are conditions, each the content of one file, in order of arrival."""
-    rows = trace(spark, sf).select("cycle", F.col("ts").cast("timestamp").alias("ts"), "us", "user_id", "value", "purchase")
-    path = scratch(spark, "events")
-    for part in parts or ["true"]:
-        rows.where(part).orderBy(F.xxhash64("cycle")).coalesce(1).write.mode("append").parquet(path)
-    return live_source(spark, "parquet", rows.schema, path=path, maxFilesPerTrigger=1)
+class _Parts:
+    """The trace as a stream; parts are conditions on the rows that arrive together, in order of arrival. A part has as many files as Spark makes."""
 
+    def __init__(self, spark, sf, *parts):
+        self.rows = trace(spark, sf).select("cycle", F.col("ts").cast("timestamp").alias("ts"), "us", "user_id", "value", "purchase")
+        self.path, self.parts = scratch(spark, "events"), parts or ("true",)
+        self.rows.limit(0).write.parquet(self.path)
+        self.stream = live_source(spark, "parquet", self.rows.schema, path=self.path)
 
-def _result(spark, frame, name):
+    def run(self, writer):
+        """Write each part and run the stream over it, always on the writer's checkpoint; all files of a part are one batch."""
+        for part in self.parts:
+            self.rows.where(part).repartitionByRange("us").sortWithinPartitions(F.xxhash64("cycle")).write.mode("append").parquet(self.path)
+            writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def _result(spark, parts, frame, name):
     """Run a stream to its end and read what it wrote."""
     sink, checkpoint = scratch(spark, name), scratch(spark, f"{name}-log")
-    frame.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    parts.run(frame.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint))
     return spark.read.schema(frame.schema).parquet(sink)
 
 
-def _batches(spark, stream, run):
-    stream.writeStream.foreachBatch(run).option("checkpointLocation", scratch(spark, "batches-log")).trigger(availableNow=True).start().awaitTermination()
+def _batches(spark, parts, run):
+    parts.run(parts.stream.writeStream.foreachBatch(run).option("checkpointLocation", scratch(spark, "batches-log")))
 
 
 def _objects(spark, sf, depth=1, **more):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    states = monitor.object_stream(_streamed(spark, sf), "user_id", "ts", "cycle", "value", "1 hour", depth, **more)
-    return _result(spark, states, "states")
+    parts = _Parts(spark, sf)
+    states = monitor.object_stream(parts.stream, "user_id", "ts", "cycle", "value", "1 hour", depth, **more)
+    return _result(spark, parts, states, "states")
 
 
 @query("live_source", f"WITH {E} SELECT user_id, count(*) AS n, max(value) AS top FROM e GROUP BY user_id")
 def live_source_query(spark, sf):
-    got = _result(spark, _streamed(spark, sf).select("user_id", "value"), "live")
+    parts = _Parts(spark, sf)
+    got = _result(spark, parts, parts.stream.select("user_id", "value"), "live")
     return got.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
 
 
@@ -65,8 +74,8 @@ def stream_order(spark, sf):
 @query("stream_late", f"WITH {E} SELECT cycle, user_id FROM e WHERE cycle % 10 = 3 AND us < (SELECT max(us) FROM e WHERE cycle % 10 <> 3) - {24 * HOUR}")
 def stream_late(spark, sf):
     sink = scratch(spark, "parted")
-    stream = _streamed(spark, sf, "cycle % 10 <> 3", "cycle % 10 = 3")
-    _batches(spark, stream, monitor.late_batches(spark, scratch(spark, "latest"), "ts", "24 hours", sink))
+    parts = _Parts(spark, sf, "cycle % 10 <> 3", "cycle % 10 = 3")
+    _batches(spark, parts, monitor.late_batches(spark, scratch(spark, "latest"), "ts", "24 hours", sink))
     return spark.read.parquet(f"{sink}/late").select("cycle", "user_id")
 
 
@@ -101,13 +110,14 @@ def stream_world(spark, sf):
         q = exists(lambda u: u.purchase.last(0.0) > 250, {"u": objs}, end=end)
         return quantify.world_rule("rich", q.truth(batch.select("cycle", "ts")), "alert", "somebody is rich", "cycle", "ts")
 
-    stream = _streamed(spark, sf, f"cycle <= {a}", f"cycle > {a} AND cycle <= {b}", f"cycle > {b}")
-    _batches(spark, stream, monitor.world_batches(spark, scratch(spark, "last"), ["cycle"], "user_id", ["purchase"], evaluate, sink))
+    parts = _Parts(spark, sf, f"cycle <= {a}", f"cycle > {a} AND cycle <= {b}", f"cycle > {b}")
+    _batches(spark, parts, monitor.world_batches(spark, scratch(spark, "last"), ["cycle"], "user_id", ["purchase"], evaluate, sink))
     return spark.read.parquet(sink).select("cycle_id")
 
 
 @query("stream_processing_time", f"WITH {E} SELECT user_id, count(*) AS n FROM e GROUP BY user_id")
 def stream_processing_time(spark, sf):
     """Rows stamped with the time at which they are processed, all of them later than their own."""
-    got = _result(spark, _streamed(spark, sf).withColumn("at", F.current_timestamp()), "stamped")
+    parts = _Parts(spark, sf)
+    got = _result(spark, parts, parts.stream.withColumn("at", F.current_timestamp()), "stamped")
     return got.where("at > ts").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))

@@ -7,17 +7,23 @@ never reopen a cycle: Spark drops and counts them, and late_batches() keeps them
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 from objwatch.operators.objects import ObjectSet
 from objwatch.operators.rules import VERDICT
 
+#: Waiting rows of a key are kept in chunks of so many, sorted by time; rows are given out in frames of FRAME.
+CHUNK, FRAME = 256, 10_000
+WAITING = np.dtype([("us", "<i8"), ("order", "<i8"), ("value", "<f8")])
+
 
 class ObjectProcessor(StatefulProcessor):
     """State of one object of a collection with one numeric signal.
@@ -27,7 +33,8 @@ class ObjectProcessor(StatefulProcessor):
     shared clock; an update at the time of a tick is applied before it.
     ends_below: an update under this value ends the object; the next one starts it anew.
     One timer per object is set, at the earliest time that it waits for; when the watermark has
-    passed it, all rows and ticks up to the watermark are applied in order.
+    passed it, all rows and ticks up to the watermark are applied in order. Rows that arrive together
+    wait as a run of sorted chunks; runs are merged, so that a key's history is never in memory at once.
     """
 
     def __init__(self, depth: int = 1, step_ms: int | None = None, zero_ms: int | None = None, ends_below: float | None = None):
@@ -35,7 +42,8 @@ class ObjectProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", StructType([StructField("us", LongType()), StructField("order", LongType()), StructField("value", DoubleType())]))
+        self.waiting = handle.getMapState("waiting", StructType([StructField("us", LongType()), StructField("number", LongType())]), StructType([StructField("rows", BinaryType())]))
+        self.chunks = handle.getValueState("chunks", StructType([StructField("n", LongType())]))
         self.past = handle.getListState("past", StructType([StructField("value", DoubleType())]))
         self.clock = handle.getValueState("clock", StructType([StructField("next_us", LongType())]))
 
@@ -45,15 +53,46 @@ class ObjectProcessor(StatefulProcessor):
         return {"key": key[0], "ts": pd.Timestamp(us, unit="us"), "order": order, "kind": kind, "value": value, "last": past[0] if past else None, **prevs}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
+        first = None
         for batch in rows:
-            for ts, order, value in zip(batch["ts"], batch["order"], batch["value"], strict=True):
-                new.append((pd.Timestamp(ts).value // 1000, int(order), None if pd.isna(value) else float(value)))
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(min(us for us, _, _ in new) // 1000 + 1)
+            new = [(pd.Timestamp(ts).value // 1000, int(order), np.nan if pd.isna(value) else float(value)) for ts, order, value in zip(batch["ts"], batch["order"], batch["value"], strict=True)]
+            if new:
+                first = min(first, min(new)[0]) if first is not None else min(new)[0]
+                self._wait(new)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         return iter(())
 
+    def _wait(self, rows: list[tuple[int, int, float]]) -> None:
+        """Keep rows as a run: chunks by time, each under its first time and a number of its own."""
+        run = np.sort(np.array(rows, WAITING), order=["us", "order"])
+        n = self.chunks.get()[0] if self.chunks.exists() else 0
+        for i in range(0, len(run), CHUNK):
+            self.waiting.updateValue((int(run["us"][i]), n), (run[i : i + CHUNK].tobytes(),))
+            n += 1
+        self.chunks.update((n,))
+
+    def _ready(self, mark: int, later: list[int]) -> Iterator[tuple[int, int, float]]:
+        """Rows before mark by (time, order), taken out of the state; later gets the first time that waits on."""
+        keys = sorted(self.waiting.keys())
+        open_rows: list[tuple[int, int, float]] = []
+        for us, number in keys:
+            if us >= mark:
+                later.append(us)
+                break
+            while open_rows and open_rows[0][0] < us:
+                yield heapq.heappop(open_rows)
+            for row in np.frombuffer(self.waiting.getValue((us, number))[0], WAITING).tolist():
+                heapq.heappush(open_rows, row)
+            self.waiting.removeKey((us, number))
+        while open_rows and open_rows[0][0] < mark:
+            yield heapq.heappop(open_rows)
+        if open_rows:
+            later.append(open_rows[0][0])
+            self._wait(open_rows)
+        elif not later:
+            self.chunks.clear()
+
     def _first_tick(self, us: int) -> int | None:
         if not self.step_ms:
             return None
@@ -65,15 +104,17 @@ class ObjectProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
-        ready, rest = [r for r in rows if r[0] < mark], [tuple(r) for r in rows if r[0] >= mark]
         past = [r[0] for r in self.past.get()]
         clock = self.clock.get()[0] if self.clock.exists() else None
-        out = []
-        for us, order, value in ready:
+        out, later = [], []
+        for us, order, held in self._ready(mark, later):
+            value = None if held != held else held
             while clock is not None and clock < us:
                 out.append(self._row(key, clock, None, "tick", None, past))
                 clock += self.step_ms * 1000
+                if len(out) >= FRAME:
+                    yield pd.DataFrame(out)
+                    out = []
             if clock is None:
                 clock = self._first_tick(us)
             if value is not None:
@@ -81,13 +122,18 @@ class ObjectProcessor(StatefulProcessor):
             out.append(self._row(key, us, order, "event", value, past))
             if value is not None and self.ends_below is not None and value < self.ends_below:
                 past, clock = [], None
+            if len(out) >= FRAME:
+                yield pd.DataFrame(out)
+                out = []
         while clock is not None and clock < mark:
             out.append(self._row(key, clock, None, "tick", None, past))
             clock += self.step_ms * 1000
-        self.waiting.put(rest) if rest else self.waiting.clear()
+            if len(out) >= FRAME:
+                yield pd.DataFrame(out)
+                out = []
         self.past.put([(v,) for v in past]) if past else self.past.clear()
         self.clock.update((clock,)) if clock is not None else self.clock.clear()
-        waits = [r[0] for r in rest[:1]] + ([clock] if clock is not None else [])
+        waits = later + ([clock] if clock is not None else [])
         if waits:
             self.handle.registerTimer(min(waits) // 1000 + 1)
         if out:

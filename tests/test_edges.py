@@ -12,7 +12,7 @@ from objwatch.plans import catalog
 def written(folder, values):
     """events of one row each: (user, value)."""
     start = datetime.datetime(2024, 1, 1)
-    rows = [{"event_id": i, "ts": start + datetime.timedelta(hours=3 * i), "user_id": u, "event_type": "click", "value": v, "props": "{}"} for i, (u, v) in enumerate(values)]
+    rows = [{"event_id": i, "ts": start + datetime.timedelta(hours=3 * i), "user_id": u, "event_type": "purchase", "value": v, "props": "{}"} for i, (u, v) in enumerate(values)]
     pq.write_table(pa.Table.from_pylist(rows, pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("user_id", pa.int64()), ("event_type", pa.string()), ("value", pa.float64()), ("props", pa.string())])), f"{folder}/events.parquet")
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
@@ -24,3 +24,54 @@ def test_quantify_n_at_the_edge_of_a_code(spark, tmp_path):
     got = sorted(tuple(r) for r in catalog.QUERIES["quantify_n"](spark, folder).select("cycle", "n").collect())
     assert got == sorted(duck.sql(catalog.ORACLE_SQL["quantify_n"]).select("cycle, n::BIGINT").fetchall())
     assert [n for _, n in got] == [0, 0, 1, 3, 3, 3, 1]
+
+
+def test_streams_of_several_files(spark, tmp_path, monkeypatch):
+    """Parts of a stream have several files, and no task sees all rows."""
+    from objwatch.plans import queries_stream
+
+    folder, duck = written(tmp_path, [(i % 3, float(i * 37 % 301)) for i in range(900)])
+    made = []
+    run = queries_stream._Parts.run
+    monkeypatch.setattr(queries_stream._Parts, "run", lambda self, writer: (made.append(self), run(self, writer))[1])
+    monkeypatch.setattr(queries_stream.monitor, "CHUNK", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name in ("stream_state", "stream_late", "stream_world"):
+            columns = "cycle_id" if name == "stream_world" else "cycle, user_id" if name == "stream_late" else "cycle, user_id, last, prev_1, prev_2"
+            got = catalog.QUERIES[name](spark, folder).selectExpr(*columns.split(", ")).collect()
+            want = duck.sql(f"SELECT {columns} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+            assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and want
+            rows = spark.read.parquet(made[-1].path).groupBy("_metadata.file_path").count().collect()
+            assert len(rows) >= 4 * len(made[-1].parts) and max(r["count"] for r in rows) < 450
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_waiting_rows_are_merged_by_time():
+    """Runs of chunks, out of order, with a mark inside of one: rows come by time, and few are open at once."""
+    from objwatch.streaming import monitor
+
+    class Map(dict):
+        updateValue, getValue, removeKey = dict.__setitem__, dict.get, dict.pop  # noqa: N815
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, v):
+            self.held = v
+
+        def clear(self):
+            self.held = None
+
+    p = monitor.ObjectProcessor()
+    p.waiting, p.chunks = Map(), Value()
+    rows = [(i * 7919 % 5000, i, float(i)) for i in range(5000)]
+    for i in range(0, 5000, 1000):
+        p._wait(rows[i : i + 1000])
+    assert max(len(v[0]) for v in p.waiting.values()) == 24 * monitor.CHUNK
+    later = []
+    assert list(p._ready(3333, later)) == sorted(r for r in rows if r[0] < 3333) and min(later) == 3333
+    assert list(p._ready(9999, [])) == sorted(r for r in rows if r[0] >= 3333) and not p.waiting and p.chunks.held is None
