@@ -10,15 +10,15 @@ the pieces of its length, which is counted in parallel.
 from __future__ import annotations
 
 import bisect
-import gc
-import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,31 +26,71 @@ from objwatch.llm.common import cut_lineage, table, tidied
 
 CAPACITY = 2048
 END_ID = 0
-#: Distinct words, and runs of letters, whose ids a worker keeps: twice as many at most.
-WORD_CACHE, LETTER_CACHE = 100_000, 300_000
+#: Runs of letters, and other words, whose ids a worker keeps: twice as many at most, and none of over LONGEST characters.
+RUN_CACHE, WORD_CACHE, LONGEST = 300_000, 50_000, 64
+#: Bytes of texts that are looked at together.
+BLOCK_BYTES = 8 << 20
 #: Rows of one length that one window of ranks holds, about.
 RANK_ROWS = 2_000
 
 
-class _Cache:
-    """A dictionary that forgets what was not asked for lately: what is found among the old moves to the young."""
+#: Letters of words that are parts by themselves: Latin ones with one lower case each. And ASCII symbols but the apostrophe, which begins tokens with letters.
+LETTERS = "".join(c for c in map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)]) if c not in "\u00d7\u00f7\u0130")
+SYMBOLS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+class _Ids:
+    """Token ids of many strings in one array: of string i, ids[begin[i] : begin[i + 1]]."""
 
-    def renew(self) -> None:
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray):
+        self.ids, self.begin = ids, np.concatenate([[0], np.cumsum(lengths)])
 
-    def missing(self, keys: set[str]) -> list[str]:
-        unknown = keys.difference(self.young)
-        again = unknown & self.old.keys()
-        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        return list(unknown.difference(again))
+    def take(self, which: np.ndarray) -> _Ids:
+        """The strings of these numbers, one after the other."""
+        lengths = self.begin[which + 1] - self.begin[which]
+        out = _Ids(self.ids[:0], lengths)
+        at = np.arange(out.begin[-1]) + np.repeat(self.begin[which] - out.begin[:-1], lengths)
+        out.ids = self.ids[at]
+        return out
 
+    def join(self, other: _Ids) -> _Ids:
+        """The strings of both."""
+        return _Ids(np.concatenate([self.ids, other.ids]), np.diff(np.concatenate([self.begin, other.begin[1:] + self.begin[-1]])))
 
-#: A line of Latin letters and then of ASCII symbols other than the apostrophe, which begins tokens with letters; or any line.
-LETTERS_SYMBOLS = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)|.*)$", re.M)
+
+class _Cache:
+    """Ids of strings; learn(strings) finds those it does not hold. It forgets what was not asked for lately: what is found among the old moves to the young."""
+
+    def __init__(self, size: int, learn: Callable[[list[str]], _Ids]):
+        self.size, self.learn = size, learn
+        self.young, self.old = self._none(), self._none()
+
+    @staticmethod
+    def _none() -> tuple[dict[str, int], _Ids]:
+        return {}, _Ids(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def of(self, strings: list[str]) -> _Ids:
+        """Their ids, in order; strings differ from each other."""
+        if len(self.young[0]) > self.size:
+            self.old, self.young = self.young, self._none()
+        (rows, kept), (old, ids) = self.young, self.old
+        at = np.fromiter(map(rows.get, strings, repeat(-1)), np.int64, len(strings))
+        missing = np.flatnonzero(at < 0)
+        wanted = [strings[i] for i in missing.tolist()]
+        before = np.fromiter(map(old.get, wanted, repeat(-1)), np.int64, len(wanted))
+        new = np.flatnonzero(before < 0)
+        again = np.flatnonzero(before >= 0)
+        kept = kept.join(ids.take(before[again])).join(self.learn([wanted[i] for i in new.tolist()]))
+        at[missing[np.concatenate([again, new])]] = np.arange(len(rows), len(rows) + len(wanted))
+        found = kept.take(at)
+        own = at[missing]
+        if max(map(len, wanted), default=0) > LONGEST:  # long ones are forgotten at once
+            fit = np.array([i for i, s in enumerate(wanted) if len(s) <= LONGEST], np.int64)
+            kept = kept.take(np.concatenate([np.arange(len(rows)), own[fit]]))
+            wanted, own = [wanted[i] for i in fit.tolist()], np.arange(len(rows), len(rows) + len(fit))
+        rows.update(zip(wanted, own.tolist(), strict=True))
+        self.young = rows, kept
+        return found
 
 
 class WordTokenizer:
@@ -59,61 +99,65 @@ class WordTokenizer:
     The vocabulary's pre-tokeniser never joins characters across a space or line feed and its
     normaliser has no rule that looks across one, so a text's ids are its words' ids in order. It
     parts letters from symbols, too, and makes letters lower case: words of Latin letters and
-    symbols are the ids of their letters in lower case and those of their symbols.
+    symbols are the ids of their letters in lower case and those of their symbols. Each word of a
+    block of texts is looked at once.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.letters = _Cache(WORD_CACHE), _Cache(LETTER_CACHE)
-        self.symbols: dict[str, bytes] = {"": b""}
+        self.tokenizer, self.of_runs = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # runs of letters in lower case need no normalising, and a space between them is where they part
+        self.of_runs.normalizer = normalizers.Sequence([])
+        self.of_runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _of_letters(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs of letters; joined by spaces, they are one text whose ids the ends of words part."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        self.runs, self.whole = _Cache(RUN_CACHE, self._of_runs), _Cache(WORD_CACHE, self._each)
+
+    def _each(self, strings: list[str]) -> _Ids:
+        found = [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
+        return _Ids(np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def _of_runs(self, runs: list[str]) -> _Ids:
+        """Ids of runs of letters, one of which may be empty; joined by spaces, they are one text whose ids the ends of words part."""
+        if "" in runs:
+            at = runs.index("")
+            found = self._of_runs(runs[:at] + runs[at + 1 :])
+            return _Ids(found.ids, np.insert(np.diff(found.begin), at, 0))
+        ids = [np.array(self.of_runs.encode_batch_fast([" ".join(runs[i : i + 20_000])], add_special_tokens=False)[0].ids, np.uint32) for i in range(0, len(runs), 20_000)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(runs):
-            return self._each(runs)
-        raw = ids.tobytes()
-        cuts = [0, *(4 * ends).tolist()]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        parts = LETTERS_SYMBOLS.findall("\n".join(new).lower()) if new else []
-        runs, signs = (set(x) for x in zip(*parts, strict=True)) if parts else (set(), set())
-        runs.discard("")
-        unseen = self.letters.missing(runs)
-        for i in range(0, len(unseen), 2000):
-            part = unseen[i : i + 2000]
-            self.letters.young.update(zip(part, self._of_letters(part), strict=True))
-        if len(self.symbols) > 10_000:
-            self.symbols = {"": b""}
-        fresh = list(signs.difference(self.symbols))
-        self.symbols.update(zip(fresh, self._each(fresh), strict=True))
-        young, letters, symbols = self.words.young, self.letters.young, self.symbols
-        letters[""] = b""
-        young.update(zip(new, [letters[run] + symbols[s] for run, s in parts], strict=True))
-        whole = [w for w, (run, _) in zip(new, parts, strict=True) if not run and w]
-        for i in range(0, len(whole), 20_000):
-            part = whole[i : i + 20_000]
-            young.update(zip(part, self._each(part), strict=True))
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """For each text its ids and END_ID, as little-endian unsigned 32-bit numbers."""
-        end = END_ID.to_bytes(4, "little")
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self.words.renew()
-        self.letters.renew()
-        self._learn(self.words.missing(set().union(*words)))
-        get = self.words.young.__getitem__
-        for w in words:
-            yield b"".join(map(get, w)) + end
+        return _Ids(ids, np.diff(ends, prepend=0)) if len(ends) == len(runs) else self._each(runs)
+
+    def _of_words(self, words: pa.Array) -> _Ids:
+        """Ids of words that differ from each other: first those of letters and symbols, in two parts; then all others."""
+        letters, symbols = pc.utf8_rtrim(words, SYMBOLS), pc.utf8_ltrim(words, LETTERS)
+        size = pc.binary_length(words).to_numpy()
+        parted = pc.binary_length(letters).to_numpy() + pc.binary_length(symbols).to_numpy() == size
+        letters = pc.utf8_lower(letters.filter(pa.array(parted))).dictionary_encode()
+        symbols = symbols.filter(pa.array(parted)).dictionary_encode()
+        others = words.filter(pa.array(~parted))
+        parts = self.runs.of(letters.dictionary.to_pylist()).join(self.whole.of(symbols.dictionary.to_pylist()))
+        n = len(letters)
+        both = np.empty(2 * n, np.int64)
+        both[::2] = letters.indices.to_numpy()
+        both[1::2] = symbols.indices.to_numpy().astype(np.int64) + len(letters.dictionary)
+        doubled = parts.take(both)
+        found = _Ids(doubled.ids, np.diff(doubled.begin[::2])).join(self.whole.of(others.to_pylist()))
+        place = np.empty(len(words), np.int64)
+        place[parted] = np.arange(n)
+        place[~parted] = n + np.arange(len(others))
+        return found.take(place)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by END_ID, and where each text begins; one entry more is the end."""
+        words = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        known = self._of_words(coded.dictionary).join(_Ids(np.array([END_ID], np.uint32), np.array([1])))
+        per = words.value_lengths().to_numpy()
+        ends = np.cumsum(per)
+        found = known.take(np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(coded.dictionary)))
+        return found.ids, found.begin[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
 
 
 def default_tokenizer() -> str:
@@ -126,6 +170,18 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 _TOKENIZERS: dict[str, WordTokenizer] = {}  # of this worker
 
 
+def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about BLOCK_BYTES; a row is never split."""
+    begin = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and total + n > BLOCK_BYTES:
+            yield begin, i
+            begin, total = i, 0
+        total += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents of over capacity ids are cut into pieces of capacity."""
     path = tokenizer or default_tokenizer()
@@ -134,17 +190,18 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = WordTokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows: list[tuple] = []
-                gc.disable()  # nothing here makes cycles, and each collection would walk the caches
-                encoded = list(_TOKENIZERS[path].encode(part["text"].to_pylist()))
-                gc.enable()
-                for doc, ids in zip(part["doc_id"].to_pylist(), encoded, strict=True):
-                    for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[s : s + 4 * capacity]
-                        rows.append((doc, k, s // 4, len(cut) // 4, zlib.crc32(cut)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for lo, hi in _blocks(pc.binary_length(batch["text"]).fill_null(0).to_numpy()):
+                part = batch.slice(lo, hi - lo)
+                ids, begin = _TOKENIZERS[path].encode(part["text"])
+                sizes = np.diff(begin)
+                pieces = -(-sizes // capacity)
+                doc = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(sizes[doc] - start, capacity)
+                raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((begin[doc] + start).tolist(), (begin[doc] + start + length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(tidied(run), PIECES)
 
@@ -268,24 +325,24 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 
 def _ranked(pieces: DataFrame) -> DataFrame:
-    """Add rank, from 0, among the pieces of one length. No window holds much more than RANK_ROWS rows of a length."""
-    per_length = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("_n"))  # at most `capacity` rows
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.floor(F.col("_n") / RANK_ROWS) + 1)
+    """Add rank, from 0, among the pieces of one length. _n numbers the pieces; no window holds much more than RANK_ROWS rows of a length, whatever their ids."""
+    per_length = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("_of"))  # at most `capacity` rows
+    shard = F.pmod(F.xxhash64("_n"), F.floor(F.col("_of") / RANK_ROWS) + 1)
     sharded = pieces.join(F.broadcast(per_length), "length").withColumn("_shard", shard)
     sizes = sharded.groupBy("length", "_shard").agg(F.count(F.lit(1)).alias("_size"))
     before = F.sum("_size").over(Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).select("length", "_shard", "_before")
-    own = F.row_number().over(Window.partitionBy("length", "_shard").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    return sharded.withColumn("_own", own).join(starts, ["length", "_shard"]).withColumn("rank", F.col("_before") + F.col("_own")).drop("_n", "_shard", "_own", "_before")
+    own = F.row_number().over(Window.partitionBy("length", "_shard").orderBy("doc_id", "piece", "ids_crc32", "_n")) - 1
+    return sharded.withColumn("_own", own).join(starts, ["length", "_shard"]).withColumn("rank", F.col("_before") + F.col("_own")).drop("_of", "_shard", "_own", "_before", "_n")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of docs(doc_id, text, ...): PIECES, sequence_id and offset.
 
-    A null text counts as empty and is one id, END_ID. Repeated rows are packed each for itself.
-    An empty table gives no rows. Other columns are ignored.
+    A null text counts as empty and is one id, END_ID. Repeated rows, and rows without an id, are packed
+    each for itself. An empty table gives no rows. Other columns are ignored.
     """
-    pieces = cut_lineage(tokenized_pieces(docs, tokenizer, capacity))
+    pieces = cut_lineage(tokenized_pieces(docs, tokenizer, capacity).withColumn("_n", F.monotonically_increasing_id()))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     segments = plan_packing(counts, capacity).frame()
     columns = {c: segments[c].to_numpy() for c in segments}

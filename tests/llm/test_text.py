@@ -188,6 +188,30 @@ def test_repeated_rows_are_packed_each(spark):
     assert len(got) == 3 and sorted(got.offset) == [0, 3, 6] and got.sequence_id.nunique() == 1
 
 
+def test_ids_of_any_text_are_those_of_the_tokenizer(sf_dir):
+    """Random texts of Latin, odd case, marks, separators and special tokens; two rounds with small caches, so that old words are forgotten and found again."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(3)
+    letters = [*map(chr, range(32, 0x250)), *"Σσς\u0130ıK\u212bſẞßǅ\u0300\u0301\u00a0\u2003\u3000\u200b\t\r\x0b\x1c\u0085\u2028漢字かなไท한١٢½²'’", "'s", "'t", "<|endoftext|>", "<|startoftext|>"]
+    kinds = [letters, list(map(chr, range(32, 127))), list("abAB .,'!é\n")]
+    texts = ["".join(rng.choice(kinds[i % 3], size=rng.choice([0, 1, 3, 10, 60]))) for i in range(3000)]
+    texts += [None, "", "  ", "\n\n", "a" * 5000, "x" * 70 + " " + "y" * 70 + "!", *text_of(sf_dir)[:40]]
+    whole, words = Tokenizer.from_file(packing.default_tokenizer()), packing.WordTokenizer(packing.default_tokenizer())
+    words.runs.size = words.whole.size = 500
+    for _ in range(2):
+        for at in range(0, len(texts), 700):
+            ids, begin = words.encode(pa.array(texts[at : at + 700], pa.string()))
+            for k, t in enumerate(texts[at : at + 700]):
+                assert ids[begin[k] : begin[k + 1]].tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 0], repr(t)
+
+
+def test_pieces_without_ids_are_dealt_to_many_windows(spark):
+    """5,000 rows without an id and of one length: each window of ranks holds a few thousand, and places are unique."""
+    got = packing.pack(frame(spark, [(None, "a b")] * 5000)).toPandas()
+    assert len(got) == 5000 and not got.duplicated(["sequence_id", "offset"]).any() and got.sequence_id.nunique() == -(-5000 // (2048 // 3))
+
+
 # ---- language and quality
 
 
