@@ -1,6 +1,7 @@
 """Main text of pages: attributes, omitted tags, slots and hosts of different sizes."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from objwatch.llm import extraction
 
@@ -52,8 +53,7 @@ OMITTED = [
 
 @pytest.mark.parametrize(("source", "want"), OMITTED)
 def test_omitted_tags(source, want):
-    page = extraction.Page(source)
-    assert page.main_text({extraction.hashed(e.key) for e in page.elements}, set(), set()) == want
+    assert main_text(source) == want
 
 
 def test_many_open_elements_take_no_square_time():
@@ -69,9 +69,11 @@ def test_many_open_elements_take_no_square_time():
 
 
 def main_text(source, shared=()):
+    """The text by the template of 100 such pages, whose only common texts are those of shared."""
     page = extraction.Page(source)
-    roles = {extraction.hashed(e.key) for e in page.elements}
-    return page.main_text(roles, roles, {extraction.hashed(f"#{t}") for t in shared})
+    common = {extraction.text_token(page.elements[n].path if n >= 0 else 0, t) for _, t, n in page.texts if t in shared}
+    tokens = {k: [up, flags, 100 * on, 100 * agree, 100 * n] for k, (up, flags, on, agree, n) in page.tokens().items() if k >= 0 or k in common}
+    return page.main_text(extraction.deduce(tokens, 100, 100))
 
 
 LONG = "long " * 40 + "end"
@@ -109,3 +111,97 @@ def test_copies_of_a_page_are_no_template(spark, n):
     plain = "<html><body><h1>Title</h1><p>One</p><p>two</p></body></html>"
     got = texts(spark, [("a.example", post(1)) for _ in range(n)] + [("b.example", plain) for _ in range(n)] + [("c.example", plain.replace("</h1>", f"</h1><p>{i}</p>").replace("<body>", "<body><article>").replace("</body>", "</article></body>")) for i in range(n)])
     assert got == ["Text 1\nBy us"] * n + ["Title\nOne\ntwo"] * n + [f"Title\n{i}\nOne\ntwo" for i in range(n)]
+
+
+# ---- layouts, and what the classes decide
+
+
+def many(spark, form, n=10, host="a.example"):
+    return texts(spark, [(host, form.replace("{i}", f"of page {i} {'x' * (i + 1)}")) for i in range(n)])
+
+
+def parts(i):
+    return f"of page {i} {'x' * (i + 1)}"
+
+
+def test_all_parts_of_an_article_stay(spark):
+    form = '<body><article><h1>Title {i}</h1><div class="text"><p>Long text {i}</p><p>Long text</p></div><div class="more">More {i}</div></article></body>'
+    assert many(spark, form) == [f"Title {parts(i)}\nLong text {parts(i)}\nLong text\nMore {parts(i)}" for i in range(10)]
+    assert many(spark, form.replace("Title {i}", "Title")) == [f"Title\nLong text {parts(i)}\nLong text\nMore {parts(i)}" for i in range(10)]
+
+
+def test_all_sections_stay(spark):
+    form = '<body><section{a}><p>One {i}</p></section><section{b}><p>Two {i} and more</p></section></body>'
+    for a, b in (("", ""), (' class="text"', ' class="more"'), (' class="intro"', ' class="content"')):
+        got = many(spark, form.replace("{a}", a).replace("{b}", b))
+        assert got == [f"One {parts(i)}\nTwo {parts(i)} and more" for i in range(10)]
+
+
+def test_a_paragraph_with_a_class_word_stays(spark):
+    form = '<body><article><p>One {i}</p><p class="social">Two {i}</p><p class="notice">Three {i}</p></article></body>'
+    assert many(spark, form) == [f"One {parts(i)}\nTwo {parts(i)}\nThree {parts(i)}" for i in range(10)]
+
+
+@pytest.mark.parametrize("n", [1, 10])
+def test_headers(spark, n):
+    form = "<body><header>Site name and slogan {i}</header><div><h1>Title {i}</h1><p>Text {i}</p></div></body>"
+    assert many(spark, form, n) == [f"Title {parts(i)}\nText {parts(i)}" for i in range(n)]
+    form = "<body><article><header><h1>Title {i}</h1></header><p>Text {i}</p></article></body>"
+    assert many(spark, form, n) == [f"Title {parts(i)}\nText {parts(i)}" for i in range(n)]
+
+
+def test_comments_in_an_article_go(spark):
+    form = '<body><article><p>Text {i}</p><div class="comments"><p>{i} is longer than the text of the article is, by far</p></div></article></body>'
+    assert many(spark, form) == [f"Text {parts(i)}" for i in range(10)]
+
+
+def test_a_wrapper_with_a_class_word_stays(spark):
+    """The classes show that what is called a sidebar holds the data."""
+    form = '<body><div class="with sidebar"><p>Text {i}</p></div><div class="sidebar"><p>See {i}</p></div></body>'
+    form = form.replace("Text {i}", "Text {i}, which is the longer one of both")
+    assert many(spark, form) == [f"Text {parts(i)}, which is the longer one of both" for i in range(10)]
+
+
+def test_template_texts_are_found_without_any_name(spark):
+    """Elements without classes or telling names: what the pages have in common is the template, what differs is the article."""
+    form = "<body><div><p>Our motto</p><p>Call us</p></div><div><div><h2>{i}</h2><p>Text {i}</p></div></div><div><p>All rights reserved</p></div></body>"
+    assert many(spark, form, 12) == [f"{parts(i)}\nText {parts(i)}" for i in range(12)]
+    cut = [("a.example", form.replace("{i}", parts(i))) for i in range(12)] + [("a.example", form.replace("{i}", "cut")[: form.index("</h2>")])]
+    assert texts(spark, cut)[:12] == [f"{parts(i)}\nText {parts(i)}" for i in range(12)]
+
+
+def test_results_come_from_the_classes(spark):
+    """With the counts of another host's tokens, or with vectors that do not agree, results are others."""
+    form = "<body><div class=a><p>Our motto</p><p>Call us</p></div><div class=b><h2>{i}</h2><p>Text {i}</p></div></body>"
+    other = "<body><div class=a><h2>{i}</h2><p>Text {i}</p></div><div class=b><p>Our motto</p><p>Call us</p></div></body>"
+
+    def learned(source):
+        tokens: dict = {}
+        for i in range(12):
+            for k, row in extraction.Page(source.replace("{i}", parts(i))).tokens().items():
+                x = tokens.setdefault(k, [row[0], row[1], 0, 0, 0])
+                x[2:] = [a + b for a, b in zip(x[2:], row[2:], strict=True)]
+        return tokens
+
+    own, page = learned(form), extraction.Page(form.replace("{i}", parts(3)))
+    want = f"{parts(3)}\nText {parts(3)}"
+    assert page.main_text(extraction.deduce(own, 12, 12)) == want
+    assert page.main_text(extraction.deduce(learned(other), 12, 12)) != want
+    ranked = sorted(k for k in own if k)
+    shuffled = {0: own[0]} | {k: [*own[k][:2], *own[j][2:]] for k, j in zip(ranked, reversed(ranked), strict=True)}
+    assert page.main_text(extraction.deduce(shuffled, 12, 12)) != want
+    apart = {k: [up, flags, on, 0 if k else agree, n] for k, (up, flags, on, agree, n) in own.items()}
+    assert page.main_text(extraction.deduce(apart, 12, 12)) == f"Our motto\nCall us\n{want}"
+
+
+def test_clashing_columns_nulls_and_an_empty_table(spark):
+    pages = spark.createDataFrame([(None, None, None), (1, None, "<p>One</p>"), (1, None, "<p>One</p>"), (2, "no host", "")], "page_id bigint, url string, html string")
+    for c in ("host", "_h", "_s", "_host", "main", "texts", "token", "pages"):
+        pages = pages.withColumn(c, F.lit(1))
+    got = sorted((r["page_id"] or 0, r["text"]) for r in extraction.extract(pages).collect())
+    assert got == [(0, ""), (1, "One"), (1, "One"), (2, "")]
+    assert extraction.extract(pages.limit(0)).count() == 0
+
+
+def test_very_long_html(spark):
+    assert [len(t) for t in texts(spark, [("a.example", "<body><article>" + "<p>word</p>" * 200_000 + "</article></body>")])] == [200_000 * 5 - 1]
