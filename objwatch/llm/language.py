@@ -20,9 +20,8 @@ from objwatch.llm.common import table, tidied
 
 ORDERS = (1, 2, 3)
 SLOTS = 1 << 14
-#: Bounds of the training sample: rows over all languages (at least 8 a language), and bytes of a training text.
+#: Bound of the training sample: rows over all languages (at least 8 a language), of whatever length.
 TRAIN_ROWS = 1200
-TRAIN_BYTES = 1 << 16
 LANDMARKS = 192
 RIDGE = 1e-3
 UNKNOWN = "und"
@@ -122,23 +121,27 @@ def has_letter() -> F.Column:
 
 
 def sample_bits(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, list[str]]:
-    """Presence bits and languages of at most max(rows, 8 a language) rows of docs(doc_id, text, lang), the first by hash in each language."""
-    usable = docs.where(F.col("lang").isNotNull() & has_letter() & (F.octet_length("text") <= TRAIN_BYTES))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    """Presence bits and languages of at most max(rows, 8 a language) rows of docs(doc_id, text, lang), the first by hash in each language.
+
+    Bits are made where the texts are, from whole texts. Rows that repeat doc_id, text and lang count once, so that
+    what comes to the driver is bounded however often rows repeat.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & has_letter())
+    h = F.xxhash64(F.lit("language"), F.col("doc_id"), F.col("text"))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct(h, 0.02).alias("n")).collect()}
     if not counts:
         return np.zeros((0, SLOTS // 8), np.uint8), []
     quota = max(8, rows // len(counts))
     span = 1 << 30
     cut = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(span, int(span * (1.2 * quota + 20) / n)))])
-    order = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(span))
-    chosen = usable.select("lang", "text", order.alias("h")).where(F.col("h") < F.element_at(cut, F.col("lang")))
+    chosen = usable.select("lang", "text", h.alias("h")).where(F.pmod("h", F.lit(span)) < F.element_at(cut, F.col("lang"))).dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                packed = np.packbits(presence(part["text"].to_pylist()), axis=1)
-                yield pa.RecordBatch.from_arrays([part["lang"], part["h"], pa.array([x.tobytes() for x in packed], pa.binary())], ["lang", "h", "bits"])
+            texts = batch["text"].to_pylist()
+            for lo, hi in blocks(texts):
+                packed = np.packbits(presence(texts[lo:hi]), axis=1)
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(lo, hi - lo) for c in ("lang", "h")), pa.array([x.tobytes() for x in packed], pa.binary())], ["lang", "h", "bits"])
 
     got = sorted(chosen.mapInArrow(tidied(run), "lang string, h bigint, bits binary").collect(), key=lambda r: (r["lang"], r["h"], bytes(r["bits"])))
     taken: dict[str, int] = dict.fromkeys(counts, 0)
