@@ -8,7 +8,8 @@ one probability. Filters are trained by gradient descent through the pooling, th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objwatch.llm.common import table, tidied
+from objwatch.llm.common import cut_lineage, table, tidied
 
 TRAITS, STRIDE, WIDTH, FILTERS = 8, 4, 8, 32
 CELL = 64  # bytes that are pooled first
 CHUNK, HOP = 8, 7  # cells of a chunk, and cells from one chunk to the next: chunks overlap by one cell
 HIDDEN = 16
-#: Bounds of the training sample: rows of each label, and bytes of a training text.
-TRAIN_ROWS, TRAIN_BYTES = 700, 1 << 14
+FEATURES = 4 * FILTERS + 1
+#: Bounds of the training sample: rows of each label; and spans of a text, of so many bytes, that filters are learned from.
+TRAIN_ROWS, SPANS, SPAN_BYTES = 700, 32, 512
 EPOCHS, HEAD_STEPS = 12, 600
 #: Bytes convolved at once.
 BLOCK_BYTES = 1 << 19
@@ -81,9 +83,26 @@ class Network:
     head: tuple[np.ndarray, ...]
     shift: float = 0.0  # log odds of the labels' shares, which training evens out
 
+    def pooled(self, data: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Each cell's maximum over its windows, made BLOCK_BYTES at a time: a text may have any length."""
+        per = CELL // STRIDE
+        begins = (np.cumsum(n) - n) * per
+        out = []
+        for a in range(0, len(data), BLOCK_BYTES):
+            steps = BYTE_TRAITS[data[a : a + BLOCK_BYTES + STRIDE]].reshape(-1, STRIDE * TRAITS)  # one step more: windows reach into it
+            both = steps @ self.filters
+            lo, hi = np.searchsorted(begins, [a // STRIDE, a // STRIDE + len(steps)])
+            both[begins[lo:hi] - a // STRIDE, FILTERS:] = 0
+            own = min(len(steps), BLOCK_BYTES // STRIDE)
+            value = both[:own, :FILTERS]
+            after = both[1 : own + 1, FILTERS:]
+            value[: len(after)] += after
+            out.append(np.maximum(value.reshape(-1, per, FILTERS).max(1) + self.bias, 0))
+        return np.concatenate(out)
+
     def features(self, texts: list[bytes]) -> np.ndarray:
         data, n = _cells(texts)
-        pooled = np.maximum(_convolved(data, n, self.filters)[0].max(1) + self.bias, 0)
+        pooled = self.pooled(data, n)
         cells, first = _chunks(n)
         chunk = pooled[cells].max(1)
         per = np.diff(np.append(first, len(chunk)))[:, None]
@@ -167,54 +186,105 @@ def _train_head(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple
     return w, c, v, d
 
 
-def _with_snippets(texts: list[bytes], labels: list[int], rng: np.random.Generator) -> tuple[list[bytes], list[int]]:
-    """Also a few words from each good training text: short texts are rare in the sample, and being short is no fault."""
-    more = []
-    for t, label in zip(texts, labels, strict=True):
-        words = t.split(b" ")
-        k = min(len(words), int(rng.integers(1, 16)))
-        at = int(rng.integers(0, len(words) - k + 1))
-        if label == 1:
-            more.append(b" ".join(words[at : at + k]))
-    return [*texts, *more], [*labels, *[1] * len(more)]
+def spans(text: bytes, rng: np.random.Generator) -> bytes:
+    """A text as it is, or SPANS spans from all over it if it is longer than they are: one at a random place in each of as many equal parts."""
+    if len(text) <= SPANS * SPAN_BYTES:
+        return text
+    at = ((np.arange(SPANS) + rng.random(SPANS)) * ((len(text) - SPAN_BYTES) / SPANS)).astype(int)
+    return b"".join(text[i : i + SPAN_BYTES] for i in at.tolist())
+
+
+def snippet(text: bytes, rng: np.random.Generator) -> bytes:
+    """A few words of a text: short texts are rare in a sample, and a text's label is that of its parts, good or bad."""
+    words = text.split(b" ")
+    k = min(len(words), int(rng.integers(1, 16)))
+    at = int(rng.integers(0, len(words) - k + 1))
+    return b" ".join(words[at : at + k])
+
+
+def _own_rng(text: bytes) -> np.random.Generator:
+    """Random numbers that depend on the text alone, so that no order of rows changes the model."""
+    return np.random.default_rng(zlib.crc32(text))
+
+
+Part = tuple[bytes, bytes]  # what filters are learned from, and a snippet
+
+
+def sampled(text: str | None) -> Part:
+    raw = (text or "").encode()
+    rng = _own_rng(raw)
+    return spans(raw, rng), snippet(raw, rng)
 
 
-def fit(texts: list[bytes], labels: list[int], odds: float = 0.0, seed: int = 7) -> Network | float:
-    """A network, or a constant score if the sample is empty (0.5) or has one label only."""
+def fit(parts: list[Part], labels: list[int], whole: Callable[[Network], np.ndarray], odds: float = 0.0, seed: int = 7) -> Network | float:
+    """A network, or a constant score if the sample is empty (0.5) or has one label only.
+
+    parts are sampled() from the training texts; whole(network) gives the features of these texts, each as a whole.
+    Every text is used with its snippet, which has its label.
+    """
     if len(set(labels)) < 2:
         return float(np.mean(labels)) if labels else 0.5
     rng = np.random.default_rng(seed)
-    texts, labels = _with_snippets(texts, labels, rng)
-    y = np.array(labels, float)
-    filters, bias = _train_filters(texts, y, rng)
+    few = [b for _, b in parts]
+    y = np.array([*labels, *labels], float)
+    filters, bias = _train_filters([*(a for a, _ in parts), *few], y, rng)
     net = Network(filters, bias, (np.zeros(1), np.ones(1)), (), 0.0)
-    x = np.concatenate([net.features(texts[i : i + 64]) for i in range(0, len(texts), 64)])
+    x = np.concatenate([whole(net), *(net.features(few[i : i + 64]) for i in range(0, len(few), 64))])
     net.scale = (x.mean(0), x.std(0) + 1e-3)
     net.head = _train_head((x - net.scale[0]) / net.scale[1], y, rng)
     net.shift = odds
     return net
 
 
+def fit_texts(texts: list[str], labels: list[int], odds: float = 0.0) -> Network | float:
+    """fit() on texts that are at hand."""
+    raw = [t.encode() for t in texts]
+    return fit([sampled(t) for t in texts], labels, lambda net: np.concatenate([net.features([t]) for t in raw]), odds)
+
+
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int = TRAIN_ROWS) -> Network | float:
-    """Fit on at most `rows` rows of either label, the first by hash, with texts of up to TRAIN_BYTES bytes.
+    """Fit on at most about 1.3 * rows documents of either label, the first by hash, of whatever length.
 
-    Rows of labels without a label, and labels without a document, are left out.
+    Labels repeated for a doc_id count once, and of texts with one doc_id one is taken, by hash; so what comes to the
+    driver is bounded: spans and a snippet of each text. Features of whole texts are computed where the texts are. Rows
+    of labels without a label or doc_id, and labels without a document, are left out.
     """
-    known = labels.where(F.col(column).isin(0, 1)).select("doc_id", F.col(column).alias("y"))
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).cast("int").alias("y"))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect()}
     if not counts:
         return 0.5
     span = 1 << 30
-    cut = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(span, int(span * (1.3 * rows + 20) / n)))])
+    cut = F.create_map(*[F.lit(x) for y, n in sorted(counts.items()) for x in (y, min(span, int(span * (1.3 * rows + 20) / n)))])
     order = F.pmod(F.xxhash64(F.lit("quality"), F.col("doc_id")), F.lit(span))
-    chosen = known.withColumn("h", order).where(F.col("h") < F.element_at(cut, F.col("y")))  # bounded by rows, and so is its broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= TRAIN_BYTES).select("h", "y", "text").collect()
-    got.sort(key=lambda r: (r["h"], r["text"]))
-    picked = [r for y in counts for r in [r for r in got if r["y"] == y][:rows]]
+    chosen = known.withColumn("h", order).where(F.col("h") < F.element_at(cut, F.col("y"))).distinct()  # bounded by rows, and so is its broadcast
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    kept = cut_lineage(found.groupBy("y", "h", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [sampled(t) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["y"], batch["h"], batch["doc_id"], *(pa.array([x[k] for x in both], pa.binary()) for k in (0, 1))], ["y", "h", "doc_id", "spans", "few"])
+
+    got = sorted(kept.mapInArrow(tidied(parts), "y int, h bigint, doc_id bigint, spans binary, few binary").collect(), key=lambda r: (r["y"], r["h"], r["doc_id"]))
+    picked = [r for y in sorted(counts) for r in [r for r in got if r["y"] == y][:rows]]
+    place = {(r["y"], r["doc_id"]): i for i, r in enumerate(picked)}
+
+    def whole(net: Network) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = [net.features([t.encode()])[0].astype("<f4").tobytes() for t in batch["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch["y"], batch["doc_id"], pa.array(x, pa.binary())], ["y", "doc_id", "x"])
+
+        out = np.zeros((len(picked), FEATURES), np.float32)
+        for r in kept.mapInArrow(tidied(run), "y int, doc_id bigint, x binary").collect():
+            if (r["y"], r["doc_id"]) in place:
+                out[place[r["y"], r["doc_id"]]] = np.frombuffer(bytes(r["x"]), "<f4")
+        return out
+
     ones = sum(r["y"] for r in picked)
     share = counts.get(1, 0) / sum(counts.values())
     odds = np.log(share / (1 - share) / (ones / (len(picked) - ones))) if 0 < share < 1 and 0 < ones < len(picked) else 0.0
-    return fit([r["text"].encode() for r in picked], [r["y"] for r in picked], float(odds))
+    return fit([(bytes(r["spans"]), bytes(r["few"])) for r in picked], [r["y"] for r in picked], whole, float(odds))
 
 
 def score(docs: DataFrame, model: Network | float) -> DataFrame:

@@ -246,6 +246,88 @@ def test_kernel_is_the_share_of_common_grams():
     assert (language.presence(["x", "abc"])[1] == a).all() and (language.presence(["A--b1c"])[0] == language.presence(["a b c"])[0]).all()
 
 
+def literal_language(bits, labels, texts):
+    """Kernel ridge regression as it is written down: kernel values one by one, weights of the landmarks from the normal equations."""
+    sets = [set(np.flatnonzero(np.unpackbits(b)).tolist()) for b in bits]
+    names = sorted(set(labels))
+    turn = [labels[:i].count(x) for i, x in enumerate(labels)]
+    marks = sorted(sorted(range(len(labels)), key=lambda i: (turn[i], labels[i]))[: language.LANDMARKS])
+    value = lambda a, b: len(a & b) / max(1, len(a) * len(b)) ** 0.5
+    k = np.array([[value(a, sets[m]) for m in marks] for a in sets])
+    d = np.array([1 / labels.count(x) for x in labels])
+    y = np.array([[float(x == n) for n in names] for x in labels])
+    weights = np.linalg.pinv((k * d[:, None]).T @ k + language.RIDGE * k[marks], 1e-12, hermitian=True) @ (k * d[:, None]).T @ y
+    grams = [set(np.flatnonzero(language.presence([t])[0]).tolist()) for t in texts]
+    each = np.array([[value(g, sets[m]) for m in marks] for g in grams]) @ weights
+    return [names[i] for i in each.argmax(1)], each.max(1).clip(0, 1)
+
+
+def test_language_equals_a_literal_version(spark, sf_dir, monkeypatch):
+    """The whole query against brute force on its own sample."""
+    monkeypatch.setattr(language, "LANDMARKS", 40)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    learn = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").select("doc_id", "text", "lang")
+    rows = docs.orderBy("doc_id").collect()
+    lettered = [r for r in rows if any(c.isalpha() for c in r["text"] or "")]
+    names, scores = literal_language(*language.sample_bits(learn), [r["text"] for r in lettered])
+    got = {r["doc_id"]: r for r in language.op1_language(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    assert [got[r["doc_id"]]["lang_pred"] for r in lettered] == names
+    assert np.abs(np.array([got[r["doc_id"]]["score"] for r in lettered]) - scores).max() < 1e-3
+
+
+def test_language_sample(spark):
+    """Long texts are learned from; rows that repeat, with or without an id, come to the driver once; ties go to the first name."""
+    rows = [(i, "lorem ipsum " * 9000, "la", "s", 0) for i in range(3)] + [(7, "the of and", "en", "s", 0)] * 3000 + [(None, "of the and", "en", "s", 0)] * 3000
+    bits, labels = language.sample_bits(spark.createDataFrame(rows, DOCS))
+    assert labels == ["en", "en", "la", "la", "la"]
+    twins = spark.createDataFrame([(1, "same words", "b", "s", 0), (2, "same words", "a", "s", 0)], DOCS)
+    assert {r["lang_pred"] for r in language.identify(twins, language.train(twins)).collect()} == {"a"}
+
+
+def literal_features(net, text):
+    """The network's features of one text, window by window."""
+    cells = max(1, -(-len(text) // quality.CELL))
+    data = text.ljust(cells * quality.CELL, b"\0")
+    filters = np.concatenate([net.filters[:, : quality.FILTERS], net.filters[:, quality.FILTERS :]])
+    pooled = []
+    for c in range(cells):
+        values = []
+        for at in range(c * quality.CELL, (c + 1) * quality.CELL, quality.STRIDE):
+            window = data[at : at + quality.WIDTH].ljust(quality.WIDTH, b"\0")
+            values.append(np.concatenate([quality.BYTE_TRAITS[b] for b in window]) @ filters)
+        pooled.append(np.maximum(np.max(values, 0) + net.bias, 0))
+    chunks, at = [], 0
+    while not chunks or at < cells - 1:
+        chunks.append(np.max(pooled[at : at + quality.CHUNK], 0))
+        at += quality.HOP
+    return np.concatenate([np.mean(chunks, 0), np.max(chunks, 0), np.mean(pooled, 0), np.std(pooled, 0), [np.log1p(min(len(text), 4096))]])
+
+
+def test_quality_features_equal_literal_ones(monkeypatch):
+    net = quality.fit_texts(["good words here. " * 20, "&&& bad*** " * 30] * 8, [1, 0] * 8)
+    texts = [b"", b"x", b"Some words, 12 of them.", "Größe & maß\n".encode() * 40, b"a b " * 250, bytes(range(256)) * 3]
+    want = np.array([literal_features(net, t) for t in texts])
+    assert np.allclose(net.features(texts), want, atol=1e-3)
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 2 * quality.CELL)
+    assert np.allclose(net.features(texts), want, atol=1e-3) and np.allclose(net.score(texts), net.probability(want), atol=1e-3)
+
+
+def test_quality_sample(spark):
+    """Long texts are learned from; repeated ids count once; the order of rows changes nothing; short junk is no good text for being short."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    again = quality.train(docs.repartition(7, "text").union(docs.limit(50)), labels.repartition(5, "doc_id").union(labels.limit(20)))
+    odd = [b"buy now!!! $$$ !!! ###", b"| | | | |", b"The house is near the river.", b"Quiet words, and some more of them."]
+    assert (model.score(odd) >= 0.5).tolist() == [False, False, True, True]
+    assert np.abs(model.score(odd) - again.score(odd)).max() < 0.2
+    long = frame(spark, [(1, "Many good words. " * 40_000), (2, "&& ** " * 90_000), (2, "%% "), (3, "Good words. "), (4, "** && ")] + [(5, f"Fine words {i}.") for i in range(2000)])
+    marked = spark.createDataFrame([(1, 1), (2, 0), (4, 0), (5, 1), (5, 1)], "doc_id bigint, quality int")
+    net = quality.train(long, marked)
+    assert isinstance(net, quality.Network) and len(quality.sampled("Many good words. " * 40_000)[0]) == quality.SPANS * quality.SPAN_BYTES
+
+
 def test_quality(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = quality.op4_quality(spark, sf_dir).toPandas()
@@ -267,7 +349,7 @@ def test_quality_of_odd_rows(spark):
 
 def test_every_byte_counts():
     """Chunks cover the whole text: a change anywhere can change the features."""
-    net = quality.fit([b"good words here. " * 20, b"&&& bad*** " * 30] * 8, [1, 0] * 8)
+    net = quality.fit_texts(["good words here. " * 20, "&&& bad*** " * 30] * 8, [1, 0] * 8)
     clean = b"good words here. " * 400
     base = net.features([clean])
     for at in (0, 3000, len(clean) - 12):
