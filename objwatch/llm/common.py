@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a membership filter. The filter is broadcast, and this bounds it: one row of 64 bits each.
 FILTER_BITS = 1 << 23
+#: And of one that is sized by its keys, at most: 8 MB, a million rows.
+MOST_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one only where none is set and all is on one machine, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="objwatch-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors of a cluster have no folder that they share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="objwatch-"))
     return sc.getCheckpointDir()
 
 
@@ -57,19 +62,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def filter_bits(n: int) -> int:
+    """Bits of a filter of n keys: 16 a key, which flags about one other key in a hundred. Beyond MOST_BITS it flags more, and results stay exact."""
+    return min(MOST_BITS, 1 << max(16, (16 * n - 1).bit_length()))
+
+
+def _hashed(df: DataFrame, key: str, bits: int) -> DataFrame:
+    """Add _word, of bits / 64, and _want, up to four bits in it, by the key's hash."""
+    four = " | ".join(f"shiftleft(1L, cast(shiftright(_h, {6 * i}) & 63 as int))" for i in range(4))
+    return df.withColumn("_h", F.xxhash64(key)).withColumn("_word", F.expr(f"pmod(shiftright(_h, 24), {bits // 64}L)")).withColumn("_want", F.expr(four)).drop("_h")
+
+
 def membership_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """A one-hash Bloom filter over keys[key], as rows (_word, _mask): at most bits / 64 of them."""
-    slot = F.pmod(F.xxhash64(key), F.lit(bits))
-    return keys.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_slot % 64 as int)))").alias("_mask"))
+    """A Bloom filter over keys[key], four bits a key in one word, as rows (_word, _mask): at most bits / 64 of them."""
+    return _hashed(keys.select(key), key, bits).groupBy("_word").agg(F.bit_or("_want").alias("_mask"))
 
 
 def flag_members(df: DataFrame, key: str, members: DataFrame, flag: str = "_maybe", bits: int = FILTER_BITS) -> DataFrame:
     """Add a flag that is true for all rows whose key is in the filter, and for few others. The broadcast is bounded by bits."""
-    slot = F.pmod(F.xxhash64(key), F.lit(bits))
-    with_slot = df.withColumn("_slot", slot).withColumn("_word", F.shiftright("_slot", 6))
-    joined = with_slot.join(F.broadcast(members), "_word", "left")
-    hit: Column = F.expr("coalesce(shiftright(_mask, cast(_slot % 64 as int)) & 1L, 0L) = 1L")
-    return joined.withColumn(flag, hit).drop("_slot", "_word", "_mask")
+    joined = _hashed(df, key, bits).join(F.broadcast(members), "_word", "left")
+    hit: Column = F.expr("coalesce(_mask & _want, 0L) = _want")
+    return joined.withColumn(flag, hit).drop("_want", "_word", "_mask")
 
 
 def as_rows(docs: DataFrame, *keys: str) -> DataFrame:
