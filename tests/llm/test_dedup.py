@@ -53,7 +53,50 @@ def test_index_takes_more_runs(spark):
     index.flush(frame(spark, [(2, "a")]))
     assert [(r["keep_id"], r["group_size"]) for r in index.compact().collect()] == [(2, 2)]
     digest = bytes(index.runs().where("doc_id = 6").first()["digest"])
-    assert [r["doc_id"] for r in index.seen([digest]).collect()] == [6]
+    assert [(r["keep_id"], r["group_size"]) for r in index.seen([digest]).collect()] == [(6, 1)]
+
+
+def test_a_batch_meets_older_levels(spark, monkeypatch):
+    """Batches one after the other: runs move to higher levels, filters are probed, and results are those of all rows so far."""
+    r = random.Random(4)
+    batches = [[(100 * b + i, f"text {r.randrange(60)}") for i in range(40)] for b in range(5)]
+    index = exact_dedup.DigestIndex(spark, memtables=2, fanout=3)
+    probed = []
+    probe = exact_dedup.DigestIndex.probe
+    monkeypatch.setattr(exact_dedup.DigestIndex, "probe", lambda self, entries, run: probed.append(run.path) or probe(self, entries, run))
+    before: list = []
+    for rows in batches:
+        docs = frame(spark, rows).repartition(4, "doc_id")
+        got = exact_dedup.duplicate_groups(docs, index, frame(spark, before) if before else None).collect()
+        everything = groups_of([*before, *rows])
+        want = sorted((i, min(everything[normal(t)]), len(everything[normal(t)]), i == min(everything[normal(t)])) for i, t in rows)
+        assert sorted((x["doc_id"], x["keep_id"], x["group_size"], x["kept"]) for x in got) == want
+        before += rows
+    assert len(index.levels) >= 2 and any("level-1" in p for p in probed)
+    new = exact_dedup.DigestIndex(spark).flush(frame(spark, [(1, "a"), (2, "b")]))
+    assert new.count() == 0
+    for run in (x for level in index.levels for x in level):  # each file has a range of its own, in order
+        files = index.entries(run).select("digest", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n")).collect()
+        spans = sorted((min(bytes(x["digest"]) for x in files if x["f"] == f), max(bytes(x["digest"]) for x in files if x["f"] == f)) for f in {x["f"] for x in files})
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert sum(x["group_size"] for x in index.entries(*(x for level in index.levels for x in level)).collect()) == 200
+
+
+def test_probing_spares_what_no_filter_knows(spark):
+    index = exact_dedup.DigestIndex(spark)
+    index.flush(frame(spark, [(i, f"old {i}") for i in range(500)]))
+    new = index.keyed(frame(spark, [(i, f"new {i}") for i in range(2000)]))
+    run = index.levels[-1][0]
+    members = spark.read.parquet(f"{run.path}/filter")
+    assert exact_dedup.flag_members(new, "digest", members, bits=run.bits).where("_maybe").count() < 100
+
+
+def test_rows_that_repeat_ids_lose_nothing(spark):
+    rows = [(1, "dup"), (2, "dup"), (2, "only here"), (None, "dup"), (None, "alone"), (None, "alone"), (3, None)]
+    kept = sorted(((r["doc_id"], r["text"]) for r in exact_dedup.drop_duplicates(frame(spark, rows)).collect()), key=str)
+    assert kept == sorted([(1, "dup"), (2, "only here"), (None, "alone"), (None, "alone"), (3, None)], key=str)
+    weak = exact_dedup.DigestIndex(spark, digest=lambda t: F.lit(b"x"))
+    assert sorted(((r["doc_id"], r["text"]) for r in exact_dedup.drop_duplicates(frame(spark, rows), weak).collect()), key=str) == kept
 
 
 def test_exact_keeps_columns_and_takes_empty_tables(spark):
@@ -138,7 +181,8 @@ def plain_spans(rows, dedup):
                 if sum(len(words[k]) for k in real[a:b]) >= dedup.min_words:
                     runs.add((a, b))
                     break
-        runs |= {(a, a + 1) for a in range(len(real)) if len(words[real[a]]) >= dedup.long_words}
+        if dedup.long_words:
+            runs |= {(a, a + 1) for a in range(len(real)) if len(words[real[a]]) >= dedup.long_words}
         for a, b in sorted(runs):
             key = tuple(" ".join(words[k]).lower() for k in real[a:b])
             if key in seen:
@@ -169,7 +213,48 @@ def test_sentence_spans_take_odd_rows(spark):
     assert substring.SpanDedup().clean(frame(spark, [])).count() == 0
 
 
+def test_rows_that_repeat_ids_lose_only_repeats(spark):
+    """Ranges belong to a text, not to an id: the other row of id 2 repeats nothing and keeps all."""
+    text = "One two three four five six seven. Eight nine ten eleven twelve thirteen fourteen. Fifteen sixteen seventeen eighteen nineteen twenty and one more word."
+    other = "Another one with words of its own, which nobody has. And a second sentence that is not anywhere else. And a third one of these."
+    got = substring.SpanDedup().clean(frame(spark, [(1, text), (2, text), (2, other), (None, other)])).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(1, text), (2, ""), (2, other), (None, other)], key=str)
+
+
+def test_passages_in_long_sentences_are_found(spark):
+    """A passage of 60 words within one sentence, between words that differ."""
+    r = random.Random(2)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    left = []
+    for k in range(20):
+        passage = words(60)
+        rows = [(2 * k + i, f"{words(30)} {passage} {words(30)}.") for i in range(2)]
+        left += [(i, t, passage) for i, t in rows]
+    got = {r["doc_id"]: r["text"] for r in substring.SpanDedup().clean(frame(spark, [(i, t) for i, t, _ in left])).collect()}
+    assert all(got[i] == t for i, t, _ in left if i % 2 == 0)
+    cut = [len(set(p.split()) & set(got[i].split())) for i, _, p in left if i % 2]
+    assert sum(n < 50 for n in cut) >= 18 and all(len(t.split()) - len(got[i].split()) <= 60 for i, t, _ in left)
+
+
+def test_scripts_without_spaces(spark):
+    passage = "これは長い文章です。" * 1 + "同じ文がいくつもの文書に出てきます。それを一度だけ残します。ほかの文は消しません。これで終わりです。"
+    rows = [(1, "最初の文書。" + passage), (2, "別の文書。" + passage + "最後の文。")]
+    got = {r["doc_id"]: r["text"] for r in substring.SpanDedup().clean(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "別の文書。最後の文。"}
+
+
+def test_hot_spans_are_dealt_to_many_keys(spark):
+    """One passage in most documents: its first stays, and the result is that of the plain version."""
+    r = random.Random(7)
+    passage = "The same passage stands in nearly every document here. It has a second sentence, which is as common as the first one is. "
+    rows = [(i, (passage if i % 5 else "") + f"Own words {r.random()} of document {i}. ") for i in range(300)]
+    dedup = substring.SpanDedup(2, 8, None)
+    got = {x["doc_id"]: x["text"] for x in dedup.clean(frame(spark, rows)).collect()}
+    assert got == plain_spans(rows, dedup) and sum(passage in t for t in got.values()) == 1
+
+
 def test_sentences_join_to_the_text():
-    for t in ["", "a", "a.b c. d", "...", ".\n.\n", "x! y? z", "\n\n a.  \n b", "1.5 is a number. So is 2.5."]:
+    long = "word, " * 100 + "x" * 5000 + " of many " * 70 + "\u3000a\u2003b " * 50
+    for t in [long, "  " + long, long + "\n", "字。" * 90, "", "a", "a.b c. d", "...", ".\n.\n", "x! y? z", "\n\n a.  \n b", "1.5 is a number. So is 2.5."]:
         assert "".join(substring.sentences(t)) == t
     assert substring.sentences("1.5 is a number. So is 2.5.") == ["1.5 is a number. ", "So is 2.5."]
