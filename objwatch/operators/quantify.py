@@ -3,9 +3,11 @@
 Every object contributes versions, each valid on an interval of cycles; a body is constant
 where the versions that it binds overlap. So bindings are joined once per overlap and not once per
 cycle, and per-cycle truth comes from adding up where satisfying intervals begin and end.
-Overlaps are found by an equality join on ranges ("spans") of cycles; equalities in the body
-become further join keys by themselves, and near() adds one. A body without either compares
-all pairs that live at the same time, which is reported by a warning.
+Overlaps are found by an equality join: of two intervals that overlap, one holds the first cycle of
+the other. An interval is put into the one or two cells of a grid as wide as itself, its first cycle into one cell
+of each grid; so a version makes as many rows as there are grids, a logarithm of the trace, however
+long it lasts. Equalities in the body become further join keys by themselves, and near() adds some. A body
+without either compares all pairs that live at the same time, which is reported by a warning.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +29,48 @@ from objwatch.plans import ordering
 
 #: Cycles of a range over which one task adds up.
 TOTALS = 1 << 14
+#: Grids are BASE, BASE ** 2 ... cycles wide.
+BASE = 8
+
+
+def grids(end: int) -> int:
+    """How many grids a trace of end cycles has: the last one's cells are at least as wide."""
+    n = 1
+    while BASE**n < end:
+        n += 1
+    return n
+
+
+def _cell(at: Column, grid: Column) -> Column:
+    return F.struct(grid.alias("grid"), F.floor(at / F.pow(F.lit(float(BASE)), grid)).alias("cell"))
+
+
+def interval_cells(lo: Column, hi: Column) -> Column:
+    """The cells, one or two, of [lo, hi) in the first grid that is at least as wide as it."""
+    width = hi - lo
+    grid = F.greatest(F.lit(1), F.ceil(F.log(float(BASE), width.cast("double"))).cast("int"))
+    grid = F.when(F.pow(F.lit(float(BASE)), grid) < width, grid + 1).otherwise(grid)
+    return F.array_distinct(F.array(_cell(lo, grid), _cell(hi - 1, grid)))
+
+
+def point_cells(at: Column, n: int) -> Column:
+    """The cells of a cycle in all n grids. Of an interval and a cycle in it, they have exactly one in common."""
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda g: _cell(at, g))
+
+
+def joined_overlaps(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], end: int, on: Column | None = None) -> DataFrame:
+    """left and right joined where their intervals, columns a and b, overlap and `on` holds; each pair once."""
+    n = grids(end)
+    tagged = lambda cells, role: F.transform(cells, lambda c: F.struct(F.lit(role).alias("role"), c["grid"].alias("grid"), c["cell"].alias("cell")))
+    lo, hi, low, high = F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1])
+    one = left.withColumn("_a", F.explode(F.concat(tagged(point_cells(lo, n), 0), tagged(interval_cells(lo, hi), 1))))
+    two = right.withColumn("_b", F.explode(F.concat(tagged(interval_cells(low, high), 0), tagged(point_cells(low, n), 1))))
+    one = one.select("*", F.col("_a.role").alias("_ra"), F.col("_a.grid").alias("_ga"), F.col("_a.cell").alias("_ca")).drop("_a")
+    two = two.select("*", F.col("_b.role").alias("_rb"), F.col("_b.grid").alias("_gb"), F.col("_b.cell").alias("_cb")).drop("_b")
+    met = (F.col("_ra") == F.col("_rb")) & (F.col("_ga") == F.col("_gb")) & (F.col("_ca") == F.col("_cb"))
+    within = F.when(F.col("_ra") == 0, (low <= lo) & (lo < high)).otherwise((lo < low) & (low < hi))
+    met = met & within if on is None else met & within & on
+    return one.join(two, met).drop("_ra", "_ga", "_ca", "_rb", "_gb", "_cb")
 
 
 class Var:
@@ -82,38 +128,51 @@ class _Signal:
 
 @dataclass(frozen=True)
 class Near:
-    """|a.signal - b.signal| <= eps, as a join on cells of that width and their neighbours, and the exact test."""
+    """|a.signal - b.signal| <= eps, for one signal or each of several (position: ("x", "y")), as a join on cells of that width and their neighbours, and the exact test."""
 
     a: str
     b: str
-    signal: str
+    signal: str | tuple[str, ...]
     eps: float
 
+    @property
+    def signals(self) -> tuple[str, ...]:
+        return (self.signal,) if isinstance(self.signal, str) else tuple(self.signal)
+
 
 @dataclass(frozen=True)
 class Quantified:
-    """Bindings of variables to collections and a body. end is the first cycle after the trace; span the cycles of a join key."""
+    """Bindings of variables to collections and a body. end is the first cycle after the trace.
+
+    given is a guard: exists asks for given and body, forall for body wherever given holds. What the guard says of
+    equal signals is a join key for both.
+    """
 
     bindings: dict[str, ObjectSet]
     body: Callable[..., Column]
     at: str = "cycle"
     end: int = 0
-    span: int = 64
     near: Near | None = None
     kind: str = "exists"
-    keyed: bool = False  # the body has an equality that a join can use
+    given: Callable[..., Column] | None = None
     _vars: dict[str, Var] = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
         if not self._vars:
             self._vars.update({v: Var(v, o) for v, o in self.bindings.items()})
 
-    def condition(self) -> Column:
-        body = self.body(*self._vars.values())
+    def condition(self, negate: bool = False) -> Column:
+        """Guard and body; or, negated, guard and not the body, where null is not."""
+        out = self.body(*self._vars.values())
+        if negate:
+            out = ~F.coalesce(out, F.lit(False))
+        if self.given is not None:
+            out = self.given(*self._vars.values()) & out
         if self.near:
             a, b = (self._vars[v] for v in (self.near.a, self.near.b))
-            body = (F.abs(getattr(a, self.near.signal).last() - getattr(b, self.near.signal).last()) <= self.near.eps) & body
-        return body
+            for x in self.near.signals:
+                out = (F.abs(getattr(a, x).last() - getattr(b, x).last()) <= self.near.eps) & out
+        return out
 
     def _side(self, v: str, frame: DataFrame) -> DataFrame:
         return frame.select(*[F.col(c).alias(f"{v}__{c}") for c in frame.columns])
@@ -121,48 +180,46 @@ class Quantified:
     def _cells(self, v: str, frame: DataFrame) -> DataFrame:
         if not self.near or v not in (self.near.a, self.near.b):
             return frame
-        cell = F.floor(F.col(f"{v}__{self.near.signal}") / self.near.eps)
-        if v == self.near.b:
-            return frame.withColumn(f"{v}__cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-        return frame.withColumn(f"{v}__cell", cell)
-
-    def _warn(self) -> None:
-        if len(self.bindings) > 1 and not self.near and not self.keyed:
-            warnings.warn("the body has no equality or near(): all pairs of objects alive together are compared", stacklevel=3)
+        for x in self.near.signals:
+            cell = F.floor(F.col(f"{v}__{x}") / self.near.eps)
+            frame = frame.withColumn(f"{v}__cell_{x}", F.explode(F.array(cell - 1, cell, cell + 1)) if v == self.near.b else cell)
+        return frame
+
+    def _same_cells(self, names: list[str], v: str) -> Column | None:
+        """The join keys of near() when v comes to the variables of names."""
+        if not self.near or v not in (self.near.a, self.near.b) or not {self.near.a, self.near.b} <= {*names, v}:
+            return None
+        return reduce(and_, [F.col(f"{self.near.a}__cell_{x}") == F.col(f"{self.near.b}__cell_{x}") for x in self.near.signals])
+
+    def _warn(self, sides: list[DataFrame], condition: Column) -> None:
+        """Warn if the body gives a join no key, which the plan of a join on the body alone shows."""
+        if len(sides) > 1 and not self.near:
+            plan = reduce(lambda x, y: x.join(y), sides).where(condition)._jdf.queryExecution().sparkPlan().toString()
+            if "CartesianProduct" in plan or "NestedLoopJoin" in plan:
+                warnings.warn("the body has no equality or near(): all pairs of objects alive together are compared", stacklevel=4)
 
     def intervals(self, negate: bool = False) -> DataFrame:
-        """(lo, hi, v__key ...): where a binding satisfies the body (or, negated, does not; null is not)."""
-        self._warn()
-        condition = self.condition()
-        condition = ~F.coalesce(condition, F.lit(False)) if negate else condition
-        out, lo, hi = None, None, None
+        """(lo, hi, v__key ...): where a binding satisfies the body (or, negated, does not, but the guard)."""
+        condition = self.condition(negate)
+        names, sides = list(self.bindings), []
         for v, objs in self.bindings.items():
             var = self._vars[v]
             rows = objs.versions(list(var._lasts), var._histories or None, self.at).withColumn("hi", F.coalesce("hi", F.lit(self.end)))
-            side = self._cells(v, self._side(v, rows.where("lo < hi")))
-            own_lo, own_hi = F.col(f"{v}__lo"), F.col(f"{v}__hi")
-            if len(self.bindings) > 1:
-                side = side.withColumn(f"{v}__span", F.explode(F.sequence(F.floor(own_lo / self.span), F.floor((own_hi - 1) / self.span))))
-            if out is None:
-                out, lo, hi = side, own_lo, own_hi
-                continue
-            first = next(iter(self.bindings))
-            lo, hi = F.greatest(lo, own_lo), F.least(hi, own_hi)
-            on = (F.col(f"{first}__span") == F.col(f"{v}__span")) & (lo < hi)
-            if self.near and v in (self.near.a, self.near.b) and f"{self.near.a}__cell" in [*out.columns, *side.columns] and f"{self.near.b}__cell" in [*out.columns, *side.columns]:
-                on &= F.col(f"{self.near.a}__cell") == F.col(f"{self.near.b}__cell")
-            if v == list(self.bindings)[-1]:
-                # each overlap is reported in the span where it begins, and only there
-                on &= (F.floor(lo / self.span) == F.col(f"{first}__span")) & condition
-            out = out.join(side, on)
-        if len(self.bindings) == 1:
+            sides.append(self._cells(v, self._side(v, rows.where("lo < hi"))))
+        self._warn(sides, condition)
+        out = sides[0].withColumns({"_lo": F.col(f"{names[0]}__lo"), "_hi": F.col(f"{names[0]}__hi")})
+        for i, v in enumerate(names[1:], 1):
+            parts = [c for c in (self._same_cells(names[:i], v), condition if i == len(names) - 1 else None) if c is not None]
+            out = joined_overlaps(out, sides[i], ("_lo", "_hi"), (f"{v}__lo", f"{v}__hi"), self.end, reduce(and_, parts) if parts else None)
+            out = out.withColumns({"_lo": F.greatest("_lo", f"{v}__lo"), "_hi": F.least("_hi", f"{v}__hi")})
+        if len(names) == 1:
             out = out.where(condition)
         keys = [F.col(f"{v}__{k}") for v, o in self.bindings.items() for k in o.keys]
-        return out.select(lo.alias("lo"), hi.alias("hi"), *keys)
+        return out.select(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), *keys)
 
     def counts(self, cycles: DataFrame, negate: bool = False) -> DataFrame:
         """cycles and n: how many bindings satisfy the body at each of them."""
-        return sweep(self.intervals(negate), cycles, self.at, self.span)
+        return sweep(self.intervals(negate), cycles, self.at)
 
     def truth(self, cycles: DataFrame) -> DataFrame:
         """cycles and holds. Over no objects at all, forall holds and exists does not."""
@@ -172,12 +229,11 @@ class Quantified:
 
     def witnesses(self, cycles: DataFrame) -> DataFrame:
         """cycles with each binding that satisfies the body there."""
-        return expand(self.intervals(), cycles, self.at, self.span)
+        return expand(self.intervals(), cycles, self.at, self.end)
 
     def at_ticks(self, states: dict[str, DataFrame], tick: str = "tick", negate: bool = False) -> DataFrame:
         """(tick, v__key ...): bindings that satisfy the body, from the objects' states at ticks; a tick is a join key by itself."""
-        condition = self.condition()
-        condition = ~F.coalesce(condition, F.lit(False)) if negate else condition
+        condition = self.condition(negate)
         out, names = None, list(self.bindings)
         for v in names:
             side = self._cells(v, self._side(v, states[v]))
@@ -185,8 +241,8 @@ class Quantified:
                 out = side
                 continue
             on = F.col(f"{names[0]}__{tick}") == F.col(f"{v}__{tick}")
-            if self.near and {self.near.a, self.near.b} <= {*names[: names.index(v) + 1]} and v in (self.near.a, self.near.b):
-                on &= F.col(f"{self.near.a}__cell") == F.col(f"{self.near.b}__cell")
+            same = self._same_cells(names[: names.index(v)], v)
+            on = on if same is None else on & same
             if v == names[-1]:
                 on &= condition
             out = out.join(side, on)
@@ -223,20 +279,21 @@ def all_of(body: Callable[[object], Column], items: list) -> Column:
     return out
 
 
-def sweep(intervals: DataFrame, cycles: DataFrame, at: str, span: int) -> DataFrame:
+def sweep(intervals: DataFrame, cycles: DataFrame, at: str) -> DataFrame:
     """cycles and n: how many of the intervals [lo, hi) each is in. Linear in intervals and cycles."""
     edges = intervals.select(F.explode(F.array(F.struct(F.col("lo").alias(at), F.lit(1).alias("d")), F.struct(F.col("hi").alias(at), F.lit(-1).alias("d")))).alias("x"))
     edges = edges.groupBy(F.col(f"x.{at}").alias(at)).agg(F.sum("x.d").alias("_d")).withColumn("_kind", F.lit(0))
     points = cycles.withColumn("_d", F.lit(0).cast("bigint")).withColumn("_kind", F.lit(1))
     both = points.unionByName(edges, allowMissingColumns=True)
-    return ordering.running_total(both, F.floor(F.col(at) / max(span, TOTALS)), [at, "_kind"], "_d", "n").where("_kind = 1").drop("_d", "_kind")
+    return ordering.running_total(both, F.floor(F.col(at) / TOTALS), [at, "_kind"], "_d", "n").where("_kind = 1").drop("_d", "_kind")
 
 
-def expand(intervals: DataFrame, cycles: DataFrame, at: str, span: int) -> DataFrame:
-    """cycles joined with each interval that they are in."""
-    dealt = intervals.withColumn("_span", F.explode(F.sequence(F.floor(F.col("lo") / span), F.floor((F.col("hi") - 1) / span))))
-    points = cycles.withColumn("_point", F.floor(F.col(at) / span))
-    return points.join(dealt, (F.col("_point") == F.col("_span")) & (F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi"))).drop("_point", "_span", "lo", "hi")
+def expand(intervals: DataFrame, cycles: DataFrame, at: str, end: int) -> DataFrame:
+    """cycles joined with each interval that they are in; end is the first cycle after the trace."""
+    dealt = intervals.withColumn("_in", F.explode(interval_cells(F.col("lo"), F.col("hi"))))
+    points = cycles.withColumn("_point", F.explode(point_cells(F.col(at), grids(end))))
+    met = (F.col("_point.grid") == F.col("_in.grid")) & (F.col("_point.cell") == F.col("_in.cell"))
+    return points.join(dealt, met & (F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi"))).drop("_point", "_in", "lo", "hi")
 
 
 def inner(outer: DataFrame, found: DataFrame, keys: list[str], some: bool) -> DataFrame:
@@ -291,7 +348,18 @@ AGGREGATES = {
 }
 
 
-def agg_objects(states: DataFrame, signal: str, how: str, tick: str = "tick", where: Column | None = None) -> DataFrame:
-    """(tick, value): an aggregate over the objects alive at each tick, from their states; where keeps some of them."""
+def agg_objects(states: DataFrame, signal: str, how: str | dict[str, str], tick: str = "tick", where: Column | None = None) -> DataFrame:
+    """(tick, value): an aggregate over the objects alive at each tick, from their states; where keeps some of them (those fresh at the tick, say).
+
+    how may be {name: aggregate}, for several at once. "percentile:p" and "covariance:other signal" are aggregates, too.
+    """
     rows = states if where is None else states.where(where)
-    return rows.groupBy(tick).agg(AGGREGATES[how](signal).alias("value"))
+    wanted = {"value": how} if isinstance(how, str) else how
+    return rows.groupBy(tick).agg(*[_aggregate(signal, x).alias(name) for name, x in wanted.items()])
+
+
+def _aggregate(signal: str, how: str) -> Column:
+    name, _, more = how.partition(":")
+    if name == "percentile":
+        return F.percentile(signal, float(more))
+    return F.covar_pop(signal, more) if name == "covariance" else AGGREGATES[name](signal)

@@ -2,25 +2,47 @@
 
 Rows are dealt to consecutive ranges of the order ("buckets", a non-decreasing function of it).
 Windows run inside a bucket; what earlier buckets amount to is added up on one row per bucket
-and joined back. The bucket table is the only thing that one task sees whole.
+and joined back. That is done in two levels: buckets within groups of COARSE consecutive ones, and then one row
+per group, which is the only table that one task sees whole: a row for some ten million of the trace.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StructType
 
 
 def _names(order: list[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in order]
 
 
+#: Buckets of a group.
+COARSE = 4096
+
+
+def _group(frame: DataFrame) -> Column:
+    """The group of a bucket, a non-decreasing function of it: numbers by ranges, structs (file, block ...) by their first field."""
+    kind = frame.schema["_bucket"].dataType
+    if isinstance(kind, NumericType):
+        return F.floor(F.col("_bucket") / COARSE)
+    return F.col("_bucket")[kind.names[0]] if isinstance(kind, StructType) else F.col("_bucket")
+
+
+def _before(sums: DataFrame) -> DataFrame:
+    """(_b, _before): of each bucket of sums(_bucket, _sum), the sum over all buckets before it."""
+    grouped = sums.withColumn("_group", _group(sums))
+    upto = lambda w: F.coalesce(F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = grouped.select("_group", F.col("_bucket").alias("_b"), upto(Window.partitionBy("_group").orderBy(F.col("_bucket").asc_nulls_first())).alias("_inside"))
+    tops = grouped.groupBy("_group").agg(F.sum("_sum").alias("_sum"))
+    tops = tops.select(F.col("_group").alias("_g"), upto(Window.orderBy(F.col("_group").asc_nulls_first())).alias("_outside"))
+    return inside.join(tops, F.col("_group").eqNullSafe(F.col("_g"))).select("_b", (F.col("_inside") + F.col("_outside")).alias("_before"))
+
+
 def global_rank(df: DataFrame, bucket: Column, order: list[str], name: str = "cycle") -> DataFrame:
     """Add the position of each row, from 0, in the order (bucket, *order)."""
     dealt = df.withColumn("_bucket", bucket)
-    sizes = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.sum("_size").over(Window.orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
+    offsets = _before(dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_sum")))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*_names(order))) - 1
     ranked = dealt.withColumn("_own", own).join(offsets, F.col("_bucket").eqNullSafe(F.col("_b")))
     return ranked.withColumn(name, F.col("_before") + F.col("_own")).drop("_bucket", "_b", "_before", "_own")
@@ -29,9 +51,7 @@ def global_rank(df: DataFrame, bucket: Column, order: list[str], name: str = "cy
 def running_total(df: DataFrame, bucket: Column, order: list[str], value: str, name: str) -> DataFrame:
     """Add the sum of value over all rows up to and including this one."""
     dealt = df.withColumn("_bucket", bucket)
-    sums = dealt.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    before = F.sum("_sum").over(Window.orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select(F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
+    offsets = _before(dealt.groupBy("_bucket").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum")))
     own = F.sum(value).over(Window.partitionBy("_bucket").orderBy(*_names(order)).rowsBetween(Window.unboundedPreceding, 0))
     out = dealt.withColumn("_own", F.coalesce(own, F.lit(0))).join(offsets, F.col("_bucket").eqNullSafe(F.col("_b")))
     return out.withColumn(name, F.col("_before") + F.col("_own")).drop("_bucket", "_b", "_before", "_own")

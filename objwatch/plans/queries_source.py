@@ -14,10 +14,13 @@ from objwatch.sources import trace as T
 
 
 def scratch(spark, name: str) -> str:
-    """A new path in the folder that all executors share; in a temporary one only where none is set."""
+    """A new path in the folder that all executors share; in a temporary one only where none is set and all is on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="objwatch-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors of a cluster have no folder that they share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="objwatch-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -12,7 +12,6 @@ from objwatch.operators.quantify import Near, exists, forall
 from objwatch.plans.catalog import query
 from objwatch.plans.tables import BY_USER, DAY, ZERO, E, cycles, end_cycle, trace, users
 
-SPAN = 64
 HELD = f"last_value({{0}} IGNORE NULLS) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING)"
 #: Versions of users: [lo, hi), the row's value and held signals.
 V = f"{E}, v AS (SELECT user_id, cycle AS lo, coalesce(lead(cycle) OVER ({BY_USER}), (SELECT max(cycle) + 1 FROM e)) AS hi, value, CAST(floor(value) AS BIGINT) AS code, {HELD.format('purchase')} AS purchase, {HELD.format('error')} AS error, lag(value) OVER ({BY_USER}) AS before FROM e)"
@@ -24,7 +23,7 @@ def at_cycles(intervals: str, name: str = "n") -> str:
 
 
 def _args(spark, sf, **more):
-    return {"end": end_cycle(trace(spark, sf)), "span": SPAN, **more}
+    return {"end": end_cycle(trace(spark, sf)), **more}
 
 
 def _coded(spark, sf):
@@ -59,7 +58,7 @@ THETA = PAIR.format("a.user_id <> b.user_id AND a.value > 150 AND b.value > 150
 def exists_pair_theta(spark, sf):
     o = users(spark, sf, "value")
     # what reads one object only is applied before the join
-    q = exists(lambda a, b: (a != b) & (a.value.last() > 150) & (b.value.last() > 150) & (a.value.last() + b.value.last() > 380), {"a": o, "b": o}, keyed=True, **_args(spark, sf))
+    q = exists(lambda a, b: (a != b) & (a.value.last() > 150) & (b.value.last() > 150) & (a.value.last() + b.value.last() > 380), {"a": o, "b": o}, **_args(spark, sf))
     return q.counts(cycles(spark, sf)).select("cycle", "n")
 
 
@@ -71,7 +70,7 @@ def exists_pair_cross(spark, sf):
     t = trace(spark, sf)
     buyers = objects(t.where("event_type = 'purchase'"), "user_id", ["value"], ["cycle"])
     pages = objects(t.where("event_type = 'view'").withColumn("page", F.get_json_object("props", "$.k").cast("bigint")), "page", ["value"], ["cycle"])
-    q = exists(lambda p, w: (p.value.last() > 180) & (w.value.last() > 180) & (p.value.last() > w.value.last()), {"p": buyers, "w": pages}, keyed=True, **_args(spark, sf))
+    q = exists(lambda p, w: (p.value.last() > 180) & (w.value.last() > 180) & (p.value.last() > w.value.last()), {"p": buyers, "w": pages}, **_args(spark, sf))
     return q.counts(cycles(spark, sf)).select("cycle", "n")
 
 
@@ -81,7 +80,7 @@ EQUI = PAIR.format("a.code = b.code AND a.user_id < b.user_id AND a.value > 100"
 @query("exists_pair_equi", f"WITH {V}, {at_cycles(EQUI)} SELECT cycle, n FROM r")
 def exists_pair_equi(spark, sf):
     o = _coded(spark, sf)
-    q = exists(lambda a, b: (a.code.last() == b.code.last()) & (a.uid < b.uid) & (a.value.last() > 100), {"a": o, "b": o}, keyed=True, **_args(spark, sf))
+    q = exists(lambda a, b: (a.code.last() == b.code.last()) & (a.uid < b.uid) & (a.value.last() > 100), {"a": o, "b": o}, **_args(spark, sf))
     return q.counts(cycles(spark, sf)).select("cycle", "n")
 
 
@@ -95,15 +94,45 @@ def exists_pair_band(spark, sf):
     return q.counts(cycles(spark, sf)).select("cycle", "n")
 
 
+PLACED = f"{E}, v AS (SELECT user_id, cycle AS lo, coalesce(lead(cycle) OVER ({BY_USER}), (SELECT max(cycle) + 1 FROM e)) AS hi, value AS x, cast(json_extract(props, '$.k') AS DOUBLE) AS y FROM e)"
+CLOSE = PAIR.format("a.user_id < b.user_id AND abs(a.x - b.x) <= 2.0 AND abs(a.y - b.y) <= 2.0 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 2.0")
+
+
+def placed(spark, sf, objects_left=None):
+    """Users with a place: the value and the number k of their last event. objects_left deals all events to so many users."""
+    t = trace(spark, sf).withColumn("x", F.col("value")).withColumn("y", F.get_json_object("props", "$.k").cast("double"))
+    if objects_left:
+        t = t.withColumn("user_id", F.pmod("user_id", F.lit(objects_left)))
+    return objects(t.select("user_id", "cycle", "x", "y"), "user_id", ["x", "y"], ["cycle"])
+
+
+def close_pairs(spark, sf, threshold=2.0, objects_left=None, depth=0):
+    """Two distinct users less than threshold apart; with depth, they were so depth updates ago, too."""
+    o = placed(spark, sf, objects_left)
+
+    def apart(a, b, n=0):
+        dx, dy = ((getattr(a, c).history(n) if n else getattr(a, c).last()) - (getattr(b, c).history(n) if n else getattr(b, c).last()) for c in "xy")
+        return F.sqrt(dx * dx + dy * dy)
+
+    body = lambda a, b: (a.uid < b.uid) & (apart(a, b) < threshold) & (apart(a, b, depth) < threshold if depth else F.lit(True))
+    return exists(body, {"a": o, "b": o}, near=Near("a", "b", ("x", "y"), threshold), **_args(spark, sf))
+
+
+@query("pair_distance", f"WITH {PLACED}, {at_cycles(CLOSE)} SELECT cycle, n FROM r")
+def pair_distance(spark, sf):
+    """Pairwise distance in two dimensions, on every event: how many pairs of users are close."""
+    return close_pairs(spark, sf).counts(cycles(spark, sf)).select("cycle", "n")
+
+
 FORALL = PAIR.format("a.user_id <> b.user_id AND a.code = b.code AND a.value > 200")
 
 
 @query("forall_pair", f"WITH {V}, {at_cycles(FORALL)} SELECT cycle, n = 0 AS holds FROM r")
 def forall_pair(spark, sf):
-    """No two users hold the same whole value above 200. Written as what may not be, so that its equality is a join key."""
+    """No two users hold the same whole value above 200. The equality is the guard, and so a join key of what violates the rule."""
     o = _coded(spark, sf)
-    q = exists(lambda a, b: (a != b) & (a.code.last() == b.code.last()) & (a.value.last() > 200), {"a": o, "b": o}, keyed=True, **_args(spark, sf))
-    return q.truth(cycles(spark, sf)).select("cycle", (~F.col("holds")).alias("holds"))
+    q = forall(lambda a, b: a.value.last() <= 200, {"a": o, "b": o}, given=lambda a, b: (a != b) & (a.code.last() == b.code.last()), **_args(spark, sf))
+    return q.truth(cycles(spark, sf)).select("cycle", "holds")
 
 
 THREE = "SELECT greatest(a.lo, b.lo, c.lo) AS lo, least(a.hi, b.hi, c.hi) AS hi FROM v a JOIN v b ON a.lo < b.hi AND b.lo < a.hi AND a.code // 4 = b.code // 4 AND a.user_id < b.user_id JOIN v c ON greatest(a.lo, b.lo) < c.hi AND c.lo < least(a.hi, b.hi) AND b.code // 4 = c.code // 4 AND b.user_id < c.user_id WHERE a.value > 150"
@@ -113,7 +142,7 @@ THREE = "SELECT greatest(a.lo, b.lo, c.lo) AS lo, least(a.hi, b.hi, c.hi) AS hi
 def quantify_n(spark, sf):
     o = users(spark, sf, "value").let("code", F.floor(F.floor("value") / 4).cast("bigint"))
     same = lambda a, b, c: (a.code.last() == b.code.last()) & (b.code.last() == c.code.last()) & (a.uid < b.uid) & (b.uid < c.uid)
-    q = exists(lambda a, b, c: same(a, b, c) & (a.value.last() > 150) & (b.value.last() >= 148) & (c.value.last() >= 148), {"a": o, "b": o, "c": o}, keyed=True, **_args(spark, sf))
+    q = exists(lambda a, b, c: same(a, b, c) & (a.value.last() > 150) & (b.value.last() >= 148) & (c.value.last() >= 148), {"a": o, "b": o, "c": o}, **_args(spark, sf))
     return q.counts(cycles(spark, sf)).select("cycle", "n")
 
 
@@ -126,9 +155,9 @@ def nested_quantifier(spark, sf):
     """Some user holds more than 200 and more than every other user: no other one holds as much."""
     o, args = users(spark, sf, "value"), _args(spark, sf)
     outer = exists(lambda a: a.value.last() > 200, {"a": o}, **args).intervals()
-    against = exists(lambda a, b: (a != b) & (a.value.last() > 200) & (b.value.last() > 200) & (b.value.last() >= a.value.last()), {"a": o, "b": o}, keyed=True, **args).intervals()
+    against = exists(lambda a, b: (a != b) & (a.value.last() > 200) & (b.value.last() > 200) & (b.value.last() >= a.value.last()), {"a": o, "b": o}, **args).intervals()
     found = quantify.inner(outer, against, ["a__user_id"], some=False)
-    return quantify.sweep(found, cycles(spark, sf), "cycle", SPAN).select("cycle", (F.col("n") > 0).alias("holds"))
+    return quantify.sweep(found, cycles(spark, sf), "cycle").select("cycle", (F.col("n") > 0).alias("holds"))
 
 
 @query("quantify_list", f"WITH {E} SELECT cycle, click IS NOT NULL OR view IS NOT NULL AS any_seen, (click IS NULL OR click > 10) AND (view IS NULL OR view > 10) AS all_large FROM e")
@@ -140,7 +169,7 @@ def quantify_list(spark, sf):
 @query("identity_compare", f"WITH {V}, {at_cycles('SELECT lo, hi FROM v WHERE value > 250')} SELECT cycle, n FROM r")
 def identity_compare(spark, sf):
     o = users(spark, sf, "value")
-    q = exists(lambda a, b: (a == b) & (a.value.last() > 250), {"a": o, "b": o}, keyed=True, **_args(spark, sf))
+    q = exists(lambda a, b: (a == b) & (a.value.last() > 250), {"a": o, "b": o}, **_args(spark, sf))
     return q.counts(cycles(spark, sf)).select("cycle", "n")
 
 
@@ -165,7 +194,7 @@ PAIRS_AT_TICK = f"{AT_TICK}, b AS (SELECT x.tick, x.user_id AS a__user_id, y.use
 def _pairs_at_ticks(spark, sf):
     o = _coded(spark, sf)
     ticks = activation.ticks_of_objects(o, "us", every("1d").step(), end_cycle(trace(spark, sf), "us") - 1, ZERO)
-    q = exists(lambda a, b: (a.code.last() == b.code.last()) & (a != b) & (a.value.last() > 100), {"a": o, "b": o}, keyed=True)
+    q = exists(lambda a, b: (a.code.last() == b.code.last()) & (a != b) & (a.value.last() > 100), {"a": o, "b": o})
     return q.at_ticks(q.states({"a": ticks, "b": ticks}, "us"))
 
 
@@ -178,7 +207,7 @@ def world_rule_tick(spark, sf):
 @query("binding_witnesses", f"WITH {V}, x AS ({EQUI}) SELECT e.cycle, x.a AS a__user_id, x.b AS b__user_id FROM e JOIN x ON x.lo <= e.cycle AND e.cycle < x.hi WHERE e.error IS NOT NULL")
 def binding_witnesses(spark, sf):
     o = _coded(spark, sf)
-    q = exists(lambda a, b: (a.code.last() == b.code.last()) & (a.uid < b.uid) & (a.value.last() > 100), {"a": o, "b": o}, keyed=True, **_args(spark, sf))
+    q = exists(lambda a, b: (a.code.last() == b.code.last()) & (a.uid < b.uid) & (a.value.last() > 100), {"a": o, "b": o}, **_args(spark, sf))
     return q.witnesses(trace(spark, sf).where("error is not null").select("cycle")).select("cycle", "a__user_id", "b__user_id")
 
 
@@ -199,5 +228,5 @@ def agg_objects(spark, sf):
     o = users(spark, sf, "value")
     ticks = activation.ticks_of_objects(o, "us", every("1d").step(), end_cycle(trace(spark, sf), "us") - 1, ZERO)
     states = activation.state_at(o, ticks, "us", ["value"])
-    count, top, mean = (quantify.agg_objects(states, "value", how).withColumnRenamed("value", name) for how, name in (("count", "n"), ("max", "top"), ("avg", "mean")))
-    return count.join(top, "tick").join(mean, "tick").select("tick", "n", "top", F.round("mean", 4).alias("mean"))
+    found = quantify.agg_objects(states, "value", {"n": "count", "top": "max", "mean": "avg"})
+    return found.select("tick", "n", "top", F.round("mean", 4).alias("mean"))

@@ -136,9 +136,9 @@ def bind_positional(df: DataFrame, signals: dict[str, str]) -> DataFrame:
 
 
 def read_trace(spark: SparkSession, path: str, schema: dict[str, str], time: str | int | None = None, how: str = "relative", strict: bool = True, **more) -> DataFrame:
-    """A CSV trace: all signals of schema must be in the header; # is absent; rows keep the order of the file as seq.
+    """A CSV trace: all signals of schema must be in the header; # is absent. A folder is its files in order of their names.
 
-    Adds ts_ns and cycle (from 0). Signals are typed; other columns are left out.
+    Adds ts_ns and cycle, the place of a row in its file and in all files before, from 0. Times are read to the nanosecond, but rfc3339 to the microsecond. Signals are typed; other columns are left out.
     """
     raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     names = {c.strip(): c for c in raw.columns}
@@ -146,10 +146,12 @@ def read_trace(spark: SparkSession, path: str, schema: dict[str, str], time: str
     if missing:
         raise ValueError(f"the header has no {missing}")
     at = time_column(list(names), time) if how not in ("fixed_step", "wall") else None
-    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    # a split is a bucket, and splits of one file follow each other: nothing else puts a file's rows in order
+    split = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    place = F.struct(split.alias("split"), F.monotonically_increasing_id().alias("i"))
     cells = raw.select(*[F.col(f"`{names[s]}`").alias(s) for s in schema], *([F.col(f"`{names[at]}`").alias("_time")] if at else []), place.alias("_place"))
     typed = parse_signals(cells, schema, strict)
-    ranked = ordering.global_rank(typed, F.col("_place.b"), ["_place"], "cycle") if "bucket" not in more else ordering.global_rank(typed, more.pop("bucket"), ["_place"], "cycle")
+    ranked = ordering.global_rank(typed, more.pop("bucket", F.col("_place.split")), ["_place"], "cycle")
     if at:
         ranked = ranked.withColumn("_time", absent(F.col("_time")))
     timed = decode_time(ranked, "_time", how, order=["cycle"], bucket=F.floor(F.col("cycle") / 100_000), **more)

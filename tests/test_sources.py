@@ -62,3 +62,23 @@ def test_scalars(spark):
     assert tuple(row) == (scalar.LONG_MAX, -2, -3, -1, -3.0, None, 98, None, "1/None")
     with pytest.raises(ValueError):
         scalar.message("{z}")
+
+
+def test_rows_of_many_files_and_splits_keep_their_order(spark, tmp_path):
+    """Two files of several splits each, and small ones: cycles, and times that add up, follow files by name and rows by place."""
+    uid, sizes = 0, {"a": 3000, "b": 2, "c": 2500, "d": 1}
+    for name, n in sizes.items():
+        with open(tmp_path / f"{name}.csv", "w") as f:
+            f.write("uid,time\n")
+            for _ in range(n):
+                f.write(f"{uid},0.5\n")
+                uid += 1
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = T.read_trace(spark, str(tmp_path), {"uid": "Int64"}, how="offset").select("cycle", "uid", "ts_ns").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == uid and all(r["cycle"] == r["uid"] and r["ts_ns"] == (r["uid"] + 1) * 500_000_000 for r in got)
