@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from objwatch.llm.common import table, tidied
+from objwatch.llm.common import fresh_path, table, tidied
 
 # fixed values of the format
 PACKET, BODY, SYNC = 188, 184, 0x47
@@ -215,16 +215,26 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): each text of docs(doc_id, text, ...) as a transport stream. Other columns are ignored; every row is its own."""
+    """(doc_id, n_bytes, media): each text of docs(doc_id, text, ...) as a transport stream, and its bytes before padding.
+
+    Null counts as empty, which is one unit of padding. Repeated rows are streams each; a null doc_id is carried. Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                media = [write_stream(padded(t)[0]) for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(media, pa.binary())], ["doc_id", "media"])
+                both = [padded(t) for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([n for _, n in both], pa.int64()), pa.array([write_stream(x) for x, _ in both], pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id bigint, n_bytes bigint, media binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id bigint, media binary")
+def stored(media: DataFrame) -> DataFrame:
+    """media, written to the shared folder and read from there."""
+    path = fresh_path(media.sparkSession, "media")
+    media.write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.schema(media.schema).parquet(path)
 
 
 STREAM = "payload binary, packets bigint, pts array<bigint>, random_access array<bigint>, sync_errors bigint, table_errors bigint, continuity_errors bigint, length_errors bigint"
@@ -248,8 +258,8 @@ def read_media(df: DataFrame, key: str = "doc_id", column: str = "media") -> Dat
 DIGESTS = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """DIGESTS of each text's stream, all but n_bytes from the stream as read back; a stream stays in its task."""
+def media_digests(media: DataFrame) -> DataFrame:
+    """DIGESTS of each stream of media(doc_id, n_bytes, media), from its bytes; null, empty or broken streams give what can be read, and errors in feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in DIGESTS.split(", ")]
@@ -257,15 +267,14 @@ def media_digests(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 rows = []
                 part = batch.slice(at, 256)
-                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    payload, n = padded(text)
-                    media = write_stream(payload)
-                    back = read_stream(media)
-                    rows.append((doc, n, len(back.payload), hashlib.sha256(back.payload).hexdigest(), zlib.crc32(back.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), back.feature()))
+                for doc, n, raw in zip(part["doc_id"].to_pylist(), part["n_bytes"].to_pylist(), part["media"].to_pylist(), strict=True):
+                    raw = raw or b""
+                    back = read_stream(raw)
+                    rows.append((doc, n, len(back.payload), hashlib.sha256(back.payload).hexdigest(), zlib.crc32(back.payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), back.feature()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for x, n in zip(zip(*rows, strict=True), names, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), DIGESTS)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidied(run), DIGESTS)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(table(spark, sf_dir, "documents"))
+    return media_digests(stored(to_media(table(spark, sf_dir, "documents"))))

@@ -98,7 +98,7 @@ def test_media_columns(spark):
     docs = frame(spark, rows).withColumn("media", F.lit(1))
     media = transport.to_media(docs)
     back = {r["doc_id"]: bytes(r["payload"]) for r in transport.read_media(media).collect()}
-    digests = transport.media_digests(docs).collect()
+    digests = transport.media_digests(transport.stored(media)).collect()
     assert len(digests) == 6
     stored = {r["doc_id"]: bytes(r["media"]) for r in media.collect()}
     for r in digests:
@@ -107,7 +107,9 @@ def test_media_columns(spark):
         assert back[r["doc_id"]] == payload and r["n_bytes"] == len(text.encode()) and r["payload_bytes"] == len(payload)
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
         assert r["media_sha256"] == hashlib.sha256(stored[r["doc_id"]]).hexdigest() and r["media_bytes"] == len(stored[r["doc_id"]])
-    assert transport.media_digests(frame(spark, [])).count() == 0
+    assert transport.media_digests(transport.stored(transport.to_media(frame(spark, [])))).count() == 0
+    broken = media.limit(1).withColumn("media", F.lit(None).cast("binary")).unionByName(media.limit(1).withColumn("media", F.lit(b"G" * 500)))
+    assert [(r["payload_bytes"], "errors=0" in r["feature"]) for r in transport.media_digests(broken).collect()] == [(0, False)] * 2
 
 
 # ---- packing
