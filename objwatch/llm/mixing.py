@@ -10,6 +10,7 @@ the first blocks, and of the last one the first documents, that fit into the tok
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +21,8 @@ from objwatch.llm.common import as_rows, cut_lineage, flag_members, membership_f
 SPACE = r"[\x20\x09-\x0D]+"
 #: Documents of a block, about.
 BLOCK_DOCS = 1024
+#: Blocks that are added up together.
+BLOCK_GROUP = 1024
 STEPS = 50
 
 
@@ -48,38 +51,43 @@ class Mix:
     budget_tokens: float | None = None
     seed: int = 11
 
+    def exponent(self, each: DataFrame, top: float, low: float) -> float:
+        """The exponent that meets the target, for sources with tokens between low and top."""
+        if self.entropy is None:
+            # the smallest source's epochs decide, whatever lies between
+            def step(acc: Column, _: Column) -> Column:
+                mid = (acc["lo"] + acc["hi"]) / 2
+                flatter = F.pow(F.lit(low) / F.lit(top), mid - 1) <= self.repetition  # within the limit: try flatter yet
+                return F.struct(F.when(flatter, acc["lo"]).otherwise(mid).alias("lo"), F.when(flatter, mid).otherwise(acc["hi"]).alias("hi"))
+
+            start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+            found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda acc: acc["hi"])
+            return each.sparkSession.range(1).select(found).first()[0]
+        lo, hi = 0.0, 1.0
+        for _ in range(-(-STEPS // 4)):  # four bits of the exponent with each pass over the sources
+            mids = [lo + (hi - lo) * k / 16 for k in range(1, 16)]
+            share = [F.pow(F.col("tokens") / F.lit(top), F.lit(m)) for m in mids]
+            sums = each.where("tokens > 0").agg(*[F.sum(x) for x in share], *[F.sum(x * F.log(x)) for x in share]).first()
+            entropies = [math.log(sums[k]) - sums[15 + k] / sums[k] for k in range(15)]
+            least = next((k for k, e in enumerate(entropies) if e < self.entropy), 15)  # entropy falls as the exponent grows
+            lo, hi = ([lo, *mids][least], [*mids, hi][least])
+        return lo
+
     def sources(self, rows: DataFrame) -> DataFrame:
-        """(source, tokens, docs, exponent, weight, epochs) of rows(source, tokens). One row holds the list of all sources while the exponent is found."""
-        each = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-        listed = each.agg(F.collect_list(F.struct("source", "tokens", "docs")).alias("s"))
-        sizes = F.transform(F.filter("s", lambda x: x["tokens"] > 0), lambda x: x["tokens"].cast("double"))
-        listed = listed.withColumn("t", sizes).withColumn("top", F.array_max("t")).withColumn("low", F.array_min("t"))
-
-        def total(power: Column) -> Column:
-            return F.aggregate("t", F.lit(0.0), lambda a, x: a + F.pow(x / F.col("top"), power))
-
-        def entropy(power: Column) -> Column:
-            z = total(power)
-            return F.aggregate("t", F.lit(0.0), lambda a, x: a - F.pow(x / F.col("top"), power) / z * F.log(F.pow(x / F.col("top"), power) / z))
-
-        def step(acc: Column, _: Column) -> Column:
-            mid = (acc["lo"] + acc["hi"]) / 2
-            if self.entropy is None:
-                flatter = F.pow(F.col("low") / F.col("top"), mid - 1) <= self.repetition  # within the limit: try flatter yet
-            else:
-                flatter = entropy(mid) < self.entropy
-            return F.struct(F.when(flatter, acc["lo"]).otherwise(mid).alias("lo"), F.when(flatter, mid).otherwise(acc["hi"]).alias("hi"))
-
-        start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-        end = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda acc: acc["hi"] if self.entropy is None else acc["lo"])
-        one = listed.withColumn("exponent", end).withColumn("z", total(F.col("exponent"))).select("exponent", "z", "top", F.explode("s").alias("x")).select("x.*", "exponent", "z", "top")
-        weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("top"), F.col("exponent")) / F.col("z")).otherwise(0.0)
-        budget = F.col("top") * F.col("z") if self.budget_tokens is None else F.lit(float(self.budget_tokens))
+        """(source, tokens, docs, exponent, weight, epochs) of rows(source, tokens). Sources are only added up: there may be any number."""
+        each = cut_lineage(rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
+        ends = each.where("tokens > 0").agg(F.max("tokens"), F.min("tokens")).first()
+        top, low = (float(x or 1) for x in ends)
+        exponent = self.exponent(each, top, low)
+        share = F.pow(F.col("tokens") / F.lit(top), F.lit(exponent))
+        z = each.where("tokens > 0").agg(F.sum(share)).first()[0] or 1.0
+        weight = F.when(F.col("tokens") > 0, share / F.lit(z)).otherwise(0.0)
         # without tokens a source costs no budget: its documents are taken once
-        epochs = F.when(F.col("tokens") > 0, budget * F.pow(F.col("tokens") / F.col("top"), F.col("exponent")) / F.col("z") / F.col("tokens")).otherwise(1.0)
         if self.budget_tokens is None:
-            epochs = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("top"), F.col("exponent") - 1)).otherwise(1.0)
-        return one.withColumn("weight", weight).withColumn("epochs", epochs).drop("z", "top")
+            epochs = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(top), F.lit(exponent) - 1)).otherwise(1.0)
+        else:
+            epochs = F.when(F.col("tokens") > 0, F.lit(float(self.budget_tokens)) * share / F.lit(z) / F.col("tokens")).otherwise(1.0)
+        return each.withColumn("exponent", F.lit(exponent)).withColumn("weight", weight).withColumn("epochs", epochs)
 
     def rows(self, docs: DataFrame) -> DataFrame:
         """(doc_id, source, tokens, epoch, block, key): each taking of a document; epochs are to be read in order of block, then key.
@@ -101,8 +109,13 @@ class Mix:
         full = full.withColumn("block", block(F.col("epoch"))).withColumn("key", order_key(self.seed, F.col("epoch"))).select(kept)
         last = known.where("part > 0").withColumn("epoch", F.col("whole")).withColumn("block", block(F.col("epoch"))).withColumn("key", order_key(self.seed, F.col("epoch")))
         sums = last.groupBy("source", "block").agg(F.sum("tokens").alias("in_block"), F.first("part").alias("part"))
-        upto = F.sum("in_block").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
-        sums = sums.withColumn("room", F.col("part") - upto + F.col("in_block")).where("room > 0").select(F.col("source").alias("s2"), F.col("block").alias("b2"), "in_block", "room")
+        # in two levels, so that a window has thousands of blocks at most: groups of blocks, and blocks in a group
+        sums = sums.withColumn("group", F.floor(F.col("block") / BLOCK_GROUP))
+        upto = lambda column, *keys: F.coalesce(F.sum(column).over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        groups = sums.groupBy("source", "group").agg(F.sum("in_block").alias("in_group"))
+        groups = groups.select(F.col("source").alias("s3"), F.col("group").alias("g3"), upto("in_group", "source", "group").alias("before"))
+        sums = sums.withColumn("own", upto("in_block", "source", "group", "block")).join(groups, F.col("source").eqNullSafe(F.col("s3")) & (F.col("group") == F.col("g3")))
+        sums = sums.withColumn("room", F.col("part") - F.col("before") - F.col("own")).where("room > 0").select(F.col("source").alias("s2"), F.col("block").alias("b2"), "in_block", "room")
         cut = last.join(sums, F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
         inside = cut.where("in_block <= room").select(kept)
         run = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))

@@ -59,3 +59,26 @@ def test_all_is_packed(stages):
 
 def test_run_is_the_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == len(stages[5])
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, empty and blank texts, repeated rows, ids that repeat, a long text, and columns with names of the operators' own."""
+    long = " ".join(f"word{i}" for i in range(30_000)) + "."
+    good = [f"Some good sentence number {i} with words enough, and another part of it." for i in range(6)]
+    rows = [(None, None, None, None), (1, None, "en", "a"), (2, "", "en", None), (3, " \n", None, "a"), (4, long, "en", "a"), (5, good[0], "en", "b"), (5, good[0], "en", "b"), (6, good[0], "en", "a"), (6, good[1], "en", "a"), (None, good[2], "en", "a"), (None, good[2], "en", "a")]
+    docs = spark.createDataFrame([(*r, 0, 1, 2, 3) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, score int, _maybe int, digest int")
+    frames = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        path = fresh_path(spark, "odd")
+        stage(spark, frames[-1], SF).write.parquet(path)
+        frames.append(spark.read.parquet(path))
+    for f in frames[1:5]:
+        assert f.columns == docs.columns
+    distinct = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_distinct(spark, docs, SF).collect()), key=str)
+    assert distinct == sorted([(1, None), (3, " \n"), (4, long), (5, good[0]), (5, good[0]), (6, good[1]), (None, good[2]), (None, good[2])], key=str)
+    assert corpus_pipeline.keep_dissimilar(spark, docs, SF).count() >= 8
+    assert corpus_pipeline.mix_sources(spark, docs, SF).count() >= len(rows)
+    assert {r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()} == {r[0] for r in rows}
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).where("piece = 0").count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -403,6 +403,27 @@ def test_templates_without_article_tags(spark):
 # ---- mixing
 
 
+@pytest.mark.parametrize("entropy", [0.4, 1.0, 2.5])
+def test_entropy_target_equals_a_plain_bisection(spark, entropy):
+    sizes = [1, 5, 20, 300, 4000, 4000, 70]
+    rows = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)] + [(None, 9)], "source string, tokens long")
+    got = mixing.Mix(entropy=entropy).sources(rows).collect()
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        w = np.array([*sizes, 9.0]) ** mid
+        lo, hi = (lo, mid) if -(w / w.sum() * np.log(w / w.sum())).sum() < entropy else (mid, hi)
+    assert all(abs(r["exponent"] - lo) < 1e-9 for r in got) and abs(sum(r["weight"] for r in got) - 1) < 1e-9
+
+
+def test_blocks_are_added_up_in_groups(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    want = sorted(map(tuple, mixing.Mix(repetition=1.7).rows(docs).collect()), key=str)
+    monkeypatch.setattr(mixing, "BLOCK_GROUP", 3)
+    assert sorted(map(tuple, mixing.Mix(repetition=1.7).rows(docs).collect()), key=str) == want
+
+
 def test_mixing_equals_sql(spark, sf_dir):
     duck = duckdb.connect()
     documents = ds.dataset(f"{sf_dir}/documents.parquet").to_table()
