@@ -27,9 +27,9 @@ from objwatch.llm.common import cut_lineage, table, tidied
 CAPACITY = 2048
 END_ID = 0
 #: Runs of letters, and other words, whose ids a worker keeps: twice as many at most, and none of over LONGEST characters.
-RUN_CACHE, WORD_CACHE, LONGEST = 300_000, 50_000, 64
+RUN_CACHE, WORD_CACHE, LONGEST = 200_000, 50_000, 64
 #: Bytes of texts that are looked at together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 #: Rows of one length that one window of ranks holds, about.
 RANK_ROWS = 2_000
 
@@ -104,11 +104,11 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.of_runs = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.of_runs = Tokenizer(self.tokenizer.model)  # the vocabulary is shared
         # runs of letters in lower case need no normalising, and a space between them is where they part
-        self.of_runs.normalizer = normalizers.Sequence([])
         self.of_runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
