@@ -112,6 +112,9 @@ class WordTokenizer:
         self.of_runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
         self.runs, self.whole = _Cache(RUN_CACHE, self._of_runs), _Cache(WORD_CACHE, self._each)
 
     def _each(self, strings: list[str]) -> _Ids:
@@ -189,19 +192,22 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = WordTokenizer(path)
-        for batch in batches:
-            for lo, hi in _blocks(pc.binary_length(batch["text"]).fill_null(0).to_numpy()):
-                part = batch.slice(lo, hi - lo)
-                ids, begin = _TOKENIZERS[path].encode(part["text"])
-                sizes = np.diff(begin)
-                pieces = -(-sizes // capacity)
-                doc = np.repeat(np.arange(len(sizes)), pieces)
-                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                start = piece * capacity
-                length = np.minimum(sizes[doc] - start, capacity)
-                raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((begin[doc] + start).tolist(), (begin[doc] + start + length).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        try:
+            for batch in batches:
+                for lo, hi in _blocks(pc.binary_length(batch["text"]).fill_null(0).to_numpy()):
+                    part = batch.slice(lo, hi - lo)
+                    ids, begin = _TOKENIZERS[path].encode(part["text"])
+                    sizes = np.diff(begin)
+                    pieces = -(-sizes // capacity)
+                    doc = np.repeat(np.arange(len(sizes)), pieces)
+                    piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                    start = piece * capacity
+                    length = np.minimum(sizes[doc] - start, capacity)
+                    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((begin[doc] + start).tolist(), (begin[doc] + start + length).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            _TOKENIZERS[path].forget()  # a worker lives on, beside others
 
     return docs.select("doc_id", "text").mapInArrow(tidied(run), PIECES)
 
