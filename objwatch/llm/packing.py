@@ -27,9 +27,9 @@ from objwatch.llm.common import cut_lineage, table, tidied
 CAPACITY = 2048
 END_ID = 0
 #: Runs of letters, and other words, whose ids a worker keeps: twice as many at most, and none of over LONGEST characters.
-RUN_CACHE, WORD_CACHE, LONGEST = 200_000, 50_000, 64
+RUN_CACHE, WORD_CACHE, LONGEST = 150_000, 50_000, 64
 #: Bytes of texts that are looked at together.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 #: Rows of one length that one window of ranks holds, about.
 RANK_ROWS = 2_000
 
