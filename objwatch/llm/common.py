@@ -10,11 +10,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bits of a membership filter. The filter is broadcast, and this bounds it: one row of 64 bits each.
 FILTER_BITS = 1 << 23
 #: And of one that is sized by its keys, at most: 8 MB, a million rows.
 MOST_BITS = 1 << 26
+#: Bytes of an Arrow batch. Spark bounds its rows only, and ten thousand texts are held by the JVM and by the worker at a time.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +55,19 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return tidy
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema), in batches of about BATCH_BYTES or of a row that is longer; memory is given back after each task.
+
+    The limit is a setting of the session and stays; a smaller one that is set already is kept.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    given = conf.get(name)
+    if not given.isdigit() or int(given) > BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(tidied(run), schema)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

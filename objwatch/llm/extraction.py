@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objwatch.llm.common import cut_lineage, table, tidied
+from objwatch.llm.common import cut_lineage, map_batches, table
 
 #: A host has template texts if it has at least so many different pages; a template text is on so many.
 TEXT_PAGES = 8
@@ -400,7 +400,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
             columns = [[k[0] for k in found], [k[1] for k in found], *([v[i] for v in found.values()] for i in range(5))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], NAMES)
 
-    rows = pages.select(host().alias("host"), "html").mapInArrow(tidied(run), "host string, token bigint, up bigint, flags bigint, pages bigint, agree bigint, chars bigint")
+    rows = map_batches(pages.select(host().alias("host"), "html"), run, "host string, token bigint, up bigint, flags bigint, pages bigint, agree bigint, chars bigint")
     return rows.groupBy("host", "token").agg(F.max("up").alias("up"), F.bit_or("flags").alias("flags"), F.sum("pages").alias("pages"), F.sum("agree").alias("agree"), F.sum("chars").alias("chars"))
 
 
@@ -429,7 +429,7 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
             sets = [pa.array([sorted(getattr(t, c)) for t in found], pa.list_(pa.int64())) for c in ("texts", "major")]
             yield pa.RecordBatch.from_arrays([batch["host"], pa.array([t.main for t in found], pa.int64()), pa.array([t.whole for t in found], pa.bool_()), *sets], ["host", "main", "whole", "texts", "major"])
 
-    return gathered.mapInArrow(tidied(run), "host string, main bigint, whole boolean, texts array<bigint>, major array<bigint>"), hot
+    return map_batches(gathered, run, "host string, main bigint, whole boolean, texts array<bigint>, major array<bigint>"), hot
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -461,7 +461,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append(Page(source).main_text(known[h]))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return joined.mapInArrow(tidied(run), "page_id bigint, url string, text string")
+    return map_batches(joined, run, "page_id bigint, url string, text string")
 
 
 def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

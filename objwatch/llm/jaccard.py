@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objwatch.llm.common import cut_lineage, flag_members, membership_filter, table, tidied, without_ids
+from objwatch.llm.common import cut_lineage, flag_members, map_batches, membership_filter, table, without_ids
 from objwatch.llm.rolling import mixed, powers
 
 FRAGMENTS = 8
@@ -122,7 +122,7 @@ class Join:
                         yield frequent()
             yield frequent()
 
-        return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id bigint, n bigint, d0 bigint, d1 bigint, slot bigint, hot bigint")
+        return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, n bigint, d0 bigint, d1 bigint, slot bigint, hot bigint")
 
     def prefixes(self, docs: DataFrame, level: np.ndarray) -> DataFrame:
         """(doc_id, n, grams, parity, short): the prefix of each set in the global order, which is (level, hash).
@@ -154,7 +154,7 @@ class Join:
                     short = pa.FixedSizeListArray.from_arrays(pa.array(folded), SHORT_WORDS).cast(pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes, pa.int64()), grams, parities, short], ["doc_id", "n", "grams", "parity", "short"])
 
-        return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id bigint, n bigint, grams array<bigint>, parity array<bigint>, short array<bigint>")
+        return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, n bigint, grams array<bigint>, parity array<bigint>, short array<bigint>")
 
     def fragments(self, docs: DataFrame) -> DataFrame:
         """(id, fragment, part): each set cut at fixed places of the hash order."""
@@ -176,7 +176,7 @@ class Join:
                     arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number, pa.int32()), arrays], ["id", "fragment", "part"])
 
-        return docs.select("doc_id", "text").mapInArrow(tidied(run), "id bigint, fragment int, part array<bigint>")
+        return map_batches(docs.select("doc_id", "text"), run, "id bigint, fragment int, part array<bigint>")
 
     def links(self, docs: DataFrame, pairs: DataFrame, facts: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar. facts is (id, n, parity).

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objwatch.llm.common import table, tidied
+from objwatch.llm.common import map_batches, table
 
 ORDERS = (1, 2, 3)
 SLOTS = 1 << 14
@@ -143,7 +143,7 @@ def sample_bits(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, li
                 packed = np.packbits(presence(texts[lo:hi]), axis=1)
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(lo, hi - lo) for c in ("lang", "h")), pa.array([x.tobytes() for x in packed], pa.binary())], ["lang", "h", "bits"])
 
-    got = sorted(chosen.mapInArrow(tidied(run), "lang string, h bigint, bits binary").collect(), key=lambda r: (r["lang"], r["h"], bytes(r["bits"])))
+    got = sorted(map_batches(chosen, run, "lang string, h bigint, bits binary").collect(), key=lambda r: (r["lang"], r["h"], bytes(r["bits"])))
     taken: dict[str, int] = dict.fromkeys(counts, 0)
     bits, labels = [], []
     for r in got:
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(names[best], pa.string()), pa.array(value)], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select("doc_id", "text", has_letter().alias("lettered"))
-    return rows.mapInArrow(tidied(run), "doc_id bigint, lang_pred string, score double")
+    return map_batches(rows, run, "doc_id bigint, lang_pred string, score double")
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

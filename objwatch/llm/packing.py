@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from objwatch.llm.common import cut_lineage, table, tidied
+from objwatch.llm.common import cut_lineage, map_batches, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -209,7 +209,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
         finally:
             _TOKENIZERS[path].forget()  # a worker lives on, beside others
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), PIECES)
+    return map_batches(docs.select("doc_id", "text"), run, PIECES)
 
 
 class Plan:
@@ -366,7 +366,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             offset = columns["offset"][at] + nth % per * length
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return _ranked(pieces).mapInArrow(tidied(place), f"{PIECES}, sequence_id bigint, offset bigint")
+    return map_batches(_ranked(pieces), place, f"{PIECES}, sequence_id bigint, offset bigint")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objwatch.llm.common import cut_lineage, table, tidied
+from objwatch.llm.common import cut_lineage, map_batches, table
 
 TRAITS, STRIDE, WIDTH, FILTERS = 8, 4, 8, 32
 CELL = 64  # bytes that are pooled first
@@ -265,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int
             both = [sampled(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["y"], batch["h"], batch["doc_id"], *(pa.array([x[k] for x in both], pa.binary()) for k in (0, 1))], ["y", "h", "doc_id", "spans", "few"])
 
-    got = sorted(kept.mapInArrow(tidied(parts), "y int, h bigint, doc_id bigint, spans binary, few binary").collect(), key=lambda r: (r["y"], r["h"], r["doc_id"]))
+    got = sorted(map_batches(kept, parts, "y int, h bigint, doc_id bigint, spans binary, few binary").collect(), key=lambda r: (r["y"], r["h"], r["doc_id"]))
     picked = [r for y in sorted(counts) for r in [r for r in got if r["y"] == y][:rows]]
     place = {(r["y"], r["doc_id"]): i for i, r in enumerate(picked)}
 
@@ -276,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int
                 yield pa.RecordBatch.from_arrays([batch["y"], batch["doc_id"], pa.array(x, pa.binary())], ["y", "doc_id", "x"])
 
         out = np.zeros((len(picked), FEATURES), np.float32)
-        for r in kept.mapInArrow(tidied(run), "y int, doc_id bigint, x binary").collect():
+        for r in map_batches(kept, run, "y int, doc_id bigint, x binary").collect():
             if (r["y"], r["doc_id"]) in place:
                 out[place[r["y"], r["doc_id"]]] = np.frombuffer(bytes(r["x"]), "<f4")
         return out
@@ -304,7 +304,7 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
                 value = np.full(len(texts), model) if isinstance(model, float) else model.score(texts)
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(value)], [*kept, "score"])
 
-    return docs.select(kept).mapInArrow(tidied(run), schema)
+    return map_batches(docs.select(kept), run, schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

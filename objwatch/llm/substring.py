@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from objwatch.llm.common import cut_lineage, filter_bits, flag_members, membership_filter, table, tidied
+from objwatch.llm.common import cut_lineage, filter_bits, flag_members, map_batches, membership_filter, table
 from objwatch.llm.rolling import mixed, powers
 
 #: A sentence ends with a line, after . ! ? and what closes it where white space follows, or after a full stop of scripts
@@ -98,7 +98,7 @@ class SpanDedup:
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(digests), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "digest", "first", "end", "h0", "h1"])
 
         named = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("digest"), "text")
-        return named.mapInArrow(tidied(run), "doc_id bigint, digest bigint, first int, end int, h0 bigint, h1 bigint")
+        return map_batches(named, run, "doc_id bigint, digest bigint, first int, end int, h0 bigint, h1 bigint")
 
     def covered(self, docs: DataFrame) -> DataFrame:
         """(doc_id, digest, covered): for texts with a repeat that is not the first, the ranges [first, end) of sentences to remove."""
@@ -152,7 +152,7 @@ class SpanDedup:
                         removed.append(int((~stay).sum()))
                     yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if c == "text" else part[c] for c in kept), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*kept, "n_sentences", "n_removed"])
 
-        return passed.unionByName(checked).mapInArrow(tidied(run), schema)
+        return map_batches(passed.unionByName(checked), run, schema)
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from objwatch.llm.common import fresh_path, table, tidied
+from objwatch.llm.common import fresh_path, map_batches, table
 
 # fixed values of the format
 PACKET, BODY, SYNC = 188, 184, 0x47
@@ -227,7 +227,7 @@ def to_media(docs: DataFrame) -> DataFrame:
                 both = [padded(t) for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([n for _, n in both], pa.int64()), pa.array([write_stream(x) for x, _ in both], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id bigint, n_bytes bigint, media binary")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, n_bytes bigint, media binary")
 
 
 def stored(media: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def read_media(df: DataFrame, key: str = "doc_id", column: str = "media") -> Dat
                 found = [read_stream(m) for m in part[column].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part[key], *(pa.array([getattr(s, n) for s in found], k) for n, k in zip(names, kinds, strict=True))], [key, *names])
 
-    return df.select(key, column).mapInArrow(tidied(run), f"{key} {dict(df.dtypes)[key]}, {STREAM}")
+    return map_batches(df.select(key, column), run, f"{key} {dict(df.dtypes)[key]}, {STREAM}")
 
 
 DIGESTS = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -273,7 +273,7 @@ def media_digests(media: DataFrame) -> DataFrame:
                     rows.append((doc, n, len(back.payload), hashlib.sha256(back.payload).hexdigest(), zlib.crc32(back.payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), back.feature()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for x, n in zip(zip(*rows, strict=True), names, strict=True)], names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidied(run), DIGESTS)
+    return map_batches(media.select("doc_id", "n_bytes", "media"), run, DIGESTS)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
