@@ -101,17 +101,27 @@ def stream_expire(spark, sf):
 @query("stream_world", f"WITH {E}, v AS (SELECT cycle AS lo, coalesce(lead(cycle) OVER ({BY_USER}), (SELECT max(cycle) + 1 FROM e)) AS hi, last_value(purchase IGNORE NULLS) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS purchase FROM e), d AS (SELECT lo AS cycle, 1 AS d FROM v WHERE purchase > 250 UNION ALL SELECT hi, -1 FROM v WHERE purchase > 250), s AS (SELECT cycle, sum(d) AS d FROM d GROUP BY cycle) SELECT cycle AS cycle_id FROM (SELECT e.cycle, sum(s.d) OVER (ORDER BY e.cycle) AS n FROM e LEFT JOIN s ON e.cycle = s.cycle) WHERE n > 0")
 def stream_world(spark, sf):
     """A quantified rule on three batches, each after the one before."""
+    return _world(spark, sf, "purchase", lambda u: u.purchase.last(0.0) > 250, 0)
+
+
+@query("stream_world_history", f"WITH {E}, v AS (SELECT cycle AS lo, coalesce(lead(cycle) OVER ({BY_USER}), (SELECT max(cycle) + 1 FROM e)) AS hi, lag(value, 2) OVER ({BY_USER}) AS in_row, lag(value, 1) OVER ({BY_USER}) AS after_row FROM e), d AS (SELECT unnest([lo, lo + 1]) AS cycle, unnest([1, -1]) AS d FROM v WHERE in_row > 250 UNION ALL SELECT unnest([lo + 1, hi]), unnest([1, -1]) FROM v WHERE after_row > 250), s AS (SELECT cycle, sum(d) AS d, max(own) AS own FROM (SELECT cycle, d, 0 AS own FROM d UNION ALL SELECT cycle, 0, 1 FROM e) GROUP BY cycle) SELECT cycle AS cycle_id FROM (SELECT cycle, own, sum(d) OVER (ORDER BY cycle) AS n FROM s) WHERE own = 1 AND n > 0")
+def stream_world_history(spark, sf):
+    """A quantified rule on what was two updates ago, also where that came in an earlier batch; after a row, its own update is one of the two."""
+    return _world(spark, sf, "value", lambda u: u.value.history(2, 0.0) > 250, 2)
+
+
+def _world(spark, sf, signal, body, depth):
     last = trace(spark, sf).agg(F.max("cycle")).first()[0] or 0
     a, b = last // 3, 2 * last // 3
     sink = scratch(spark, "world")
 
     def evaluate(objs, batch):
         end = (batch.agg(F.max("cycle")).first()[0] or 0) + 1
-        q = exists(lambda u: u.purchase.last(0.0) > 250, {"u": objs}, end=end)
+        q = exists(body, {"u": objs}, end=end)
         return quantify.world_rule("rich", q.truth(batch.select("cycle", "ts")), "alert", "somebody is rich", "cycle", "ts")
 
     parts = _Parts(spark, sf, f"cycle <= {a}", f"cycle > {a} AND cycle <= {b}", f"cycle > {b}")
-    _batches(spark, parts, monitor.world_batches(spark, scratch(spark, "last"), ["cycle"], "user_id", ["purchase"], evaluate, sink))
+    _batches(spark, parts, monitor.world_batches(spark, scratch(spark, "last"), ["cycle"], "user_id", [signal], evaluate, sink, depth))
     return spark.read.parquet(sink).select("cycle_id")
 
 

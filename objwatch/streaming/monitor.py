@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
@@ -181,24 +183,25 @@ def late_batches(spark: SparkSession, path: str, ts: str, delay: str, sink: str)
     return run
 
 
-def world_batches(spark: SparkSession, path: str, order: list[str], key: str, signals: list[str], evaluate: Callable[[ObjectSet, DataFrame], DataFrame], sink: str) -> Callable[[DataFrame, int], None]:
+def world_batches(spark: SparkSession, path: str, order: list[str], key: str, signals: list[str], evaluate: Callable[[ObjectSet, DataFrame], DataFrame], sink: str, depth: int = 1) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for quantified rules.
 
-    Keeps each object's last row in a table under path and evaluates a batch over those and its own
-    rows; evaluate gets the collection and the batch's cycles and gives verdicts. A batch's
-    verdicts are written under its number, so one that runs again replaces its own.
+    Keeps the rows with the last depth + 1 values of each signal of each object in a table under path, and evaluates a
+    batch over those and its own rows, so rules may look depth updates back; evaluate gets the collection and the batch's
+    cycles and gives verdicts. A batch's verdicts are written under its number, so one that runs again replaces its own;
+    of the tables, the one before is kept for that.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         rows = batch.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, *order, *signals]))
-        earlier = spark.read.parquet(f"{path}/state-{number - 1}") if number > 0 else rows.limit(0)
+        earlier = spark.read.parquet(f"{path}/state-{(number - 1) % 2}") if number > 0 else rows.limit(0)
         both = earlier.unionByName(rows)
         found = evaluate(ObjectSet(both, key, order, signals), batch)
         found.write.mode("overwrite").parquet(f"{sink}/batch={number}")
-        at = F.struct(*order)
-        held = [F.max_by(F.col(s), F.when(F.col(s).isNotNull(), at)).alias(s) for s in signals]
-        last = both.groupBy(key).agg(F.max(at).alias("_at"), *held).select(key, *[F.col(f"_at.{c}").alias(c) for c in order], *signals)
-        last.write.mode("overwrite").parquet(f"{path}/state-{number}")
+        back = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        since = [F.col(s).isNotNull() & (F.count(s).over(back) <= depth + 1) for s in signals]
+        wanted = reduce(or_, since, F.count(F.lit(1)).over(back) == 1)
+        both.withColumn("_wanted", wanted).where("_wanted").drop("_wanted").write.mode("overwrite").parquet(f"{path}/state-{number % 2}")
 
     return run
 
