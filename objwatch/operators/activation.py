@@ -84,17 +84,21 @@ def global_ticks(rows: DataFrame, time: str, step: int, zero: int = 0, until: in
 
 
 def local_ticks(objs: ObjectSet, time: str, step: int, end: int, name: str = "tick") -> DataFrame:
-    """(keys, tick): for each object the times start + step, start + 2 step ... up to end."""
-    starts = objs.rows.groupBy(*objs.keys).agg(F.min(time).alias("_start")).where(F.col("_start") + step <= end)
-    return starts.select(*objs.keys, F.explode(F.sequence((F.col("_start") + step).cast("bigint"), F.lit(end).cast("bigint"), F.lit(step).cast("bigint"))).alias(name))
+    """(keys, tick): for each object the times start + step, start + 2 step ... up to end, and before its own end if it has one."""
+    lives = _lives_until(objs, time, end).where(F.col("start") + step <= F.col("_until"))
+    return lives.select(*objs.keys, F.explode(F.sequence((F.col("start") + step).cast("bigint"), F.col("_until"), F.lit(step).cast("bigint"))).alias(name))
+
+
+def _lives_until(objs: ObjectSet, time: str, end: int) -> DataFrame:
+    """(keys, start, end, _until): the last time at which an object may tick; it has ended at a tick of the time of the row that ends it."""
+    return objs.spans(time).withColumn("_until", F.least(F.lit(end), F.col("end") - 1).cast("bigint"))
 
 
 def ticks_of_objects(objs: ObjectSet, time: str, step: int, end: int, zero: int = 0, name: str = "tick") -> DataFrame:
     """(keys, tick): the ticks of the shared clock at which each object is alive."""
-    starts = objs.rows.groupBy(*objs.keys).agg(F.min(time).alias("_start"))
-    first = F.greatest(F.ceil((F.col("_start") - zero) / step), F.lit(1)) * step + zero
-    starts = starts.withColumn("_first", first.cast("bigint")).where(F.col("_first") <= end)
-    return starts.select(*objs.keys, F.explode(F.sequence("_first", F.lit(end).cast("bigint"), F.lit(step).cast("bigint"))).alias(name))
+    first = F.greatest(F.ceil((F.col("start") - zero) / step), F.lit(1)) * step + zero
+    lives = _lives_until(objs, time, end).withColumn("_first", first.cast("bigint")).where(F.col("_first") <= F.col("_until"))
+    return lives.select(*objs.keys, F.explode(F.sequence(F.col("_first"), F.col("_until"), F.lit(step).cast("bigint"))).alias(name))
 
 
 def merged_ticks(frames: dict[str, DataFrame], name: str = "tick") -> DataFrame:
@@ -110,16 +114,19 @@ def state_at(objs: ObjectSet, ticks: DataFrame, time: str, lasts: list[str], his
     """(keys, tick, signals): what each object holds at its ticks; an update at the time of a tick counts.
 
     ticks is (keys, tick). Updates and ticks are sorted together by object: one shuffle and no
-    join of ranges. With histories, `s_1` ... `s_n` are the last updates; on a tick nothing is
+    join of ranges. An object that has ended by a tick has no row there. With histories, `s_1` ... `s_n` are the last updates; on a tick nothing is
     fresh, so `s_1` is the held value.
     """
     signals = list(dict.fromkeys([*lasts, *(histories or {})]))
     order = [c for c in objs.order if c != time]
-    updates = objs.rows.select(*objs.keys, F.col(time).cast("bigint").alias(name), F.lit(0).alias("_kind"), *order, *signals)
-    own = ticks.select(*objs.keys, F.col(name).cast("bigint"), F.lit(1).alias("_kind"), *[F.lit(None).cast(dict(objs.rows.dtypes)[c]).alias(c) for c in [*order, *signals]])
+    gone = F.lit(False) if objs.ends is None else F.col(objs.ends)
+    updates = objs.rows.select(*objs.keys, F.col(time).cast("bigint").alias(name), F.lit(0).alias("_kind"), gone.alias("_gone"), *order, *signals)
+    own = ticks.select(*objs.keys, F.col(name).cast("bigint"), F.lit(1).alias("_kind"), F.lit(False).alias("_gone"), *[F.lit(None).cast(dict(objs.rows.dtypes)[c]).alias(c) for c in [*order, *signals]])
     sort = [name, "_kind", *order]
     w = Window.partitionBy(*objs.keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
     part = f"(PARTITION BY {', '.join(f'`{k}`' for k in objs.keys)} ORDER BY {', '.join(f'`{c}`' for c in sort)})"
     held = [F.last(s, ignorenulls=True).over(w).alias(s) for s in lasts]
     past = [F.expr(f"lag(`{s}`, {k}) IGNORE NULLS OVER {part}").alias(f"{s}_{k}") for s, n in (histories or {}).items() for k in range(1, n + 1)]
-    return updates.unionByName(own).select(*objs.keys, name, "_kind", *held, *past).where("_kind = 1").drop("_kind")
+    alive = [] if objs.ends is None else [F.max("_gone").over(w).alias("_gone")]
+    found = updates.unionByName(own).select(*objs.keys, name, "_kind", *alive, *held, *past).where("_kind = 1").drop("_kind")
+    return found.where("not _gone").drop("_gone") if alive else found

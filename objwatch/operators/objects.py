@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +24,18 @@ class ObjectSet:
     order: list[str]
     signals: list[str]
     keys: list[str] = field(default_factory=list)  # what state is kept by; the key, and the life if objects may end
+    ends: str | None = None  # the column that says after which row an object has ended, if objects may
 
     def __post_init__(self):
         if not self.keys:
             object.__setattr__(self, "keys", [self.key])
 
+    @cached_property
+    def single(self) -> bool:
+        """Whether all rows are one object's (whose lives never overlap), by the least and the greatest key."""
+        least, most = self.rows.agg(F.min(self.key), F.max(self.key)).first()
+        return least == most
+
     # signals over time
     def current(self, signal: str) -> Column:
         return temporal.current(signal)
@@ -65,25 +73,35 @@ class ObjectSet:
         at = F.struct(*self.order)
         return self.rows.groupBy(*self.keys).agg(F.min(at).alias("first"), F.max(at).alias("last"))
 
+    def spans(self, at: str) -> DataFrame:
+        """(keys, start, end): when each object starts and, unless it is null, ends, by the number `at` of those rows. Adds up before the shuffle."""
+        end = F.lit(None).cast(dict(self.rows.dtypes)[at]) if self.ends is None else F.max(F.when(F.col(self.ends), F.col(at)))
+        return self.rows.groupBy(*self.keys).agg(F.min(at).alias("start"), end.alias("end"))
+
     def snapshot(self, until: Column | None = None) -> DataFrame:
-        """The last value of each signal of each live object, of the rows where until holds."""
+        """The last value of each signal of each live object, of the rows where until holds. Objects that have ended by then are not there."""
         rows = self.rows if until is None else self.rows.where(until)
         at = F.struct(*self.order)
         held = [F.max_by(F.col(s), F.when(F.col(s).isNotNull(), at)).alias(s) for s in self.signals]
-        return rows.groupBy(*self.keys).agg(*held)
+        if self.ends is None:
+            return rows.groupBy(*self.keys).agg(*held)
+        return rows.groupBy(*self.keys).agg(*held, F.bool_or(self.ends).alias("_gone")).where("not _gone").drop("_gone")
 
     def ending(self, when: Column) -> ObjectSet:
-        """Objects end after a row where when holds: later rows of the key are a new object's, told apart by the column life."""
+        """Objects end after a row where when holds: later rows of the key are a new object's, told apart by the column life.
+
+        An object is alive in the cycle of the row that ends it, and gone from the next one on and at clock ticks of that time.
+        """
         w = Window.partitionBy(self.key).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, -1)
         life = F.coalesce(F.sum(F.when(when, 1).otherwise(0)).over(w), F.lit(0)).alias("life")
         ended = F.coalesce(when, F.lit(False)).alias("ends")
-        return replace(self, rows=self.rows.select("*", life, ended), keys=[self.key, "life"])
+        return replace(self, rows=self.rows.select("*", life, ended), keys=[self.key, "life"], ends="ends")
 
     def versions(self, lasts: list[str] = (), histories: dict[str, int] | None = None, at: str | None = None) -> DataFrame:
         """What each object is between its rows, as intervals [lo, hi) of the order number `at`.
 
-        Without histories, a row gives one version, up to the object's next row. With them (depth by
-        signal), it gives two: the row's own cycle, and the rest, where the row's own update
+        Without histories, a row gives one version, up to the object's next row, or of its own cycle only where it ends the
+        object. With them (depth by signal), it gives two: the row's own cycle, and the rest, where the row's own update
         counts as a past one. Columns: keys, lo, hi (null: still so), is_fresh, `s` for each
         of lasts (held value), `s_now` (the row's own value, null in the rest), `s_1` ... `s_n` for histories.
         """
@@ -91,7 +109,8 @@ class ObjectSet:
         w = Window.partitionBy(*self.keys).orderBy(*self.order)
         held = [self.last(s).alias(s) for s in lasts]
         own = [F.col(s).alias(f"{s}_now") for s in dict.fromkeys([*lasts, *(histories or {})])]
-        place = F.lead(at).over(w).alias("_next")
+        place = F.lead(at).over(w)
+        place = (place if self.ends is None else F.when(F.col(self.ends), F.col(at) + 1).otherwise(place)).alias("_next")
         if not histories:
             whole = self.rows.select(*self.keys, F.col(at).alias("lo"), place, *held)
             return whole.withColumnRenamed("_next", "hi").withColumn("is_fresh", F.lit(None).cast("boolean"))
@@ -111,11 +130,16 @@ def objects(df: DataFrame, key: str, signals: list[str], order: list[str]) -> Ob
     return ObjectSet(df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, *order, *signals])), key, order, signals)
 
 
-def active_at(objs: ObjectSet, points: DataFrame, at: str, bucket: Column) -> DataFrame:
+def active_at(objs: ObjectSet, points: DataFrame, at: str, bucket: Column, ticks: bool = False) -> DataFrame:
     """(at, n_active): how many objects are alive at each value of points[at], those that start there included.
 
-    bucket is a non-decreasing function of at.
+    An object that ends is alive in the cycle of its end; ticks: but not at a tick of that time, as rows come before ticks.
+    Starts count one more and ends one less, so the cost is objects and points. bucket is a non-decreasing function of at.
     """
-    starts = objs.rows.groupBy(*objs.keys).agg(F.min(at).alias(at)).groupBy(at).agg(F.count(F.lit(1)).alias("_starts"))
-    both = starts.withColumn("_kind", F.lit(0)).unionByName(points.select(at).distinct().withColumn("_starts", F.lit(0).cast("bigint")).withColumn("_kind", F.lit(1)))
-    return ordering.running_total(both, bucket, [at, "_kind"], "_starts", "n_active").where("_kind = 1").select(at, "n_active")
+    spans, kind = objs.spans(at), dict(objs.rows.dtypes)[at]
+    edges = spans.select(F.col("start").alias(at), F.lit(1).alias("d"))
+    if objs.ends is not None:
+        edges = edges.unionByName(spans.where("end is not null").select((F.col("end") + (0 if ticks else 1)).cast(kind).alias(at), F.lit(-1).alias("d")))
+    changes = edges.groupBy(at).agg(F.sum("d").alias("_d")).withColumn("_kind", F.lit(0))
+    both = changes.unionByName(points.select(at).distinct().withColumns({"_d": F.lit(0).cast("bigint"), "_kind": F.lit(1)}))
+    return ordering.running_total(both, bucket, [at, "_kind"], "_d", "n_active").where("_kind = 1").select(at, "n_active")

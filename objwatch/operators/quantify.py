@@ -7,16 +7,22 @@ Overlaps are found by an equality join: of two intervals that overlap, one holds
 the other. An interval is put into the one or two cells of a grid as wide as itself, its first cycle into one cell
 of each grid; so a version makes as many rows as there are grids, a logarithm of the trace, however
 long it lasts. Equalities in the body become further join keys by themselves, and near() adds some. A body
-without either compares all pairs that live at the same time, which is reported by a warning.
+without either compares all pairs that live at the same time, which is reported by a warning; its grids
+end at CROWDED cycles, so that no key has more than so many first cycles.
+
+These joins are never broadcast: a side with its cells is many times the size that Spark estimates from the files.
+They are sort-merge joins, which spill and whose skewed partitions Spark splits at run time.
 """
 
 from __future__ import annotations
 
+import contextlib
+import io
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,12 +37,15 @@ from objwatch.plans import ordering
 TOTALS = 1 << 14
 #: Grids are BASE, BASE ** 2 ... cycles wide.
 BASE = 8
+#: The widest grid, as a power of BASE, of joins without any other key: longer intervals are put into each cell they meet. There,
+#: an interval has a match in each of its cycles, so that costs little beside the result.
+CROWDED = 4
 
 
-def grids(end: int) -> int:
-    """How many grids a trace of end cycles has: the last one's cells are at least as wide."""
+def grids(end: int, most: int | None = None) -> int:
+    """How many grids a trace of end cycles has: the last one's cells are at least as wide, or it is grid number most."""
     n = 1
-    while BASE**n < end:
+    while BASE**n < end and n != most:
         n += 1
     return n
 
@@ -45,12 +54,15 @@ def _cell(at: Column, grid: Column) -> Column:
     return F.struct(grid.alias("grid"), F.floor(at / F.pow(F.lit(float(BASE)), grid)).alias("cell"))
 
 
-def interval_cells(lo: Column, hi: Column) -> Column:
-    """The cells, one or two, of [lo, hi) in the first grid that is at least as wide as it."""
+def interval_cells(lo: Column, hi: Column, n: int | None = None) -> Column:
+    """The cells, one or two, of [lo, hi) in the first grid that is at least as wide as it; all that it meets in grid n if that is narrower."""
     width = hi - lo
     grid = F.greatest(F.lit(1), F.ceil(F.log(float(BASE), width.cast("double"))).cast("int"))
     grid = F.when(F.pow(F.lit(float(BASE)), grid) < width, grid + 1).otherwise(grid)
-    return F.array_distinct(F.array(_cell(lo, grid), _cell(hi - 1, grid)))
+    if n is not None:
+        grid = F.least(grid, F.lit(n))
+    first, last = (F.floor(x / F.pow(F.lit(float(BASE)), grid)) for x in (lo, hi - 1))
+    return F.transform(F.sequence(first, last), lambda c: F.struct(grid.alias("grid"), c.alias("cell")))
 
 
 def point_cells(at: Column, n: int) -> Column:
@@ -58,19 +70,19 @@ def point_cells(at: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda g: _cell(at, g))
 
 
-def joined_overlaps(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], end: int, on: Column | None = None) -> DataFrame:
-    """left and right joined where their intervals, columns a and b, overlap and `on` holds; each pair once."""
-    n = grids(end)
+def joined_overlaps(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], end: int, on: Column | None = None, most: int | None = None) -> DataFrame:
+    """left and right joined where their intervals, columns a and b, overlap and `on` holds; each pair once. most: see grids()."""
+    n = grids(end, most)
     tagged = lambda cells, role: F.transform(cells, lambda c: F.struct(F.lit(role).alias("role"), c["grid"].alias("grid"), c["cell"].alias("cell")))
     lo, hi, low, high = F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1])
-    one = left.withColumn("_a", F.explode(F.concat(tagged(point_cells(lo, n), 0), tagged(interval_cells(lo, hi), 1))))
-    two = right.withColumn("_b", F.explode(F.concat(tagged(interval_cells(low, high), 0), tagged(point_cells(low, n), 1))))
+    one = left.withColumn("_a", F.explode(F.concat(tagged(point_cells(lo, n), 0), tagged(interval_cells(lo, hi, n), 1))))
+    two = right.withColumn("_b", F.explode(F.concat(tagged(interval_cells(low, high, n), 0), tagged(point_cells(low, n), 1))))
     one = one.select("*", F.col("_a.role").alias("_ra"), F.col("_a.grid").alias("_ga"), F.col("_a.cell").alias("_ca")).drop("_a")
     two = two.select("*", F.col("_b.role").alias("_rb"), F.col("_b.grid").alias("_gb"), F.col("_b.cell").alias("_cb")).drop("_b")
     met = (F.col("_ra") == F.col("_rb")) & (F.col("_ga") == F.col("_gb")) & (F.col("_ca") == F.col("_cb"))
     within = F.when(F.col("_ra") == 0, (low <= lo) & (lo < high)).otherwise((lo < low) & (low < hi))
     met = met & within if on is None else met & within & on
-    return one.join(two, met).drop("_ra", "_ga", "_ca", "_rb", "_gb", "_cb")
+    return one.join(two.hint("merge"), met).drop("_ra", "_ga", "_ca", "_rb", "_gb", "_cb")
 
 
 class Var:
@@ -128,7 +140,10 @@ class _Signal:
 
 @dataclass(frozen=True)
 class Near:
-    """|a.signal - b.signal| <= eps, for one signal or each of several (position: ("x", "y")), as a join on cells of that width and their neighbours, and the exact test."""
+    """|a.signal - b.signal| <= eps, for one signal or each of several (position: ("x", "y")), as a join on cells and the exact test.
+
+    Cells are three eps wide; one side is put into its own cell, the other into each that it is near to: 1.7 by dimension on average, two at most.
+    """
 
     a: str
     b: str
@@ -180,9 +195,14 @@ class Quantified:
     def _cells(self, v: str, frame: DataFrame) -> DataFrame:
         if not self.near or v not in (self.near.a, self.near.b):
             return frame
+        width = 3.0 * self.near.eps or 1.0
         for x in self.near.signals:
-            cell = F.floor(F.col(f"{v}__{x}") / self.near.eps)
-            frame = frame.withColumn(f"{v}__cell_{x}", F.explode(F.array(cell - 1, cell, cell + 1)) if v == self.near.b else cell)
+            at = F.col(f"{v}__{x}").cast("double")
+            if v == self.near.b:
+                more = F.abs(at) * 1e-12 + self.near.eps * (1 + 1e-6)  # more than the exact test's rounding
+                frame = frame.withColumn(f"{v}__cell_{x}", F.explode(F.sequence(F.floor((at - more) / width), F.floor((at + more) / width))))
+            else:
+                frame = frame.withColumn(f"{v}__cell_{x}", F.floor(at / width))
         return frame
 
     def _same_cells(self, names: list[str], v: str) -> Column | None:
@@ -191,31 +211,51 @@ class Quantified:
             return None
         return reduce(and_, [F.col(f"{self.near.a}__cell_{x}") == F.col(f"{self.near.b}__cell_{x}") for x in self.near.signals])
 
-    def _warn(self, sides: list[DataFrame], condition: Column) -> None:
-        """Warn if the body gives a join no key, which the plan of a join on the body alone shows."""
-        if len(sides) > 1 and not self.near:
-            plan = reduce(lambda x, y: x.join(y), sides).where(condition)._jdf.queryExecution().sparkPlan().toString()
-            if "CartesianProduct" in plan or "NestedLoopJoin" in plan:
-                warnings.warn("the body has no equality or near(): all pairs of objects alive together are compared", stacklevel=4)
-
-    def intervals(self, negate: bool = False) -> DataFrame:
-        """(lo, hi, v__key ...): where a binding satisfies the body (or, negated, does not, but the guard)."""
-        condition = self.condition(negate)
-        names, sides = list(self.bindings), []
-        for v, objs in self.bindings.items():
-            var = self._vars[v]
-            rows = objs.versions(list(var._lasts), var._histories or None, self.at).withColumn("hi", F.coalesce("hi", F.lit(self.end)))
-            sides.append(self._cells(v, self._side(v, rows.where("lo < hi"))))
-        self._warn(sides, condition)
+    def _crowded(self, sides: list[DataFrame], condition: Column) -> bool:
+        """Whether the body gives a join no key, which the plan of a join on the body alone shows; if so, warn."""
+        if len(sides) < 2 or self.near:
+            return False
+        plan = io.StringIO()
+        with contextlib.redirect_stdout(plan):
+            reduce(lambda x, y: x.join(y), sides).where(condition).explain()
+        found = "CartesianProduct" in plan.getvalue() or "NestedLoopJoin" in plan.getvalue()
+        if found:
+            warnings.warn("the body has no equality or near(): all pairs of objects alive together are compared", stacklevel=4)
+        return found
+
+    def _versions(self, v: str, objs: ObjectSet, reads: list[Var]) -> DataFrame:
+        """Versions of a collection for what any of reads does with its signals, under the names of variable v."""
+        lasts = list(dict.fromkeys(s for x in reads for s in x._lasts))
+        histories = {s: max(x._histories.get(s, 0) for x in reads) for x in reads for s in x._histories}
+        rows = objs.versions(lasts, histories or None, self.at).withColumn("hi", F.coalesce("hi", F.lit(self.end)))
+        return self._side(v, rows.where("lo < hi"))
+
+    def _bindings(self, condition: Column, kept: list[Column] = ()) -> DataFrame:
+        """(lo, hi, v__key ..., kept): where a binding satisfies the condition."""
+        names, sets = list(self.bindings), list(self.bindings.values())
+        keys = [F.col(f"{v}__{k}") for v, o in self.bindings.items() for k in o.keys]
+        sides = [self._cells(v, self._versions(v, o, [self._vars[v]])) for v, o in self.bindings.items()]
+        most = CROWDED if self._crowded(sides, condition) else None
+        if len(sets) > 1 and all(o is sets[0] for o in sets) and sets[0].single:
+            # all variables are the one object that there is
+            rows = self._versions(names[0], sets[0], list(self._vars.values()))
+            out = rows.select("*", *[F.col(c).alias(v + c.removeprefix(names[0])) for v in names[1:] for c in rows.columns]).where(condition)
+            return out.select(F.col(f"{names[0]}__lo").alias("lo"), F.col(f"{names[0]}__hi").alias("hi"), *keys, *kept)
         out = sides[0].withColumns({"_lo": F.col(f"{names[0]}__lo"), "_hi": F.col(f"{names[0]}__hi")})
         for i, v in enumerate(names[1:], 1):
             parts = [c for c in (self._same_cells(names[:i], v), condition if i == len(names) - 1 else None) if c is not None]
-            out = joined_overlaps(out, sides[i], ("_lo", "_hi"), (f"{v}__lo", f"{v}__hi"), self.end, reduce(and_, parts) if parts else None)
+            out = joined_overlaps(out, sides[i], ("_lo", "_hi"), (f"{v}__lo", f"{v}__hi"), self.end, reduce(and_, parts) if parts else None, most)
             out = out.withColumns({"_lo": F.greatest("_lo", f"{v}__lo"), "_hi": F.least("_hi", f"{v}__hi")})
         if len(names) == 1:
             out = out.where(condition)
-        keys = [F.col(f"{v}__{k}") for v, o in self.bindings.items() for k in o.keys]
-        return out.select(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), *keys)
+        return out.select(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), *keys, *kept)
+
+    def intervals(self, negate: bool = False) -> DataFrame:
+        """(lo, hi, v__key ...): where a binding satisfies the body (or, negated, does not, but the guard).
+
+        An object that has ended is bound in the cycle of its end, and then no more.
+        """
+        return self._bindings(self.condition(negate))
 
     def counts(self, cycles: DataFrame, negate: bool = False) -> DataFrame:
         """cycles and n: how many bindings satisfy the body at each of them."""
@@ -279,21 +319,53 @@ def all_of(body: Callable[[object], Column], items: list) -> Column:
     return out
 
 
-def sweep(intervals: DataFrame, cycles: DataFrame, at: str) -> DataFrame:
-    """cycles and n: how many of the intervals [lo, hi) each is in. Linear in intervals and cycles."""
-    edges = intervals.select(F.explode(F.array(F.struct(F.col("lo").alias(at), F.lit(1).alias("d")), F.struct(F.col("hi").alias(at), F.lit(-1).alias("d")))).alias("x"))
-    edges = edges.groupBy(F.col(f"x.{at}").alias(at)).agg(F.sum("x.d").alias("_d")).withColumn("_kind", F.lit(0))
-    points = cycles.withColumn("_d", F.lit(0).cast("bigint")).withColumn("_kind", F.lit(1))
+def together(rules: dict[str, Quantified], cycles: DataFrame) -> DataFrame:
+    """cycles and one boolean column per rule: the truth of many rules over the same bindings, from one join and one sum.
+
+    All rules bind the same variables to the same collections (the very objects), and have the same end. A binding is joined
+    if any rule wants it (forall: its violations), and carries a flag for each rule; what all bodies have in common stays a join key.
+    If all rules have a near() of the same signals, cells are those of the widest.
+    """
+    first, *others = rules.values()
+    for q in others:
+        if list(q.bindings) != list(first.bindings) or any(q.bindings[v] is not o for v, o in first.bindings.items()) or (q.end, q.at) != (first.end, first.at):
+            raise ValueError("the rules bind different variables or collections")
+    flags = {f"_w{i}": q.condition(negate=q.kind == "forall") for i, q in enumerate(rules.values())}
+    for q in others:  # what any rule reads, the common versions have
+        for v, x in q._vars.items():
+            first._vars[v]._lasts.update(x._lasts)
+            for s, n in x._histories.items():
+                first._vars[v]._histories[s] = max(n, first._vars[v]._histories.get(s, 0))
+    nears = [q.near for q in rules.values()]
+    common = all(n and (n.a, n.b, n.signals) == (nears[0].a, nears[0].b, nears[0].signals) for n in nears)
+    joint = replace(first, near=replace(nears[0], eps=max(n.eps for n in nears)) if common else None)
+    found = joint._bindings(reduce(or_, flags.values()), [F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in flags.items()])
+    counted = sweep(found, cycles, first.at, dict(zip(flags, rules, strict=True)))
+    return counted.withColumns({name: F.col(name) == 0 if q.kind == "forall" else F.col(name) > 0 for name, q in rules.items()})
+
+
+def sweep(intervals: DataFrame, cycles: DataFrame, at: str, weights: dict[str, str] | None = None) -> DataFrame:
+    """cycles and n: how many of the intervals [lo, hi) each is in. Linear in intervals and cycles.
+
+    weights: sums of such columns of the intervals instead, under the names given.
+    """
+    names = weights or {"_one": "n"}
+    rows = intervals if weights else intervals.withColumn("_one", F.lit(1))
+    edge = lambda p, sign: F.struct(F.col(p).alias(at), *[(F.col(w) * sign).alias(w) for w in names])
+    edges = rows.select(F.explode(F.array(edge("lo", 1), edge("hi", -1))).alias("x"))
+    edges = edges.groupBy(F.col(f"x.{at}").alias(at)).agg(*[F.sum(f"x.{w}").alias(w) for w in names]).withColumn("_kind", F.lit(0))
+    points = cycles.withColumns({**{w: F.lit(0).cast("bigint") for w in names}, "_kind": F.lit(1)})
     both = points.unionByName(edges, allowMissingColumns=True)
-    return ordering.running_total(both, F.floor(F.col(at) / TOTALS), [at, "_kind"], "_d", "n").where("_kind = 1").drop("_d", "_kind")
+    return ordering.running_totals(both, F.floor(F.col(at) / TOTALS), [at, "_kind"], names).where("_kind = 1").drop("_kind", *names)
 
 
 def expand(intervals: DataFrame, cycles: DataFrame, at: str, end: int) -> DataFrame:
     """cycles joined with each interval that they are in; end is the first cycle after the trace."""
-    dealt = intervals.withColumn("_in", F.explode(interval_cells(F.col("lo"), F.col("hi"))))
-    points = cycles.withColumn("_point", F.explode(point_cells(F.col(at), grids(end))))
+    n = grids(end, CROWDED)
+    dealt = intervals.withColumn("_in", F.explode(interval_cells(F.col("lo"), F.col("hi"), n)))
+    points = cycles.withColumn("_point", F.explode(point_cells(F.col(at), n)))
     met = (F.col("_point.grid") == F.col("_in.grid")) & (F.col("_point.cell") == F.col("_in.cell"))
-    return points.join(dealt, met & (F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi"))).drop("_point", "_in", "lo", "hi")
+    return points.join(dealt.hint("merge"), met & (F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi"))).drop("_point", "_in", "lo", "hi")
 
 
 def inner(outer: DataFrame, found: DataFrame, keys: list[str], some: bool) -> DataFrame:

@@ -41,8 +41,8 @@ def delta(objs: ObjectSet, cycle: str, derived: list[str] = ()) -> DataFrame:
         pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("stream"), F.col(s).cast("string").alias("value")) for s in derived])).alias("x")
         updates = objs.rows.select(F.col(cycle).cast("bigint").alias("cycle_id"), F.lit("update").alias("change"), key.alias("key"), pairs).where("x.value is not null")
         parts.append(updates.select("cycle_id", "change", "x.stream", "key", "x.value"))
-    if "ends" in objs.rows.columns:
-        parts.append(line(objs.rows.where("ends"), "deactivate", "object", F.lit(None)))
+    if objs.ends is not None:
+        parts.append(line(objs.rows.where(F.col(objs.ends)), "deactivate", "object", F.lit(None)))
     return reduce(DataFrame.unionByName, parts)
 
 

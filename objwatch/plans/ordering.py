@@ -29,14 +29,15 @@ def _group(frame: DataFrame) -> Column:
     return F.col("_bucket")[kind.names[0]] if isinstance(kind, StructType) else F.col("_bucket")
 
 
-def _before(sums: DataFrame) -> DataFrame:
-    """(_b, _before): of each bucket of sums(_bucket, _sum), the sum over all buckets before it."""
+def _before(sums: DataFrame, columns: tuple[str, ...] = ("_sum",)) -> DataFrame:
+    """(_b, _before ...): of each bucket of sums(_bucket, columns), the sums over all buckets before it, as columns named _before and the column."""
     grouped = sums.withColumn("_group", _group(sums))
-    upto = lambda w: F.coalesce(F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = grouped.select("_group", F.col("_bucket").alias("_b"), upto(Window.partitionBy("_group").orderBy(F.col("_bucket").asc_nulls_first())).alias("_inside"))
-    tops = grouped.groupBy("_group").agg(F.sum("_sum").alias("_sum"))
-    tops = tops.select(F.col("_group").alias("_g"), upto(Window.orderBy(F.col("_group").asc_nulls_first())).alias("_outside"))
-    return inside.join(tops, F.col("_group").eqNullSafe(F.col("_g"))).select("_b", (F.col("_inside") + F.col("_outside")).alias("_before"))
+    upto = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own, all_ = Window.partitionBy("_group").orderBy(F.col("_bucket").asc_nulls_first()), Window.orderBy(F.col("_group").asc_nulls_first())
+    inside = grouped.select("_group", F.col("_bucket").alias("_b"), *[upto(c, own).alias(f"_inside{c}") for c in columns])
+    tops = grouped.groupBy("_group").agg(*[F.sum(c).alias(c) for c in columns])
+    tops = tops.select(F.col("_group").alias("_g"), *[upto(c, all_).alias(f"_outside{c}") for c in columns])
+    return inside.join(tops, F.col("_group").eqNullSafe(F.col("_g"))).select("_b", *[(F.col(f"_inside{c}") + F.col(f"_outside{c}")).alias(f"_before{c}") for c in columns])
 
 
 def global_rank(df: DataFrame, bucket: Column, order: list[str], name: str = "cycle") -> DataFrame:
@@ -45,16 +46,22 @@ def global_rank(df: DataFrame, bucket: Column, order: list[str], name: str = "cy
     offsets = _before(dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_sum")))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*_names(order))) - 1
     ranked = dealt.withColumn("_own", own).join(offsets, F.col("_bucket").eqNullSafe(F.col("_b")))
-    return ranked.withColumn(name, F.col("_before") + F.col("_own")).drop("_bucket", "_b", "_before", "_own")
+    return ranked.withColumn(name, F.col("_before_sum") + F.col("_own")).drop("_bucket", "_b", "_before_sum", "_own")
 
 
 def running_total(df: DataFrame, bucket: Column, order: list[str], value: str, name: str) -> DataFrame:
     """Add the sum of value over all rows up to and including this one."""
+    return running_totals(df, bucket, order, {value: name})
+
+
+def running_totals(df: DataFrame, bucket: Column, order: list[str], names: dict[str, str]) -> DataFrame:
+    """Add the sums of several columns over all rows up to and including this one, under names[column]."""
     dealt = df.withColumn("_bucket", bucket)
-    offsets = _before(dealt.groupBy("_bucket").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum")))
-    own = F.sum(value).over(Window.partitionBy("_bucket").orderBy(*_names(order)).rowsBetween(Window.unboundedPreceding, 0))
-    out = dealt.withColumn("_own", F.coalesce(own, F.lit(0))).join(offsets, F.col("_bucket").eqNullSafe(F.col("_b")))
-    return out.withColumn(name, F.col("_before") + F.col("_own")).drop("_bucket", "_b", "_before", "_own")
+    offsets = _before(dealt.groupBy("_bucket").agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in names]), tuple(names))
+    w = Window.partitionBy("_bucket").orderBy(*_names(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.withColumns({f"_own{v}": F.coalesce(F.sum(v).over(w), F.lit(0)) for v in names}).join(offsets, F.col("_bucket").eqNullSafe(F.col("_b")))
+    out = out.withColumns({n: F.col(f"_before{v}") + F.col(f"_own{v}") for v, n in names.items()})
+    return out.drop("_bucket", "_b", *[f"{x}{v}" for v in names for x in ("_before", "_own")])
 
 
 def global_history(df: DataFrame, bucket: Column, order: list[str], value: str, n: int, name: str, keys: list[str] = ()) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from objwatch.functions import scalar
 from objwatch.operators import activation, quantify
 from objwatch.operators.activation import every
-from objwatch.operators.objects import objects
+from objwatch.operators.objects import active_at, objects
 from objwatch.operators.quantify import Near, exists, forall
 from objwatch.plans.catalog import query
-from objwatch.plans.tables import BY_USER, DAY, ZERO, E, cycles, end_cycle, trace, users
+from objwatch.plans.tables import BY_USER, DAY, SPAN, ZERO, E, cycles, end_cycle, trace, users
 
 HELD = f"last_value({{0}} IGNORE NULLS) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING)"
 #: Versions of users: [lo, hi), the row's value and held signals.
@@ -50,6 +50,70 @@ def exists_prev(spark, sf):
     return q.truth(cycles(spark, sf)).select("cycle", "holds")
 
 
+#: Users that end with an error above 100, and start afresh with their next row: lives, and their versions.
+LIVES = f"{E}, l AS (SELECT *, coalesce(error > 100, false) AS ends, coalesce(sum(CASE WHEN error > 100 THEN 1 ELSE 0 END) OVER ({BY_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM e)"
+BY_LIFE = "PARTITION BY user_id, life ORDER BY cycle"
+VL = f"{LIVES}, v AS (SELECT user_id, cycle AS lo, CASE WHEN ends THEN cycle + 1 ELSE coalesce(lead(cycle) OVER ({BY_LIFE}), (SELECT max(cycle) + 1 FROM e)) END AS hi, last_value(click IGNORE NULLS) OVER ({BY_LIFE} ROWS UNBOUNDED PRECEDING) AS click, CAST(floor(value) AS BIGINT) AS code, value FROM l)"
+
+
+def _mortal(spark, sf, *signals):
+    return users(spark, sf, *signals, "error").ending(F.col("error") > 100)
+
+
+@query("exists_over_ended", f"WITH {VL}, {at_cycles('SELECT lo, hi FROM v WHERE coalesce(click, 0) > 50')} SELECT cycle, n FROM r")
+def exists_over_ended(spark, sf):
+    """How many users that have not ended held a click above 50 in this life of theirs."""
+    q = exists(lambda u: u.click.last(0.0) > 50, {"u": _mortal(spark, sf, "click")}, **_args(spark, sf))
+    return q.counts(cycles(spark, sf)).select("cycle", "n")
+
+
+@query("forall_over_ended", f"WITH {VL}, {at_cycles('SELECT lo, hi FROM v WHERE NOT coalesce(click, 0) < 250')} SELECT cycle, n = 0 AS holds FROM r")
+def forall_over_ended(spark, sf):
+    q = forall(lambda u: u.click.last(0.0) < 250, {"u": _mortal(spark, sf, "click")}, **_args(spark, sf))
+    return q.truth(cycles(spark, sf)).select("cycle", "holds")
+
+
+@query("pair_over_ended", f"WITH {VL}, {at_cycles('SELECT greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM v a JOIN v b ON a.lo < b.hi AND b.lo < a.hi AND a.code = b.code AND a.user_id < b.user_id')} SELECT cycle, n FROM r")
+def pair_over_ended(spark, sf):
+    """Pairs of users alive together that hold the same whole value."""
+    o = _mortal(spark, sf, "value").let("code", F.floor("value").cast("bigint"))
+    q = exists(lambda a, b: (a.code.last() == b.code.last()) & (a.uid < b.uid), {"a": o, "b": o}, **_args(spark, sf))
+    return q.counts(cycles(spark, sf)).select("cycle", "n")
+
+
+@query("active_over_ended", f"WITH {LIVES}, d AS (SELECT min(cycle) AS cycle, 1 AS d FROM l GROUP BY user_id, life UNION ALL SELECT cycle + 1, -1 FROM l WHERE ends), s AS (SELECT cycle, sum(d) AS d FROM d GROUP BY cycle) SELECT e.cycle, CAST(sum(coalesce(s.d, 0)) OVER (ORDER BY e.cycle) AS BIGINT) AS n_active FROM e LEFT JOIN s ON e.cycle = s.cycle")
+def active_over_ended(spark, sf):
+    """Users alive in each cycle; the one that ends in it is."""
+    return active_at(_mortal(spark, sf, "value"), cycles(spark, sf), "cycle", F.floor(F.col("cycle") / SPAN))
+
+
+@query("ticks_over_ended", f"WITH {LIVES}, k AS (SELECT unnest(range({ZERO} + {DAY}, (SELECT max(us) FROM e) + 1, {DAY})) AS tick), u AS (SELECT user_id, life, min(us) AS start, max(CASE WHEN ends THEN us END) AS over FROM l GROUP BY user_id, life) SELECT k.tick, u.user_id, u.life, (SELECT arg_max(x.value, x.cycle) FROM l x WHERE x.user_id = u.user_id AND x.life = u.life AND x.us <= k.tick) AS value FROM k JOIN u ON u.start <= k.tick AND (u.over IS NULL OR u.over > k.tick)")
+def ticks_over_ended(spark, sf):
+    """What the users alive at each tick of a daily clock hold."""
+    o = _mortal(spark, sf, "value")
+    ticks = activation.ticks_of_objects(o, "us", every("1d").step(), end_cycle(trace(spark, sf), "us") - 1, ZERO)
+    return activation.state_at(o, ticks, "us", ["value"]).select("tick", "user_id", "life", "value")
+
+
+@query("snapshot_over_ended", f"WITH {LIVES}, u AS (SELECT user_id, life FROM l GROUP BY user_id, life HAVING NOT bool_or(ends)) SELECT user_id, arg_max(click, cycle) FILTER (WHERE click IS NOT NULL) AS click, arg_max(value, cycle) AS value FROM l JOIN u USING (user_id, life) GROUP BY user_id")
+def snapshot_over_ended(spark, sf):
+    """The last values of the users that are alive at the end of the trace."""
+    return _mortal(spark, sf, "click", "value").snapshot().select("user_id", "click", "value")
+
+
+@query("rules_together", f"WITH {V}, x AS (SELECT greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi, abs(a.value - b.value) AS d, a.value AS x FROM v a JOIN v b ON a.lo < b.hi AND b.lo < a.hi AND a.user_id < b.user_id AND abs(a.value - b.value) <= 0.5), d AS (SELECT unnest([lo, hi]) AS cycle, unnest([1, -1]) AS s, (d <= 0.02)::INT AS p, (x > 250)::INT AS q, (d <= 0.25 AND NOT x < 200)::INT AS r FROM x), t AS (SELECT cycle, sum(s * p) AS p, sum(s * q) AS q, sum(s * r) AS r FROM d GROUP BY cycle) SELECT e.cycle, coalesce(sum(p) OVER w, 0) > 0 AS close, coalesce(sum(q) OVER w, 0) > 0 AS high, coalesce(sum(r) OVER w, 0) = 0 AS low FROM e LEFT JOIN t ON e.cycle = t.cycle WINDOW w AS (ORDER BY e.cycle)")
+def rules_together(spark, sf):
+    """Three rules on pairs of users whose values are close, two that ask for a pair and one for all pairs, in one join."""
+    pair = dict.fromkeys("ab", users(spark, sf, "value"))
+    near = lambda eps: {"near": Near("a", "b", "value", eps), **_args(spark, sf)}
+    found = {
+        "close": exists(lambda a, b: a.uid < b.uid, pair, **near(0.02)),
+        "high": exists(lambda a, b: (a.uid < b.uid) & (a.value.last() > 250), pair, **near(0.5)),
+        "low": forall(lambda a, b: a.value.last() < 200, pair, given=lambda a, b: a.uid < b.uid, **near(0.25)),
+    }
+    return quantify.together(found, cycles(spark, sf)).select("cycle", "close", "high", "low")
+
+
 PAIR = "SELECT greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi, a.user_id AS a, b.user_id AS b FROM v a JOIN v b ON a.lo < b.hi AND b.lo < a.hi AND {0}"
 THETA = PAIR.format("a.user_id <> b.user_id AND a.value > 150 AND b.value > 150 AND a.value + b.value > 380")
 
@@ -106,16 +170,16 @@ def placed(spark, sf, objects_left=None):
     return objects(t.select("user_id", "cycle", "x", "y"), "user_id", ["x", "y"], ["cycle"])
 
 
-def close_pairs(spark, sf, threshold=2.0, objects_left=None, depth=0):
+def close_pairs(spark, sf, threshold=2.0, depth=0, placed_objects=None, end=None):
     """Two distinct users less than threshold apart; with depth, they were so depth updates ago, too."""
-    o = placed(spark, sf, objects_left)
+    o = placed_objects or placed(spark, sf)
 
     def apart(a, b, n=0):
         dx, dy = ((getattr(a, c).history(n) if n else getattr(a, c).last()) - (getattr(b, c).history(n) if n else getattr(b, c).last()) for c in "xy")
         return F.sqrt(dx * dx + dy * dy)
 
     body = lambda a, b: (a.uid < b.uid) & (apart(a, b) < threshold) & (apart(a, b, depth) < threshold if depth else F.lit(True))
-    return exists(body, {"a": o, "b": o}, near=Near("a", "b", ("x", "y"), threshold), **_args(spark, sf))
+    return exists(body, {"a": o, "b": o}, near=Near("a", "b", ("x", "y"), threshold), end=end or end_cycle(trace(spark, sf)))
 
 
 @query("pair_distance", f"WITH {PLACED}, {at_cycles(CLOSE)} SELECT cycle, n FROM r")

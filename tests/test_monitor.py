@@ -2,6 +2,7 @@
 
 import random
 import warnings
+from dataclasses import replace
 
 import pytest
 from interpreter import Model
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from objwatch.operators import activation, quantify, rules, temporal, verdicts
 from objwatch.operators.activation import always, every, fresh
-from objwatch.operators.objects import objects
+from objwatch.operators.objects import active_at, objects
 from objwatch.operators.quantify import Near, exists, forall
 from objwatch.operators.schema import ObjectClass, flatten_signals
 from objwatch.plans import ordering
@@ -279,3 +280,96 @@ def test_verbosity_and_lines(spark):
     found = spark.createDataFrame([("r", "alert", "event", 1, None, [3, 4], "m"), ("s", "info", "event", 1, None, None, None)], "rule string, level string, cycle_kind string, cycle_id bigint, ts timestamp, key array<bigint>, value string")
     assert verdicts.at_most(found, "warnings").count() == 1 and verdicts.at_most(found, "silent").count() == 0 and verdicts.at_most(found, "debug").count() == 2
     assert verdicts.render(found.withColumn("ts", F.lit("2024-01-01").cast("timestamp"))).where("rule = 'r'").first()["line"] == '@2024-01-01 00:00:00.000000 | alert | #r<3, 4> :: value = "m"'
+
+
+def mortal_model(rows, body_of_pair):
+    """Cycle by cycle: objects alive, those whose a is over 2, pairs with the same b; an object goes after a cycle that gives it a zero."""
+    m, want = Model("uid", ["a", "b"]), []
+    for row in as_dicts(rows):
+        m.cycle(row)
+        alive = sorted(m.objects)
+        want.append((len(alive), sum(1 for k in alive if (m.last(k, "a") or 0) > 2), len(m.pairs(body_of_pair(m))), sum(1 for k in alive if (m.history(k, "b", 1) or 0) > 2)))
+        if row["a"] == 0 and row["uid"] is not None:
+            del m.objects[row["uid"]]
+    return want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_objects_that_end_equal_the_model(spark, seed):
+    """Births, ends and births again: an object counts in the cycle of its end, and no more from the next one on."""
+    rows = trace(200 + seed, 80, 5)
+    o, cycles = cars(spark, rows).ending(F.col("a") == 0), frame(spark, rows).select("cycle")
+    assert o.rows.where("life > 0").count() > 0
+    want = mortal_model(rows, lambda m: lambda a, b: a != b and m.last(a, "b") is not None and m.last(a, "b") == m.last(b, "b"))
+    args = {"end": len(rows)}
+    column = lambda df, c: [r[c] for r in df.orderBy("cycle").collect()]
+    high = exists(lambda c: c.a.last(0.0) > 2, {"c": o}, **args).counts(cycles)
+    pair = exists(lambda a, b: (a != b) & (a.b.last() == b.b.last()), {"a": o, "b": o}, **args).counts(cycles)
+    before = exists(lambda c: c.b.prev(0.0) > 2, {"c": o}, **args).counts(cycles)
+    got = zip(column(active_at(o, cycles, "cycle", F.floor(F.col("cycle") / 7)), "n_active"), column(high, "n"), column(pair, "n"), column(before, "n"), strict=True)
+    assert list(got) == want
+    assert column(exists(lambda c: F.lit(True), {"c": o}, **args).counts(cycles), "n") == [w[0] for w in want]
+    assert {r["uid"] for r in o.snapshot().collect()} == {u for u, life in alive_after(rows)}
+
+
+def alive_after(rows):
+    lives, alive = {}, {}
+    for u, a, _ in rows:
+        if u is not None:
+            alive[u] = lives.setdefault(u, 0)
+            if a == 0:
+                lives[u] += 1
+                del alive[u]
+    return set(alive.items())
+
+
+def test_ticks_of_objects_that_end(spark):
+    """A row comes before a tick of its time: an object that ends there does not tick, one that starts there does."""
+    df = spark.createDataFrame([(0, 10, 1, 1.0), (1, 40, 1, 0.0), (2, 40, 1, 5.0), (3, 70, 1, 0.0), (4, 80, 2, 1.0)], "cycle bigint, t bigint, uid bigint, a double")
+    o = objects(df, "uid", ["a", "t"], ["cycle"]).ending(F.col("a") == 0)
+    ticks = activation.ticks_of_objects(o, "t", 20, 100)
+    assert sorted(tuple(r) for r in ticks.select("tick", "uid", "life").collect()) == [(20, 1, 0), (40, 1, 1), (60, 1, 1), (80, 2, 0), (100, 2, 0)]
+    assert sorted(tuple(r) for r in activation.state_at(o, ticks, "t", ["a"]).select("tick", "a").collect()) == [(20, 1.0), (40, 5.0), (60, 5.0), (80, 1.0), (100, 1.0)]
+    asked = spark.createDataFrame([(1, 0, 30), (1, 0, 40), (1, 1, 40), (1, 1, 90)], "uid bigint, life bigint, tick bigint")
+    assert sorted(tuple(r) for r in activation.state_at(o, asked, "t", ["a"]).select("life", "tick", "a").collect()) == [(0, 30, 1.0), (1, 40, 5.0)]
+    assert sorted(tuple(r) for r in activation.local_ticks(o, "t", 15, 100).select("tick", "life").collect()) == [(25, 0), (55, 1), (95, 0)]
+    points = spark.createDataFrame([(t,) for t in (20, 40, 60, 70, 80)], "t bigint")
+    assert [r["n_active"] for r in active_at(o, points, "t", F.floor(F.col("t") / 50), ticks=True).orderBy("t").collect()] == [1, 1, 1, 0, 1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rules_together_equal_each_by_itself(spark, seed):
+    rows = trace(300 + seed, 70, 1 if seed == 2 else 5)
+    o, cycles = cars(spark, rows), frame(spark, rows).select("cycle")
+    pair, args = {"a": o, "b": o}, {"end": len(rows)}
+    rules_ = {
+        "near": exists(lambda a, b: a.uid < b.uid, pair, near=Near("a", "b", "a", 1.0), **args),
+        "nearer": exists(lambda a, b: (a != b) & (a.b.prev(0.0) > 1), pair, near=Near("a", "b", "a", 0.5), **args),
+        "all": forall(lambda a, b: a.b.last(0.0) >= 1, pair, near=Near("a", "b", "a", 2.0), **args),
+    }
+    column = lambda df, c: [r[c] for r in df.orderBy("cycle").collect()]
+    for chosen in (rules_, {k: replace(q, near=None, given=lambda a, b: a.a.last() == b.a.last()) for k, q in rules_.items()}, {"near": rules_["near"]}):
+        got = quantify.together(chosen, cycles)
+        for name, q in chosen.items():
+            assert column(got, name) == column(q.truth(cycles), "holds")
+    with pytest.raises(ValueError, match="different"):
+        quantify.together({**rules_, "other": exists(lambda a, b: a != b, {"a": o, "b": cars(spark, rows)}, **args)}, cycles)
+
+
+def test_no_pair_join_is_broadcast(spark, sf_dir):
+    """A side with its cells is many times what Spark thinks it is."""
+    from objwatch.plans import catalog
+
+    for name in ("exists_pair_equi", "exists_pair_band", "pair_distance", "quantify_n", "pair_over_ended", "binding_witnesses"):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "v__" not in "".join(x for x in plan.splitlines() if "BroadcastHashJoin" in x) and not any("_ga" in x or "_point" in x for x in plan.splitlines() if "BroadcastHashJoin" in x), name
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_crowded_grids_lose_no_overlap(spark, most):
+    r = random.Random(most)
+    sides = [[(i, lo, lo + r.choice([1, 7, 9, 64, 65, 500])) for i in range(60) for lo in [r.randrange(600)]] for _ in range(2)]
+    end = max(hi for side in sides for _, _, hi in side)
+    left, right = (spark.createDataFrame(rows, f"{x} long, {x}lo long, {x}hi long") for rows, x in zip(sides, "ab", strict=True))
+    got = quantify.joined_overlaps(left, right, ("alo", "ahi"), ("blo", "bhi"), end, most=most).select("a", "b").collect()
+    assert sorted(map(tuple, got)) == sorted((i, k) for i, lo, hi in sides[0] for k, low, high in sides[1] if lo < high and low < hi)
