@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from objwatch.llm import exact_dedup, extraction, jaccard, language, mixing, packing, pii, quality, substring, transport
+from objwatch.llm import audit, exact_dedup, extraction, jaccard, language, mixing, packing, pii, quality, substring, transport
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_extraction": extraction.op10_extraction,
+    "op13_filter_audit": audit.op13_filter_audit,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_jaccard": jaccard.ORACLE_SQL,
+    "op13_filter_audit": audit.ORACLE_SQL,
 }
