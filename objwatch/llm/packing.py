@@ -152,11 +152,11 @@ class WordTokenizer:
         place[~parted] = n + np.arange(len(others))
         return found.take(place)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each followed by END_ID, and where each text begins; one entry more is the end."""
+    def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by end_id, and where each text begins; one entry more is the end."""
         words = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
-        known = self._of_words(coded.dictionary).join(_Ids(np.array([END_ID], np.uint32), np.array([1])))
+        known = self._of_words(coded.dictionary).join(_Ids(np.array([end_id], np.uint32), np.array([1])))
         per = words.value_lengths().to_numpy()
         ends = np.cumsum(per)
         found = known.take(np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(coded.dictionary)))
@@ -185,29 +185,39 @@ def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+def encoded_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int = END_ID) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """In a worker: (rows, ids, begin) of blocks of texts; see WordTokenizer.encode()."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    try:
+        for batch in batches:
+            for lo, hi in _blocks(pc.binary_length(batch["text"]).fill_null(0).to_numpy()):
+                part = batch.slice(lo, hi - lo)
+                yield part, *_TOKENIZERS[path].encode(part["text"], end_id)
+    finally:
+        _TOKENIZERS[path].forget()  # a worker lives on, beside others
+
+
+def crc_of(ids: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[int]:
+    """The CRC-32 of stretches of ids as unsigned little-endian numbers of 32 bits."""
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    return [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents of over capacity ids are cut into pieces of capacity."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = WordTokenizer(path)
-        try:
-            for batch in batches:
-                for lo, hi in _blocks(pc.binary_length(batch["text"]).fill_null(0).to_numpy()):
-                    part = batch.slice(lo, hi - lo)
-                    ids, begin = _TOKENIZERS[path].encode(part["text"])
-                    sizes = np.diff(begin)
-                    pieces = -(-sizes // capacity)
-                    doc = np.repeat(np.arange(len(sizes)), pieces)
-                    piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                    start = piece * capacity
-                    length = np.minimum(sizes[doc] - start, capacity)
-                    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
-                    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((begin[doc] + start).tolist(), (begin[doc] + start + length).tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        finally:
-            _TOKENIZERS[path].forget()  # a worker lives on, beside others
+        for part, ids, begin in encoded_blocks(batches, path):
+            sizes = np.diff(begin)
+            pieces = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(sizes[doc] - start, capacity)
+            crc = crc_of(ids, begin[doc] + start, length)
+            yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return map_batches(docs.select("doc_id", "text"), run, PIECES)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from objwatch.llm import audit, exact_dedup, extraction, jaccard, language, mixing, packing, pii, quality, substring, transport
+from objwatch.llm import audit, decompose, exact_dedup, extraction, jaccard, language, mixing, packing, pii, quality, repair, substring, transport
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_extraction": extraction.op10_extraction,
+    "op11_repair": repair.op11_repair,
+    "op12_decomposition": decompose.op12_decomposition,
     "op13_filter_audit": audit.op13_filter_audit,
 }
 ORACLE_SQL = {
