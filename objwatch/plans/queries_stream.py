@@ -10,7 +10,8 @@ from objwatch.plans.catalog import query
 from objwatch.plans.queries_source import scratch
 from objwatch.plans.tables import BY_USER, DAY, ZERO, E, trace
 from objwatch.sources.trace import live_source
-from objwatch.streaming import monitor
+from objwatch.streaming import lives, monitor
+from objwatch.streaming.lives import Clock, Let, Objects
 
 HOUR = 3_600_000_000
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -22,7 +23,7 @@ class _Parts:
     """The trace as a stream; parts are conditions on the rows that arrive together, in order of arrival. A part has as many files as Spark makes."""
 
     def __init__(self, spark, sf, *parts):
-        self.rows = trace(spark, sf).select("cycle", F.col("ts").cast("timestamp").alias("ts"), "us", "user_id", "value", "purchase")
+        self.rows = trace(spark, sf).select("cycle", F.col("ts").cast("timestamp").alias("ts"), "us", "user_id", "event_type", "value", "purchase", "error")
         self.path, self.parts = scratch(spark, "events"), parts or ("true",)
         self.rows.limit(0).write.parquet(self.path)
         self.stream = live_source(spark, "parquet", self.rows.schema, path=self.path)
@@ -52,6 +53,82 @@ def _objects(spark, sf, depth=1, **more):
     return _result(spark, parts, states, "states")
 
 
+#: How far values jump, but for views, and whether a jump is higher than the one before.
+LEVELS = Objects(
+    {"value": "double", "event_type": "string", "error": "double", "number": "bigint"},
+    (
+        Let("jump", "double", lambda f: f.now("value") - f.prev("value"), lambda f: f.now("event_type") != "view"),
+        Let("level", "string", lambda f: ["high" if up else "low" for up in (f.last("jump") > f.prev("jump")).fillna(False)], lambda f: f.fresh("jump")),
+    ),
+    {"jump": 2, "event_type": 2},
+    ends=lambda f: f.now("error") > 100,
+)
+
+
+def _whole(spark, sf, spec, make=lambda states: states):
+    """What make() makes of the users' states; rows arrive shuffled."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    parts = _Parts(spark, sf)
+    states = lives.life_stream(parts.stream.withColumn("number", F.col("cycle") * 3), "user_id", "ts", "cycle", spec, "1 hour")
+    return _result(spark, parts, make(states), "whole")
+
+
+#: The same with lives, jumps and levels in SQL: a let is a column, whose history counts its own updates.
+LV = f"""{E}, p AS (SELECT *, coalesce(sum(CASE WHEN error > 100 THEN 1 ELSE 0 END) OVER ({BY_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life, coalesce(error > 100, false) AS ends FROM e WHERE {PASSED}),
+j AS (SELECT *, CASE WHEN event_type <> 'view' THEN value - lag(value) OVER (PARTITION BY user_id, life ORDER BY cycle) END AS jump FROM p),
+k AS (SELECT *, lag(jump, 1 IGNORE NULLS) OVER w AS jump_1, lag(jump, 2 IGNORE NULLS) OVER w AS jump_2, last_value(jump IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS jump_last, lag(event_type, 2) OVER w AS type_2, row_number() OVER w = 1 AS starts FROM j WINDOW w AS (PARTITION BY user_id, life ORDER BY cycle)),
+l AS (SELECT *, CASE WHEN jump IS NOT NULL THEN CASE WHEN coalesce(jump > jump_1, false) THEN 'high' ELSE 'low' END END AS level FROM k)"""
+
+
+@query("stream_state_whole", f"WITH {LV} SELECT cycle, user_id, value AS last, event_type AS kind, type_2, error, cycle * 3 AS number, jump, jump_last, jump_1, jump_2, level, lag(level, 1 IGNORE NULLS) OVER (PARTITION BY user_id, life ORDER BY cycle) AS level_1, starts, ends FROM l")
+def stream_state_whole(spark, sf):
+    """Signals of three types, derived ones with a gate and a history of their own, of objects that end."""
+    found = _whole(spark, sf, LEVELS).where("kind = 'event'")
+    return found.select(F.col("order").alias("cycle"), F.col("key").alias("user_id"), F.col("value_last").alias("last"), F.col("event_type").alias("kind"), F.col("event_type_2").alias("type_2"), "error", F.col("number_last").alias("number"), "jump", "jump_last", "jump_1", "jump_2", "level", "level_1", "starts", "ends")
+
+
+DELTA = "SELECT cycle AS cycle_id, 'activate' AS change, 'object' AS stream, user_id AS key, NULL AS value FROM l WHERE starts UNION ALL SELECT cycle, 'deactivate', 'object', user_id, NULL FROM l WHERE ends UNION ALL SELECT cycle, 'update', 'level', user_id, level FROM l WHERE level IS NOT NULL"
+
+
+@query("stream_delta", f"WITH {LV} {DELTA}")
+def stream_delta(spark, sf):
+    """What each cycle changes, as the stream goes on."""
+    return _whole(spark, sf, LEVELS, lambda states: lives.stream_delta(states, ["level"]))
+
+
+@query("stream_full_delta", f"WITH {LV} {DELTA} UNION ALL SELECT cycle, 'input', 'event_type', user_id, event_type FROM l UNION ALL SELECT cycle, 'fired', 'rise', user_id, level FROM l WHERE jump_last > 200 AND jump_1 < 0")
+def stream_full_delta(spark, sf):
+    rise = ("rise", (F.col("jump_last") > 200) & (F.col("jump_1") < 0), F.col("level"))
+    return _whole(spark, sf, LEVELS, lambda states: lives.stream_full_delta(states, ["level"], ["event_type"], [rise]))
+
+
+@query("stream_snapshots", f"WITH {LV} SELECT cycle AS cycle_id, user_id AS key, value, last_value(error IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS error, jump_last AS jump, last_value(level IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS level FROM l WINDOW w AS (PARTITION BY user_id, life ORDER BY cycle)")
+def stream_snapshots(spark, sf):
+    return _whole(spark, sf, LEVELS, lambda states: lives.stream_snapshots(states, ["value", "error", "jump", "level"]))
+
+
+TICKS = f"WITH {E}, p AS (SELECT * FROM e WHERE {PASSED}), u AS (SELECT user_id, min(us) AS start FROM p GROUP BY user_id), m AS (SELECT max(us) // 1000 * 1000 - {HOUR} AS mark FROM e), k AS (SELECT 'own' AS clock, user_id, unnest(range(start + {5 * DAY}, (SELECT mark FROM m), {5 * DAY})) AS tick FROM u UNION ALL SELECT 'daily', user_id, unnest(range({ZERO} + {DAY} * greatest(1, CAST(ceil((start - {ZERO}) / {DAY}) AS BIGINT)), (SELECT mark FROM m), {DAY})) FROM u UNION ALL SELECT 'weekly', user_id, unnest(range({ZERO} + {7 * DAY} * greatest(1, CAST(ceil((start - {ZERO}) / {7 * DAY}) AS BIGINT)), (SELECT mark FROM m), {7 * DAY})) FROM u)"
+
+
+@query("stream_tick_rates", f"{TICKS} SELECT k.clock, k.user_id, k.tick, (SELECT arg_max(x.value, x.cycle) FROM p x WHERE x.user_id = k.user_id AND x.us <= k.tick) AS last, (SELECT arg_max(x.purchase, x.cycle) FILTER (WHERE x.purchase IS NOT NULL) FROM p x WHERE x.user_id = k.user_id AND x.us <= k.tick) AS bought FROM k")
+def stream_tick_rates(spark, sf):
+    """Two rates of a shared clock and one of each user's own, on one stream."""
+    clocks = (Clock("daily", DAY, ZERO), Clock("weekly", 7 * DAY, ZERO), Clock("own", 5 * DAY))
+    found = _whole(spark, sf, Objects({"value": "double", "purchase": "double"}, clocks=clocks)).where("kind = 'tick'")
+    return found.select("clock", F.col("key").alias("user_id"), F.col("us").alias("tick"), F.col("value_last").alias("last"), F.col("purchase_1").alias("bought"))
+
+
+SILENT = f"""{E}, p AS (SELECT *, us - lag(us) OVER ({BY_USER}) AS gap, coalesce(lead(us) OVER ({BY_USER}), (SELECT max(us) // 1000 * 1000 - {HOUR} FROM e)) - us AS until FROM e WHERE {PASSED}),
+q AS (SELECT *, sum(CASE WHEN gap > {12 * HOUR} THEN 1 ELSE 0 END) OVER ({BY_USER}) AS life FROM p)"""
+
+
+@query("stream_silence", f"WITH {SILENT} SELECT 'event' AS kind, user_id, us, value AS last, lag(value) OVER (PARTITION BY user_id, life ORDER BY cycle) AS prev_1, row_number() OVER (PARTITION BY user_id, life ORDER BY cycle) = 1 AS starts FROM q UNION ALL SELECT 'end', user_id, us + {12 * HOUR}, value, lag(value, 0) OVER (PARTITION BY user_id ORDER BY cycle), false FROM q WHERE until > {12 * HOUR}")
+def stream_silence(spark, sf):
+    """A user of whom nothing is heard for twelve hours is gone, and starts afresh."""
+    found = _whole(spark, sf, Objects({"value": "double"}, silence_us=12 * HOUR))
+    return found.select("kind", F.col("key").alias("user_id"), "us", F.col("value_last").alias("last"), F.col("value_1").alias("prev_1"), "starts")
+
+
 @query("live_source", f"WITH {E} SELECT user_id, count(*) AS n, max(value) AS top FROM e GROUP BY user_id")
 def live_source_query(spark, sf):
     parts = _Parts(spark, sf)

@@ -1,161 +1,32 @@
-"""The monitor on streams: keyed state with transformWithState, and quantified rules by foreachBatch.
+"""The monitor on streams: rules over keyed state (lives.py), quantified rules by foreachBatch, and late rows.
 
-Rows of a key are applied in the order of (time, order): they wait in state until the watermark
-has passed them, so that a late neighbour still finds its place. Rows behind the watermark
-never reopen a cycle: Spark drops and counts them, and late_batches() keeps them apart.
+Rows behind the watermark never reopen a cycle: Spark drops and counts them, and late_batches() keeps them apart.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 from objwatch.operators.objects import ObjectSet
 from objwatch.operators.rules import VERDICT
-
-#: Waiting rows of a key are kept in chunks of so many, sorted by time; rows are given out in frames of FRAME.
-CHUNK, FRAME = 256, 10_000
-WAITING = np.dtype([("us", "<i8"), ("order", "<i8"), ("value", "<f8")])
-
-
-class ObjectProcessor(StatefulProcessor):
-    """State of one object of a collection with one numeric signal.
-
-    Emits a row per update (kind event) and per tick of the object's clock (tick): the held value
-    and the depth last updates before it. Ticks come at start + step, start + 2 step ..., or at the times of a
-    shared clock; an update at the time of a tick is applied before it.
-    ends_below: an update under this value ends the object; the next one starts it anew.
-    One timer per object is set, at the earliest time that it waits for; when the watermark has
-    passed it, all rows and ticks up to the watermark are applied in order. Rows that arrive together
-    wait as a run of sorted chunks; runs are merged, so that a key's history is never in memory at once.
-    """
-
-    def __init__(self, depth: int = 1, step_ms: int | None = None, zero_ms: int | None = None, ends_below: float | None = None):
-        self.depth, self.step_ms, self.zero_ms, self.ends_below = depth, step_ms, zero_ms, ends_below
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", StructType([StructField("us", LongType()), StructField("number", LongType())]), StructType([StructField("rows", BinaryType())]))
-        self.chunks = handle.getValueState("chunks", StructType([StructField("n", LongType())]))
-        self.past = handle.getListState("past", StructType([StructField("value", DoubleType())]))
-        self.clock = handle.getValueState("clock", StructType([StructField("next_us", LongType())]))
-
-    def _row(self, key, us: int, order: int | None, kind: str, value: float | None, past: list[float]) -> dict:
-        skip = int(kind == "event" and value is not None)  # the row's own update is not before it
-        prevs = {f"prev_{k}": past[k - 1 + skip] if len(past) >= k + skip else None for k in range(1, self.depth + 1)}
-        return {"key": key[0], "ts": pd.Timestamp(us, unit="us"), "order": order, "kind": kind, "value": value, "last": past[0] if past else None, **prevs}
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in rows:
-            new = [(pd.Timestamp(ts).value // 1000, int(order), np.nan if pd.isna(value) else float(value)) for ts, order, value in zip(batch["ts"], batch["order"], batch["value"], strict=True)]
-            if new:
-                first = min(first, min(new)[0]) if first is not None else min(new)[0]
-                self._wait(new)
-        if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
-        return iter(())
-
-    def _wait(self, rows: list[tuple[int, int, float]]) -> None:
-        """Keep rows as a run: chunks by time, each under its first time and a number of its own."""
-        run = np.sort(np.array(rows, WAITING), order=["us", "order"])
-        n = self.chunks.get()[0] if self.chunks.exists() else 0
-        for i in range(0, len(run), CHUNK):
-            self.waiting.updateValue((int(run["us"][i]), n), (run[i : i + CHUNK].tobytes(),))
-            n += 1
-        self.chunks.update((n,))
-
-    def _ready(self, mark: int, later: list[int]) -> Iterator[tuple[int, int, float]]:
-        """Rows before mark by (time, order), taken out of the state; later gets the first time that waits on."""
-        keys = sorted(self.waiting.keys())
-        open_rows: list[tuple[int, int, float]] = []
-        for us, number in keys:
-            if us >= mark:
-                later.append(us)
-                break
-            while open_rows and open_rows[0][0] < us:
-                yield heapq.heappop(open_rows)
-            for row in np.frombuffer(self.waiting.getValue((us, number))[0], WAITING).tolist():
-                heapq.heappush(open_rows, row)
-            self.waiting.removeKey((us, number))
-        while open_rows and open_rows[0][0] < mark:
-            yield heapq.heappop(open_rows)
-        if open_rows:
-            later.append(open_rows[0][0])
-            self._wait(open_rows)
-        elif not later:
-            self.chunks.clear()
-
-    def _first_tick(self, us: int) -> int | None:
-        if not self.step_ms:
-            return None
-        step = self.step_ms * 1000
-        if self.zero_ms is None:
-            return us + step
-        zero = self.zero_ms * 1000
-        return zero + step * max(1, -((zero - us) // step))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        past = [r[0] for r in self.past.get()]
-        clock = self.clock.get()[0] if self.clock.exists() else None
-        out, later = [], []
-        for us, order, held in self._ready(mark, later):
-            value = None if held != held else held
-            while clock is not None and clock < us:
-                out.append(self._row(key, clock, None, "tick", None, past))
-                clock += self.step_ms * 1000
-                if len(out) >= FRAME:
-                    yield pd.DataFrame(out)
-                    out = []
-            if clock is None:
-                clock = self._first_tick(us)
-            if value is not None:
-                past = [value, *past][: self.depth + 1]
-            out.append(self._row(key, us, order, "event", value, past))
-            if value is not None and self.ends_below is not None and value < self.ends_below:
-                past, clock = [], None
-            if len(out) >= FRAME:
-                yield pd.DataFrame(out)
-                out = []
-        while clock is not None and clock < mark:
-            out.append(self._row(key, clock, None, "tick", None, past))
-            clock += self.step_ms * 1000
-            if len(out) >= FRAME:
-                yield pd.DataFrame(out)
-                out = []
-        self.past.put([(v,) for v in past]) if past else self.past.clear()
-        self.clock.update((clock,)) if clock is not None else self.clock.clear()
-        waits = later + ([clock] if clock is not None else [])
-        if waits:
-            self.handle.registerTimer(min(waits) // 1000 + 1)
-        if out:
-            yield pd.DataFrame(out)
-
-    def close(self) -> None:
-        pass
-
+from objwatch.streaming.lives import Clock, Objects, life_stream
 
 def object_stream(stream: DataFrame, key: str, ts: str, order: str, value: str, delay: str, depth: int = 1, step_ms: int | None = None, zero_ms: int | None = None, ends_below: float | None = None) -> DataFrame:
-    """Updates (kind event) and ticks (tick) of every object, each with the held value and the updates before it.
+    """life_stream() of objects with one numeric signal: updates (kind event) and ticks (tick), each with the held value and the updates before it.
 
-    step_ms starts a clock per object, from its first row on; with zero_ms, at the times of one shared clock.
-    Applied rows come when the watermark, `delay` behind the latest time, has passed them.
+    step_ms starts a clock per object, from its first row on; with zero_ms, at the times of one shared clock. An update under ends_below ends the object.
     """
-    rows = stream.select(F.col(key).cast("bigint").alias("key"), F.col(ts).alias("ts"), F.col(order).cast("bigint").alias("order"), F.col(value).cast("double").alias("value"))
-    past = [StructField(f"prev_{k}", DoubleType()) for k in range(1, depth + 1)]
-    schema = StructType([StructField("key", LongType()), StructField("ts", TimestampType()), StructField("order", LongType()), StructField("kind", StringType()), StructField("value", DoubleType()), StructField("last", DoubleType()), *past])
-    processor = ObjectProcessor(depth, step_ms, zero_ms, ends_below)
-    return rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    clocks = (Clock("clock", step_ms * 1000, None if zero_ms is None else zero_ms * 1000),) if step_ms else ()
+    ends = None if ends_below is None else lambda f: f.now("value") < ends_below
+    rows = stream.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(order).alias("order"), F.col(value).cast("double").alias("value"))
+    states = life_stream(rows, "key", "ts", "order", Objects({"value": "double"}, (), depth, clocks, ends), delay)
+    past = [F.col(f"value_{k}").alias(f"prev_{k}") for k in range(1, depth + 1)]
+    return states.select("key", "ts", "order", "kind", "value", F.col("value_last").alias("last"), *past)
 
 
 def stream_rule(states: DataFrame, name: str, guard, level: str, message) -> DataFrame:

@@ -34,7 +34,6 @@ def test_streams_of_several_files(spark, tmp_path, monkeypatch):
     made = []
     run = queries_stream._Parts.run
     monkeypatch.setattr(queries_stream._Parts, "run", lambda self, writer: (made.append(self), run(self, writer))[1])
-    monkeypatch.setattr(queries_stream.monitor, "CHUNK", 7)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         for name in ("stream_state", "stream_late", "stream_world"):
@@ -48,30 +47,22 @@ def test_streams_of_several_files(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_waiting_rows_are_merged_by_time():
+def test_waiting_rows_are_merged_by_time(monkeypatch):
     """Runs of chunks, out of order, with a mark inside of one: rows come by time, and few are open at once."""
-    from objwatch.streaming import monitor
+    import pyarrow as pa
+    from test_streams import Handle
 
-    class Map(dict):
-        updateValue, getValue, removeKey = dict.__setitem__, dict.get, dict.pop  # noqa: N815
+    from objwatch.streaming import lives
 
-    class Value:
-        held = None
-        exists = lambda self: self.held is not None
-        get = lambda self: self.held
-
-        def update(self, v):
-            self.held = v
-
-        def clear(self):
-            self.held = None
-
-    p = monitor.ObjectProcessor()
-    p.waiting, p.chunks = Map(), Value()
+    monkeypatch.setattr(lives, "CHUNK", 256)
+    p = lives.LifeProcessor(lives.Objects({"value": "double"}))
+    p.init(Handle())
     rows = [(i * 7919 % 5000, i, float(i)) for i in range(5000)]
     for i in range(0, 5000, 1000):
-        p._wait(rows[i : i + 1000])
-    assert max(len(v[0]) for v in p.waiting.values()) == 24 * monitor.CHUNK
+        p._wait(pa.table(list(map(list, zip(*rows[i : i + 1000], strict=True))), schema=p.arrow))
+    assert len(p.waiting) == 20
     later = []
-    assert list(p._ready(3333, later)) == sorted(r for r in rows if r[0] < 3333) and min(later) == 3333
-    assert list(p._ready(9999, [])) == sorted(r for r in rows if r[0] >= 3333) and not p.waiting and p.chunks.held is None
+    tables = list(p._ready(3333, later))
+    assert [tuple(r.values()) for t in tables for r in t.to_pylist()] == sorted(r for r in rows if r[0] < 3333) and min(later) == 3333
+    assert max(map(len, tables)) <= 5 * 256
+    assert [tuple(r.values()) for t in p._ready(9999, []) for r in t.to_pylist()] == sorted(r for r in rows if r[0] >= 3333) and not p.waiting and not p.chunks
