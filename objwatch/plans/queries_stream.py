@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from objwatch.operators import quantify
-from objwatch.operators.quantify import exists
 from objwatch.plans.catalog import query
 from objwatch.plans.queries_source import scratch
 from objwatch.plans.tables import BY_USER, DAY, ZERO, E, trace
 from objwatch.sources.trace import live_source
-from objwatch.streaming import lives, monitor
+from objwatch.streaming import lives, monitor, world
 from objwatch.streaming.lives import Clock, Let, Objects
 
 HOUR = 3_600_000_000
@@ -28,11 +26,18 @@ class _Parts:
         self.rows.limit(0).write.parquet(self.path)
         self.stream = live_source(spark, "parquet", self.rows.schema, path=self.path)
 
-    def run(self, writer):
-        """Write each part and run the stream over it, always on the writer's checkpoint; all files of a part are one batch."""
+    def run(self, writer, close=False):
+        """Write each part and run the stream over it, always on the writer's checkpoint; all files of a part are one batch.
+
+        close: at last, a row of no object, far behind all others, brings the watermark past them.
+        """
         for part in self.parts:
             self.rows.where(part).repartitionByRange("us").sortWithinPartitions(F.xxhash64("cycle")).write.mode("append").parquet(self.path)
             writer.trigger(availableNow=True).start().awaitTermination()
+        if close:
+            end = F.coalesce(F.max("ts"), F.lit("2000-01-01").cast("timestamp")) + F.expr("INTERVAL 1000 DAYS")
+            self.rows.agg(end.alias("ts")).select(*[F.col("ts") if c == "ts" else F.lit(None).cast(kind).alias(c) for c, kind in self.rows.dtypes]).write.mode("append").parquet(self.path)
+            writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def _result(spark, parts, frame, name):
@@ -175,31 +180,54 @@ def stream_expire(spark, sf):
     return states.where("kind = 'event'").select(F.col("order").alias("cycle"), F.col("key").alias("user_id"), "last", "prev_1")
 
 
+#: Arrival up to six hours late, in three parts: of those of the second and third, some are older than some of the one before.
+ARRIVAL = f"us + pmod(cycle * 7919, {6 * HOUR})"
+
+
+def _world(spark, sf, spec, changes):
+    """How many bindings hold in each cycle, once a stream has come to its end."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    first, last = trace(spark, sf).agg(F.min("us"), F.max("us")).first()
+    a, b = ((first or 0) + k * ((last or 0) - (first or 0)) // 3 for k in (1, 2))
+    parts = _Parts(spark, sf, f"{ARRIVAL} <= {a}", f"{ARRIVAL} > {a} AND {ARRIVAL} <= {b}", f"{ARRIVAL} > {b}")
+    states = lives.life_stream(parts.stream, "user_id", "ts", "cycle", spec, "7 hours")
+    sink = scratch(spark, "world")
+    run = world.truth_batches(spark, scratch(spark, "carry"), sink, 30 * DAY // 32)
+    parts.run(changes(states).writeStream.foreachBatch(run).option("checkpointLocation", scratch(spark, "world-log")), close=True)
+    return spark.read.schema("cycle_id bigint, us bigint, n bigint").parquet(sink)
+
+
 @query("stream_world", f"WITH {E}, v AS (SELECT cycle AS lo, coalesce(lead(cycle) OVER ({BY_USER}), (SELECT max(cycle) + 1 FROM e)) AS hi, last_value(purchase IGNORE NULLS) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS purchase FROM e), d AS (SELECT lo AS cycle, 1 AS d FROM v WHERE purchase > 250 UNION ALL SELECT hi, -1 FROM v WHERE purchase > 250), s AS (SELECT cycle, sum(d) AS d FROM d GROUP BY cycle) SELECT cycle AS cycle_id FROM (SELECT e.cycle, sum(s.d) OVER (ORDER BY e.cycle) AS n FROM e LEFT JOIN s ON e.cycle = s.cycle) WHERE n > 0")
 def stream_world(spark, sf):
-    """A quantified rule on three batches, each after the one before."""
-    return _world(spark, sf, "purchase", lambda u: u.purchase.last(0.0) > 250, 0)
+    """A quantified rule on rows that come late, in three parts."""
+    found = _world(spark, sf, Objects({"purchase": "double"}), lambda s: world.one_changes(s, lambda u: u.last("purchase", 0.0) > 250))
+    return found.where("n > 0").select("cycle_id")
 
 
 @query("stream_world_history", f"WITH {E}, v AS (SELECT cycle AS lo, coalesce(lead(cycle) OVER ({BY_USER}), (SELECT max(cycle) + 1 FROM e)) AS hi, lag(value, 2) OVER ({BY_USER}) AS in_row, lag(value, 1) OVER ({BY_USER}) AS after_row FROM e), d AS (SELECT unnest([lo, lo + 1]) AS cycle, unnest([1, -1]) AS d FROM v WHERE in_row > 250 UNION ALL SELECT unnest([lo + 1, hi]), unnest([1, -1]) FROM v WHERE after_row > 250), s AS (SELECT cycle, sum(d) AS d, max(own) AS own FROM (SELECT cycle, d, 0 AS own FROM d UNION ALL SELECT cycle, 0, 1 FROM e) GROUP BY cycle) SELECT cycle AS cycle_id FROM (SELECT cycle, own, sum(d) OVER (ORDER BY cycle) AS n FROM s) WHERE own = 1 AND n > 0")
 def stream_world_history(spark, sf):
     """A quantified rule on what was two updates ago, also where that came in an earlier batch; after a row, its own update is one of the two."""
-    return _world(spark, sf, "value", lambda u: u.value.history(2, 0.0) > 250, 2)
+    found = _world(spark, sf, Objects({"value": "double"}, depth=2), lambda s: world.one_changes(s, lambda u: u.history("value", 2, 0.0) > 250))
+    return found.where("n > 0").select("cycle_id")
 
 
-def _world(spark, sf, signal, body, depth):
-    last = trace(spark, sf).agg(F.max("cycle")).first()[0] or 0
-    a, b = last // 3, 2 * last // 3
-    sink = scratch(spark, "world")
+@query("stream_world_forall", f"WITH {E}, p AS (SELECT *, coalesce(sum(CASE WHEN error > 100 THEN 1 ELSE 0 END) OVER ({BY_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life, coalesce(error > 100, false) AS ends FROM e), v AS (SELECT cycle AS lo, CASE WHEN ends THEN cycle + 1 ELSE coalesce(lead(cycle) OVER w, (SELECT max(cycle) + 1 FROM e)) END AS hi, last_value(purchase IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS purchase FROM p WINDOW w AS (PARTITION BY user_id, life ORDER BY cycle)), d AS (SELECT unnest([lo, hi]) AS cycle, unnest([1, -1]) AS d FROM v WHERE NOT coalesce(purchase, 0) < 200), s AS (SELECT cycle, sum(d) AS d FROM d GROUP BY cycle) SELECT cycle AS cycle_id, coalesce(sum(d) OVER (ORDER BY cycle), 0) = 0 AS holds FROM (SELECT e.cycle, s.d FROM e LEFT JOIN s ON e.cycle = s.cycle)")
+def stream_world_forall(spark, sf):
+    """A rule for all users, of whom some end."""
+    spec = Objects({"purchase": "double", "error": "double"}, ends=lambda f: f.now("error") > 100)
+    found = _world(spark, sf, spec, lambda s: world.one_changes(s, lambda u: ~(u.last("purchase", 0.0) < 200)))
+    return found.select("cycle_id", (F.col("n") == 0).alias("holds"))
+
+
+PAIRS = "SELECT greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM v a JOIN v b ON a.lo < b.hi AND b.lo < a.hi AND a.code = b.code AND a.user_id < b.user_id AND a.value > 100"
 
-    def evaluate(objs, batch):
-        end = (batch.agg(F.max("cycle")).first()[0] or 0) + 1
-        q = exists(body, {"u": objs}, end=end)
-        return quantify.world_rule("rich", q.truth(batch.select("cycle", "ts")), "alert", "somebody is rich", "cycle", "ts")
 
-    parts = _Parts(spark, sf, f"cycle <= {a}", f"cycle > {a} AND cycle <= {b}", f"cycle > {b}")
-    _batches(spark, parts, monitor.world_batches(spark, scratch(spark, "last"), ["cycle"], "user_id", [signal], evaluate, sink, depth))
-    return spark.read.parquet(sink).select("cycle_id")
+@query("stream_world_pairs", f"WITH {E}, v AS (SELECT user_id, cycle AS lo, coalesce(lead(cycle) OVER ({BY_USER}), (SELECT max(cycle) + 1 FROM e)) AS hi, value, CAST(floor(value) AS BIGINT) AS code FROM e), x AS ({PAIRS}), d AS (SELECT unnest([lo, hi]) AS cycle, unnest([1, -1]) AS d FROM x), s AS (SELECT cycle, sum(d) AS d FROM d GROUP BY cycle) SELECT cycle AS cycle_id, CAST(coalesce(sum(d) OVER (ORDER BY cycle), 0) AS BIGINT) AS n FROM (SELECT e.cycle, s.d FROM e LEFT JOIN s ON e.cycle = s.cycle)")
+def stream_world_pairs(spark, sf):
+    """Pairs of users that hold the same whole value, counted in each cycle of a stream."""
+    code = lambda u: F.floor(u.last("value"))
+    changes = lambda s: world.pair_changes(s, code, {"value": lambda u: u.last("value")}, lambda a, b: (a.uid < b.uid) & (a.value > 100))
+    return _world(spark, sf, Objects({"value": "double"}), changes).select("cycle_id", "n")
 
 
 @query("stream_processing_time", f"WITH {E} SELECT user_id, count(*) AS n FROM e GROUP BY user_id")

@@ -347,11 +347,13 @@ def _true(x) -> np.ndarray:
 def life_stream(stream: DataFrame, key: str, ts: str, order: str, spec: Objects, delay: str) -> DataFrame:
     """Events, ticks and ends of all objects of a stream, as Objects.schema() and ts says, once the watermark, `delay` behind the latest time, has passed them.
 
-    Rows without a key or a time are no object's. Results do not depend on the order of arrival, as far as rows come before the watermark.
+    Rows without a key or a time are no object's, but one with a time moves the watermark: so a bounded stream is brought to its end. Results do not depend on the order of arrival, as far as rows come before the watermark.
     """
     plain = [F.col(s).cast(k).cast("string" if k == "bigint" else k).alias(s) for s, k in spec.signals.items()]  # pandas has no whole numbers beside nulls
-    rows = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(order).cast("bigint").alias("order"), *plain)
-    found = rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(statefulProcessor=LifeProcessor(spec), outputStructType=spec.schema(), outputMode="Append", timeMode="EventTime")
+    rows = stream.select(F.col(key).cast("bigint").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(order).cast("bigint").alias("order"), *plain)
+    # a condition on the time, too, so that it is not applied before the watermark sees the rows
+    timed = rows.withWatermark("ts", delay).where(F.when(F.col("ts").isNotNull(), F.col("key").isNotNull()))
+    found = timed.groupBy("key").transformWithStateInPandas(statefulProcessor=LifeProcessor(spec), outputStructType=spec.schema(), outputMode="Append", timeMode="EventTime")
     return found.withColumn("ts", F.timestamp_micros("us"))
 
 

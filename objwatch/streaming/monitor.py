@@ -1,4 +1,4 @@
-"""The monitor on streams: rules over keyed state (lives.py), quantified rules by foreachBatch, and late rows.
+"""The monitor on streams: rules over keyed state (lives.py), and late rows. Quantified rules are in world.py.
 
 Rows behind the watermark never reopen a cycle: Spark drops and counts them, and late_batches() keeps them apart.
 """
@@ -6,13 +6,10 @@ Rows behind the watermark never reopen a cycle: Spark drops and counts them, and
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objwatch.operators.objects import ObjectSet
 from objwatch.operators.rules import VERDICT
 from objwatch.streaming.lives import Clock, Objects, life_stream
 
@@ -54,29 +51,6 @@ def late_batches(spark: SparkSession, path: str, ts: str, delay: str, sink: str)
     return run
 
 
-def world_batches(spark: SparkSession, path: str, order: list[str], key: str, signals: list[str], evaluate: Callable[[ObjectSet, DataFrame], DataFrame], sink: str, depth: int = 1) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function for quantified rules.
-
-    Keeps the rows with the last depth + 1 values of each signal of each object in a table under path, and evaluates a
-    batch over those and its own rows, so rules may look depth updates back; evaluate gets the collection and the batch's
-    cycles and gives verdicts. A batch's verdicts are written under its number, so one that runs again replaces its own;
-    of the tables, the one before is kept for that.
-    """
-
-    def run(batch: DataFrame, number: int) -> None:
-        rows = batch.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, *order, *signals]))
-        earlier = spark.read.parquet(f"{path}/state-{(number - 1) % 2}") if number > 0 else rows.limit(0)
-        both = earlier.unionByName(rows)
-        found = evaluate(ObjectSet(both, key, order, signals), batch)
-        found.write.mode("overwrite").parquet(f"{sink}/batch={number}")
-        back = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        since = [F.col(s).isNotNull() & (F.count(s).over(back) <= depth + 1) for s in signals]
-        wanted = reduce(or_, since, F.count(F.lit(1)).over(back) == 1)
-        both.withColumn("_wanted", wanted).where("_wanted").drop("_wanted").write.mode("overwrite").parquet(f"{path}/state-{number % 2}")
-
-    return run
-
-
 def tick_windows(states: DataFrame, step: str) -> DataFrame:
     """Ticks of all objects grouped by the shared clock, for rules that count over objects."""
     return states.where("kind = 'tick'").groupBy(F.window("ts", step), "ts").agg(F.count(F.lit(1)).alias("objects"), F.max("last").alias("most"), F.min("last").alias("least")).drop("window")
