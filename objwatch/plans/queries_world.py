@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from objwatch.functions import scalar
 from objwatch.operators import activation, quantify
 from objwatch.operators.activation import every
+from objwatch.operators.inequality import Compare, two_largest
 from objwatch.operators.objects import active_at, objects
 from objwatch.operators.quantify import Near, exists, forall
 from objwatch.plans.catalog import query
@@ -120,9 +121,9 @@ THETA = PAIR.format("a.user_id <> b.user_id AND a.value > 150 AND b.value > 150
 
 @query("exists_pair_theta", f"WITH {V}, {at_cycles(THETA)} SELECT cycle, n FROM r")
 def exists_pair_theta(spark, sf):
-    o = users(spark, sf, "value")
-    # what reads one object only is applied before the join
-    q = exists(lambda a, b: (a != b) & (a.value.last() > 150) & (b.value.last() > 150) & (a.value.last() + b.value.last() > 380), {"a": o, "b": o}, **_args(spark, sf))
+    o, high = users(spark, sf, "value"), lambda u: u.value.last() > 150
+    # a.value + b.value > 380 up to rounding; where it is that close, the sum itself decides
+    q = Compare({"a": o, "b": o}, lambda a: a.value.last(), ">", lambda b: 380 - b.value.last(), {"a": high, "b": high}, True, 1e-6, lambda a, b: a.value.last() + b.value.last() > 380, **_args(spark, sf))
     return q.counts(cycles(spark, sf)).select("cycle", "n")
 
 
@@ -134,7 +135,8 @@ def exists_pair_cross(spark, sf):
     t = trace(spark, sf)
     buyers = objects(t.where("event_type = 'purchase'"), "user_id", ["value"], ["cycle"])
     pages = objects(t.where("event_type = 'view'").withColumn("page", F.get_json_object("props", "$.k").cast("bigint")), "page", ["value"], ["cycle"])
-    q = exists(lambda p, w: (p.value.last() > 180) & (w.value.last() > 180) & (p.value.last() > w.value.last()), {"p": buyers, "w": pages}, **_args(spark, sf))
+    held, high = lambda x: x.value.last(), lambda x: x.value.last() > 180
+    q = Compare({"p": buyers, "w": pages}, held, ">", held, {"p": high, "w": high}, **_args(spark, sf))
     return q.counts(cycles(spark, sf)).select("cycle", "n")
 
 
@@ -216,12 +218,21 @@ m AS (SELECT cycle, max(value) AS top FROM o GROUP BY cycle), c AS (SELECT o.cyc
 
 @query("nested_quantifier", f"WITH {NESTED} SELECT e.cycle, coalesce(c.k = 1, false) AS holds FROM e LEFT JOIN c ON e.cycle = c.cycle")
 def nested_quantifier(spark, sf):
-    """Some user holds more than 200 and more than every other user: no other one holds as much."""
-    o, args = users(spark, sf, "value"), _args(spark, sf)
+    """Some user holds more than 200 and more than every other user: the largest value of a cycle is larger than the second largest."""
+    end = end_cycle(trace(spark, sf))
+    versions = users(spark, sf, "value").versions(["value"]).select("lo", F.coalesce("hi", F.lit(end)).alias("hi"), F.col("value").alias("x")).where("x > 200")
+    tops = two_largest(versions, cycles(spark, sf))
+    return tops.select("cycle", (F.col("top").isNotNull() & F.coalesce(F.col("second") < F.col("top"), F.lit(True))).alias("holds"))
+
+
+@query("nested_intervals", f"WITH {V}, u AS (SELECT lo, hi, user_id, code FROM v WHERE value > 200), b AS (SELECT a.user_id, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM u a JOIN u b ON a.lo < b.hi AND b.lo < a.hi AND a.code = b.code AND a.user_id <> b.user_id), o AS (SELECT e.cycle, u.user_id FROM e JOIN u ON u.lo <= e.cycle AND e.cycle < u.hi WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = u.user_id AND b.lo <= e.cycle AND e.cycle < b.hi)) SELECT e.cycle, count(o.user_id) AS n FROM e LEFT JOIN o ON e.cycle = o.cycle GROUP BY e.cycle")
+def nested_intervals(spark, sf):
+    """How many users hold more than 200 while no other user holds the same whole value: a quantifier inside another."""
+    o, args = _coded(spark, sf), _args(spark, sf)
     outer = exists(lambda a: a.value.last() > 200, {"a": o}, **args).intervals()
-    against = exists(lambda a, b: (a != b) & (a.value.last() > 200) & (b.value.last() > 200) & (b.value.last() >= a.value.last()), {"a": o, "b": o}, **args).intervals()
+    against = exists(lambda a, b: (a != b) & (a.value.last() > 200) & (b.value.last() > 200) & (a.code.last() == b.code.last()), {"a": o, "b": o}, **args).intervals()
     found = quantify.inner(outer, against, ["a__user_id"], some=False)
-    return quantify.sweep(found, cycles(spark, sf), "cycle").select("cycle", (F.col("n") > 0).alias("holds"))
+    return quantify.sweep(found, cycles(spark, sf), "cycle").select("cycle", "n")
 
 
 @query("quantify_list", f"WITH {E} SELECT cycle, click IS NOT NULL OR view IS NOT NULL AS any_seen, (click IS NULL OR click > 10) AND (view IS NULL OR view > 10) AS all_large FROM e")
