@@ -52,7 +52,7 @@ def label_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = flagged.groupBy(F.col("key").alias("doc_id"), "part", mask.alias("mask")).agg(F.sum("n").alias("n"))
     said = lambda c: F.max(F.when(F.col(c) == 1, 1).otherwise(0)).alias(c)
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_of")).agg(said("quality"), said("toxic"))
-    known = rows.where("doc_id is not null").join(marks, F.col("doc_id") == F.col("_of"), "left").unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
+    known = rows.join(marks, F.col("doc_id") == F.col("_of"), "left")
     held = lambda c: F.coalesce(F.sum(F.col("n") * F.col(c)), F.lit(0))
     return known.groupBy("part", "mask").agg(F.sum("n").alias("n"), held("quality").alias("good"), held("toxic").alias("toxic"))
 

@@ -12,6 +12,7 @@ the n-gram order is cut into fragments; overlaps are counted fragment by fragmen
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objwatch.llm.common import cut_lineage, flag_members, map_batches, membership_filter, table, without_ids
+from objwatch.llm.common import as_rows, cut_lineage, flag_members, map_batches, membership_filter, table, without_ids
 from objwatch.llm.rolling import mixed, powers
 
 FRAGMENTS = 8
@@ -204,9 +205,10 @@ class Join:
         """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text, ...).
 
         Null, empty and blank texts have no n-gram, and their component is their own doc_id; a
-        text with fewer than n words is one n-gram. doc_id identifies a document: rows that repeat it
-        are one document, and each gives a row. Rows without a doc_id link to nothing and
-        have no component. An empty table gives no rows. Other columns are ignored.
+        text with fewer than n words is one n-gram. A document is a doc_id with a text: rows that repeat both
+        are one, and each gives a row; rows that repeat the doc_id only are documents of their own, and a component is called by
+        the smallest doc_id in it. Rows without a doc_id link to nothing and have no component. A very long text is read in whole. An
+        empty table gives no rows. Other columns are ignored.
         """
         docs = docs.select("doc_id", "text")
         found = cut_lineage(self.sets(docs))
@@ -214,7 +216,12 @@ class Join:
         hot = found.where("slot is not null").groupBy("slot").agg(F.sum("hot").alias("hot")).toArrow()  # at most LEVEL_SLOTS rows
         level[hot["slot"].to_numpy()] = np.ceil(np.log2(hot["hot"].to_numpy())).astype(np.uint8) if len(hot) else 0
         rows = found.where("slot is null").select("doc_id", "n", "d0", "d1")
-        if not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = F.xxhash64("n", F.coalesce("d0", F.lit(0)), F.coalesce("d1", F.lit(0)))
+        repeated = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.min(sets).alias("lo"), F.max(sets).alias("hi")).where("k > 1")
+        repeats = repeated.agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("lo") != F.col("hi")).alias("other")).first()
+        if repeats["other"]:
+            return self._components_of_texts(docs, rows)
+        if repeats["k"]:
             docs = docs.dropDuplicates(["doc_id"])
         linked = rows.where("n > 0 and doc_id is not null")
         reps = cut_lineage(linked.groupBy("d0", "d1").agg(F.min("doc_id").alias("id"), F.min("n").alias("n")))
@@ -239,22 +246,35 @@ class Join:
         out = rows.join(named, ["d0", "d1"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
+    def _components_of_texts(self, docs: DataFrame, rows: DataFrame) -> DataFrame:
+        """components() where a doc_id has several texts: documents are numbered in order of (doc_id, digest of the text), and joined by number."""
+        given, numbers = numbered(docs)
+        found = cut_lineage(self.components(given.join(numbers, ["doc_id", "_digest"]).select(F.col("_id").alias("doc_id"), "text").dropDuplicates(["doc_id"])))
+        heads = numbers.select(F.col("_id").alias("component_id"), F.col("doc_id").alias("_head"))
+        named = found.join(heads, "component_id").select(F.col("doc_id").alias("_id"), "n_shingles", "_head").join(numbers, "_id")
+        own = given.where("doc_id is not null").select("doc_id", "_digest").join(named, ["doc_id", "_digest"]).select("doc_id", "n_shingles", F.col("_head").alias("component_id"))
+        none = rows.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
+        return own.unionByName(none)
+
     def _across(self, members: DataFrame, label: DataFrame, facts: DataFrame) -> DataFrame:
         """Pairs of one bucket that are in different components, except those with the bucket's smallest set, which are settled.
 
         A pair is taken where its first common n-gram can be: after positions i and j, no more
-        than the rest of either set is in common. Short parities rule most of the others out inside the join.
+        than the rest of either set is in common. Short parities rule most of the others out inside the join. A bucket is split by bands of
+        sizes: sets that are alike are in one band or in two that adjoin.
         """
         labelled = members.where("a <> b").join(label.withColumnRenamed("id", "b"), "b", "left").select("gram", "b", "pos", F.coalesce("label", "b").alias("label"))
         labelled = cut_lineage(labelled)
         split = labelled.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
         quick = [f"q{i}" for i in range(SHORT_WORDS)]
-        rest = labelled.join(split, "gram").join(facts.withColumnRenamed("id", "b"), "b").select("gram", "b", "label", "n", (F.col("n") - F.col("pos")).alias("room"), *quick)
-        other = rest.select("gram", *[F.col(c).alias(f"{c}_c") for c in ("b", "label", "n", "room", *quick)])
+        width = 1.0001 * math.log(100 / self.percent)  # a little wider, so that rounding parts no pair that is alike
+        band = F.floor(F.log("n") / width) if width else F.col("n")
+        rest = labelled.join(split, "gram").join(facts.withColumnRenamed("id", "b"), "b").select("gram", "b", "label", "n", (F.col("n") - F.col("pos")).alias("room"), *quick).withColumn("band", band)
+        other = rest.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).select("gram", "band", *[F.col(c).alias(f"{c}_c") for c in ("b", "label", "n", "room", *quick)])
         apart = " + ".join(f"bit_count({q} ^ {q}_c)" for q in quick)
         like = f"{100 + self.percent} * least(room, room_c) >= {self.percent} * (n + n_c) and ({apart}) * {100 + self.percent} <= (n + n_c) * {100 - self.percent}"
-        pairs = rest.join(other, "gram").where(f"b < b_c and label <> label_c and {self.close_sizes('n', 'n_c')} and {like}")
-        return cut_lineage(pairs.select(F.col("b").alias("a"), F.col("b_c").alias("b")).distinct())
+        pairs = rest.join(other, ["gram", "band"]).where(f"(n < n_c or n = n_c and b < b_c) and label <> label_c and {self.close_sizes('n', 'n_c')} and {like}")
+        return cut_lineage(pairs.select(F.least("b", "b_c").alias("a"), F.greatest("b", "b_c").alias("b")).distinct())
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -279,9 +299,27 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with _digest, of the text, and (doc_id, _digest, _id): numbers in order of both, for each doc_id and text."""
+    given = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    keys = given.where("doc_id is not null").select("doc_id", "_digest").distinct()
+    return given, cut_lineage(keys.orderBy("doc_id", "_digest").withColumn("_id", F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """docs, all columns, with one document of each group of near duplicates: the one with the smallest doc_id."""
-    return without_ids(docs, join.components(docs).where("doc_id <> component_id").select("doc_id"))
+    """docs, all columns, with one document of each group of near duplicates: the one with the smallest doc_id.
+
+    A document is a doc_id with a text; of several texts with the smallest doc_id, that of the least digest stays. Rows that repeat both stay or go together. Null, empty and
+    blank texts, and rows without a doc_id, stay.
+    """
+    texts = docs.where("doc_id is not null").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest"))
+    if texts.groupBy("doc_id").agg(F.min("_digest").alias("lo"), F.max("_digest").alias("hi")).where("lo <> hi").isEmpty():
+        return without_ids(docs, join.components(docs).where("doc_id <> component_id").select("doc_id"))
+    rows = as_rows(docs, "doc_id", "text").withColumn("_digest", F.sha2(F.coalesce("_key1", F.lit("")), 256))
+    given, numbers = numbered(docs.select("doc_id", "text"))
+    found = join.components(given.join(numbers, ["doc_id", "_digest"]).select(F.col("_id").alias("doc_id"), "text"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct().join(numbers, "_id").select("doc_id", "_digest")
+    return rows.join(gone, (F.col("_key0") == F.col("doc_id")) & (rows["_digest"] == gone["_digest"]), "left_anti").select("_row.*")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

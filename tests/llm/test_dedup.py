@@ -258,3 +258,29 @@ def test_sentences_join_to_the_text():
     for t in [long, "  " + long, long + "\n", "字。" * 90, "", "a", "a.b c. d", "...", ".\n.\n", "x! y? z", "\n\n a.  \n b", "1.5 is a number. So is 2.5."]:
         assert "".join(substring.sentences(t)) == t
     assert substring.sentences("1.5 is a number. So is 2.5.") == ["1.5 is a number. ", "So is 2.5."]
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    """A row that repeats a doc_id with another text keeps its own links, and stays unless it is like another document."""
+    a = " ".join(f"w{i}" for i in range(60))
+    near, other, third = a.replace("w59", "x"), " ".join(f"o{i}" for i in range(40)), " ".join(f"t{i}" for i in range(40))
+    rows = [(1, a), (2, near), (2, other), (3, other + " more"), (4, third), (4, third), (4, ""), (5, None), (None, a), (7, third)]
+    got = jaccard.Join(5, 80).components(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted([(1, 56, 1), (2, 56, 1), (2, 36, 2), (3, 37, 2), (4, 36, 4), (4, 36, 4), (4, 0, 4), (5, 0, 5), (None, 56, None), (7, 36, 4)], key=str)
+    kept = jaccard.drop_near_duplicates(frame(spark, rows).withColumn("_digest", F.lit(1)).withColumn("_id", F.lit(2)), jaccard.Join(5, 80))
+    assert "_digest" in kept.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (2, other), (4, third), (4, third), (4, ""), (5, None), (None, a)], key=str)
+    for parts in (1, 7):
+        again = jaccard.Join(5, 80).components(frame(spark, rows).repartition(parts, "text")).collect()
+        assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_bands_of_sizes_part_no_pair(spark, percent):
+    """Sets of every size that share their rarest n-gram, none of them like the smallest."""
+    r = random.Random(percent)
+    words = [f"v{i}" for i in range(80)]
+    rows = [(1, "rare")] + [(i, " ".join(["rare", *words[: r.randrange(4, 80)], *(["end"] * (i % 3))])) for i in range(2, 60)]
+    want = components(rows, 1, percent)
+    got = jaccard.Join(1, percent).components(frame(spark, rows)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want

@@ -303,7 +303,7 @@ def literal_features(net, text):
     while not chunks or at < cells - 1:
         chunks.append(np.max(pooled[at : at + quality.CHUNK], 0))
         at += quality.HOP
-    return np.concatenate([np.mean(chunks, 0), np.max(chunks, 0), np.mean(pooled, 0), np.std(pooled, 0), [np.log1p(min(len(text), 4096))]])
+    return np.concatenate([np.mean(chunks, 0), np.max(chunks, 0), np.mean(pooled, 0), np.std(pooled, 0), [np.log1p(len(text))]])
 
 
 def test_quality_features_equal_literal_ones(monkeypatch):
@@ -327,7 +327,59 @@ def test_quality_sample(spark):
     long = frame(spark, [(1, "Many good words. " * 40_000), (2, "&& ** " * 90_000), (2, "%% "), (3, "Good words. "), (4, "** && ")] + [(5, f"Fine words {i}.") for i in range(2000)])
     marked = spark.createDataFrame([(1, 1), (2, 0), (4, 0), (5, 1), (5, 1)], "doc_id bigint, quality int")
     net = quality.train(long, marked)
-    assert isinstance(net, quality.Network) and len(quality.sampled("Many good words. " * 40_000)[0]) == quality.SPANS * quality.SPAN_BYTES
+    assert isinstance(net, quality.Network)
+
+
+def literal_step(learner, texts, y):
+    """The gradient of the loss in each parameter, by differences; and the loss."""
+
+    def loss(params):
+        total = 0.0
+        for t, label in zip(texts, y, strict=True):
+            net = quality.Network(params["filters"], params["bias"], (0.0, 1.0), ())
+            mean = literal_features(net, t)[: quality.FILTERS]
+            p = 1 / (1 + np.exp(-(mean @ params["w"] + params["b"][0])))
+            total -= np.log(p if label else 1 - p) / len(texts)
+        return total
+
+    out = {}
+    for name, value in learner.params.items():
+        flat = [(i, k) for i in range(0, value.size, max(1, value.size // 9)) for k in (-1, 1)]
+        out[name] = {}
+        for i, _ in flat[::2]:
+            sides = []
+            for k in (-1, 1):
+                params = {c: v.astype(float) for c, v in learner.params.items()}
+                params[name].flat[i] += k * 1e-5
+                sides.append(loss(params))
+            out[name][i] = (sides[1] - sides[0]) / 2e-5
+    return out
+
+
+def test_filters_learn_from_whole_texts():
+    """A step's gradient is that of the loss over every byte, also of texts far longer than any other; and rounds of several tasks are averaged."""
+    learner = quality.Learner(np.random.default_rng(1))
+    texts, y = [b"good words, here. " * 70 + b"*** &&& ###", b"", b"Bad $$$ 12", b"x" * 700], [1, 0, 0, 1]
+    learner.params["bias"] += np.linspace(0.03, 0.09, quality.FILTERS, dtype=np.float32)  # away from where the loss has a bend
+    want, taken = literal_step(learner, texts, y), {}
+    learner.adam.step = lambda **params: taken.update({k: g for k, (_, g) in params.items()})
+    learner.step(texts, np.array(y, float))
+    for name, values in want.items():
+        for i, g in values.items():
+            assert abs(taken[name].flat[i] - g) < 1e-4
+    one, two = (quality.Learner(np.random.default_rng(k)) for k in (1, 2))
+    for x in (one, two):
+        x.round(iter([(t, k) for t, k in zip(texts, y, strict=True)]))
+    a, b = one.params["filters"].copy(), two.params["filters"].copy()
+    assert np.allclose(quality.Learner.average([(one, 3), (two, 1)]).params["filters"], a * 0.75 + b * 0.25, atol=1e-6)
+
+
+def test_steps_hold_few_long_texts(monkeypatch):
+    monkeypatch.setattr(quality, "STEP_BYTES", 1000)
+    learner, steps = quality.Learner(np.random.default_rng(1)), []
+    learner.step = lambda texts, y: steps.append((list(map(len, texts[: len(texts) // 2])), y.tolist()))
+    learner.round(iter([(b"a" * 600, 1), (b"b" * 600, 0), (b"c" * 300, 1), (b"d" * 5000, 0)] + [(b"e", 1)] * 30))
+    assert [x for x, _ in steps] == [[600], [600, 300], [5000], [1] * 24, [1] * 6] and steps[1][1] == [0, 1, 0, 1]
 
 
 def test_quality(spark):
