@@ -6,9 +6,9 @@ occurrence vector. A token whose vector agrees with that of what it is in, or wi
 is in its class; where vectors part (what is repeated, what only some pages have), another
 class begins, nested in the first. Classes are found from counts by host; pages are never gathered.
 
-The classes of a host are its template. Texts in a class are the template's own; all else is data, in
-the slots of the template. From the page down, a slot is opened as long as one element of the same class
-holds all data of the slot; the last one is the main node, and all of its slots are the article, but
+The classes of a host are its template. Texts in a class are the template's own, if enough different pages
+show that; all else is data, in the slots of the template. From the page down, a slot is opened as long as one element of the same class
+holds all data of the slot; the last one is the main node, and all of its slots, in each place where it is on the page, are the article, but
 for menus, adverts, forms, comments and the like. Names break ties only: where several elements
 hold data, an article element among them is taken, or, beside mere paragraphs, an element with a class
 like "post"; and a class like "sidebar" leaves an element out unless it holds most of the data around it.
@@ -21,7 +21,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -30,8 +29,9 @@ from pyspark.sql import functions as F
 
 from objwatch.llm.common import cut_lineage, map_batches, table
 
-#: A host has template texts if it has at least so many different pages; a template text is on so many.
-TEXT_PAGES = 8
+#: A text is the template's own if, by the rule of succession, the next page has it with this chance, in percent: (on + 1) / (pages + 2),
+#: of different pages. All of 2 pages give 75, all of 3 give 80, all of 8 give 90; what two pages share may be the article of both.
+CERTAIN = 80
 #: Hosts with more than one page in so many of all are hot, and fewer than that; their pages are dealt to SALTS keys.
 HOT, SALTS = 1000, 64
 #: A token is part of a template from this share of the host's pages on, in percent.
@@ -40,7 +40,7 @@ SUPPORT = 5
 AGREE = 90
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\"<>]|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -48,7 +48,7 @@ ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[
 NUMBER = re.compile(r"[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-LEFT_OUT = frozenset("nav footer aside form head button dialog menu input label option datalist fieldset".split())
+LEFT_OUT = frozenset("nav footer aside form head button dialog menu input label option datalist fieldset annotation annotation-xml".split())
 CONTAINER = frozenset("div section ul ol dl table center span figure details".split())
 
 
@@ -56,9 +56,17 @@ def _cue(words: str) -> re.Pattern:
     return re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
 
 
-#: Class words of what is no part of an article: adverts in any element, notices about the site and comments in containers.
-CUE_AD = _cue("ads?|advert(?:s|isements?|ising)?|sponsor(?:ed|s)?")
-CUE_OUT = _cue("cookies?|consent|gdpr|newsletter|promo(?:tion)?s?|comments?|comment-?list|repl(?:y|ies)|respond|disqus")
+#: What a class word for something left out may be followed by: "promo-box" holds a promotion, "promo-code" is a code.
+HOLDERS = "ads?|area|banner|bar|block|body|bottom|box|break|card|cell|container|content|embed|feed|footer|form|frame|group|head|header|heading|holder|inner|item|label|leaderboard|left|link|list|message|module|notice|outer|overlay|panel|placeholder|popup|rail|right|root|row|section|sidebar|signup|skyscraper|slot|space|stream|text|thread|title|top|unit|widget|wrap|wrapper|zone|[0-9]+(?:x[0-9]+)?"
+
+
+def _holding(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{words})(?:[_-]+(?:{HOLDERS}))*(?:--[\w-]+)?(?:$|\s)", re.I)
+
+
+#: Class words of what is no part of an article: adverts in any element; sponsors, notices about the site and comments in containers.
+CUE_AD = _holding("ads?|advert(?:s|isements?|ising)?|sponsored")
+CUE_OUT = _holding("sponsors?|cookies?|consent|gdpr|newsletter|promo(?:tion)?s?|comments?|comment-?list|repl(?:y|ies)|respond|disqus")
 #: Class words of containers that are left out unless the host's classes show that they hold most of the data.
 CUE_WEAK = _cue("nav(?:bar|igation)?|menus?|site-?header|page-?header|masthead|footer|side-?bar|aside|banner|notices?|alert|pop-?up|modal|overlay|subscri(?:be|ption)|sign-?up|login|share|sharing|social|related|recommend(?:ed|ations?)?|discussion|breadcrumbs?|pagination|pager|widget|toolbar|search")
 CUE_MAIN = re.compile(r"(?:^|[\s_-])(?:main|article(?:-?body)?|articlebody|content|post(?:-?(?:body|content))?|entry(?:-?content)?|story|body-?text|page-?text|text)(?:$|[\s_-])", re.I)
@@ -259,18 +267,15 @@ class Page:
         if not self.texts:
             return ""
         gone = self._gone(template.major)
-        lo, hi = 0, self.end
+        inside = b"\1" * (self.end + 1)
         if template.main:
-            size = [0] * (self.end + 2)
-            for p, t, _ in self.texts:
-                size[p + 1] = 0 if gone[p] else len(t.strip())
-            size = list(accumulate(size))
             nodes = [e for e in self.elements if e.path == template.main and not gone[e.open]]
             if not nodes:
-                return "" if template.alone else self.main_text(deduce(self.tokens(), 1, 1, alone=True))
-            node = max(nodes, key=lambda e: (size[e.end] - size[e.open], -e.open))
-            lo, hi = node.open, node.end
-        kept = [(p, t) for p, t, n in self.texts if lo <= p < hi and not gone[p] and (template.whole or not template.texts or text_token(self.elements[n].path if n >= 0 else 0, " ".join(t.split())) not in template.texts)]
+                return "" if template.alone else self.main_text(deduce(self.tokens(), 1, 1, 100, alone=True))
+            inside = bytearray(self.end + 1)
+            for e in nodes:
+                inside[e.open : e.end] = b"\1" * (e.end - e.open)
+        kept = [(p, t) for p, t, n in self.texts if inside[p] and not gone[p] and (template.whole or not template.texts or text_token(self.elements[n].path if n >= 0 else 0, " ".join(t.split())) not in template.texts)]
         return self._blocks(kept)
 
     def _blocks(self, texts: list[tuple[int, str]]) -> str:
@@ -306,7 +311,7 @@ class Template:
     alone: bool = False
 
 
-def deduce(tokens: dict[int, list[int]], pages: int, different: int, alone: bool = False) -> Template:
+def deduce(tokens: dict[int, list[int]], pages: int, different: int, certain: int = CERTAIN, alone: bool = False) -> Template:
     """The template of a host. tokens: by token, [up, flags, pages, pages on which vectors agree, characters]; different: pages less copies."""
     nodes = {k: v for k, v in tokens.items() if k > 0}
     own: set[int] = set()
@@ -318,12 +323,12 @@ def deduce(tokens: dict[int, list[int]], pages: int, different: int, alone: bool
             node = nodes[node][0]
         data[0] -= n
 
-    if different >= TEXT_PAGES:
-        for k, (up, _, on, agree, n) in tokens.items():
-            of = nodes[up][2] if up in nodes else pages
-            if k < 0 and on >= TEXT_PAGES and 100 * on >= AGREE * of and 100 * agree >= AGREE * on:
-                own.add(k)
-                less(up, n)
+    for k, (up, _, on, agree, n) in tokens.items():
+        of = nodes[up][2] if up in nodes else pages
+        # pages with and without the text are counted less copies, in proportion
+        if k < 0 and 100 * (on * different + pages) >= certain * (of * different + 2 * pages) and 100 * on >= AGREE * of and 100 * agree >= AGREE * on:
+            own.add(k)
+            less(up, n)
     below: dict[int, list[int]] = defaultdict(list)
     for k, v in nodes.items():
         below[v[0]].append(k)
@@ -407,7 +412,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
 NAMES = ["host", "token", "up", "flags", "pages", "agree", "chars"]
 
 
-def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def templates(pages: DataFrame, certain: int = CERTAIN) -> tuple[DataFrame, DataFrame]:
     """(host, main, whole, texts, major): the fields of each host's Template. And the hot hosts, fewer than HOT rows.
 
     A host's tokens are gathered: those on SUPPORT percent of its pages, so no more than some of its pages have.
@@ -418,29 +423,29 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = counted.where("token = 0 and pages > 0").select("host", F.col("pages").alias("of")).join(different, "host")
     total = size.agg(F.sum("of")).first()[0] or 0
     hot = size.where(F.col("of") * HOT > total).select(F.col("host").alias("_hot"))
-    frequent = counted.where("pages > 0").join(size, "host").where(f"pages * 100 >= of * {SUPPORT} and (token >= 0 or pages >= {TEXT_PAGES} and agree * 100 >= pages * {AGREE})")
+    frequent = counted.where("pages > 0").join(size, "host").where(f"pages * 100 >= of * {SUPPORT} and (token >= 0 or agree * 100 >= pages * {AGREE})")
     gathered = frequent.groupBy("host").agg(F.collect_list(F.struct("token", "up", "flags", "pages", "agree", "chars")).alias("tokens"), F.max("of").alias("of"), F.max("different").alias("different"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for tokens, of, different in zip(batch["tokens"].to_pylist(), batch["of"].to_pylist(), batch["different"].to_pylist(), strict=True):
-                found.append(deduce({t["token"]: [t["up"], t["flags"], t["pages"], t["agree"], t["chars"]] for t in tokens}, of, different))
+                found.append(deduce({t["token"]: [t["up"], t["flags"], t["pages"], t["agree"], t["chars"]] for t in tokens}, of, different, certain))
             sets = [pa.array([sorted(getattr(t, c)) for t in found], pa.list_(pa.int64())) for c in ("texts", "major")]
             yield pa.RecordBatch.from_arrays([batch["host"], pa.array([t.main for t in found], pa.int64()), pa.array([t.whole for t in found], pa.bool_()), *sets], ["host", "main", "whole", "texts", "major"])
 
     return map_batches(gathered, run, "host string, main bigint, whole boolean, texts array<bigint>, major array<bigint>"), hot
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, certain: int = CERTAIN) -> DataFrame:
     """(page_id, url, text) for every row of pages(page_id, url, html, ...).
 
     Blocks are joined by a line feed; within one, character references are decoded and white space
     is one space. Null or empty html and pages without an article give an empty text. Very long html is read whole, in
     one task. Pages without a readable host share the host ''. Repeated rows are pages like any other, and
-    count as one for what a host's texts show; a null page_id or url is only carried through. Other columns are ignored.
+    count as one for what a host's texts show. The lower certain, the fewer pages make a text they share a template's; a null page_id or url is only carried through. Other columns are ignored.
     """
-    learned, hot = templates(pages)
+    learned, hot = templates(pages, certain)
     hot = F.broadcast(hot)
     dealt = learned.join(hot, F.col("host") == F.col("_hot"), "left").withColumn("_salt", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     dealt = dealt.select(F.col("host").alias("_host"), "_salt", "main", "whole", "texts", "major")

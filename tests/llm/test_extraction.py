@@ -1,5 +1,9 @@
 """Main text of pages: attributes, omitted tags, slots and hosts of different sizes."""
 
+import html
+import re
+
+import pyarrow.dataset as ds
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,7 +88,7 @@ def test_outermost_article():
     assert main_text(f"<body><p>Top</p><article><h1>Title</h1><p>Lead</p>{inner}<p>Last</p></article></body>") == f"Title\nLead\n{LONG}\nLast"
     assert main_text(f"<main><h1>Title</h1><article>{inner}</article></main>") == f"Title\n{LONG}"
     assert main_text(f"<main><p>Our motto</p><nav>Menu</nav><article><h1>Title</h1>{inner}</article></main>", ["Our motto"]) == f"Title\n{LONG}"
-    assert main_text(f"<article><p>Short</p></article><article><p>{LONG}</p></article>") == LONG
+    assert main_text(f"<article><p>Short</p></article><nav>Menu</nav><article><p>{LONG}</p></article>") == f"Short\n{LONG}"
 
 
 def test_page_without_a_named_element():
@@ -150,6 +154,38 @@ def test_headers(spark, n):
     assert many(spark, form, n) == [f"Title {parts(i)}\nText {parts(i)}" for i in range(n)]
 
 
+@pytest.mark.parametrize("n", [1, 3, 10])
+@pytest.mark.parametrize(("first", "second"), [("<div class=content>", "</div>"), ("<div class=post>", "</div>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<div id=part-1>", "</div>")])
+def test_all_main_nodes_stay(spark, n, first, second):
+    """Several elements in a row with the path of the main node, also where a menu or an advert is in between."""
+    form = f"<body><nav>Menu</nav>{first}<p>One {{i}}</p>{second}<div class=ad>Buy</div>{first}<p>Two {{i}} and more</p>{second}<footer>End</footer></body>"
+    assert many(spark, form, n) == [f"One {parts(i)}\nTwo {parts(i)} and more" for i in range(n)]
+
+
+def test_a_host_with_pages_of_one_and_of_two_main_nodes(spark):
+    one, two = "<p>Motto</p><div class=post><p>One {i}</p></div>", "<p>Motto</p><div class=post><p>One {i}</p></div><div class=post><p>Two {i}</p></div>"
+    rows = [("a.example", f"<body>{(two if i % 2 else one).replace('{i}', parts(i))}</body>") for i in range(12)]
+    assert texts(spark, rows) == [f"One {parts(i)}" + f"\nTwo {parts(i)}" * (i % 2) for i in range(12)]
+
+
+def test_formulas_and_objects_keep_their_text():
+    formula = '<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding="application/x-tex">x=2</annotation></semantics></math>'
+    assert main_text(f"<article><p>Let {formula} be</p></article>") == "Let x=2 be"
+    assert main_text('<article><p>A <object data="a.svg"><param name=a>picture</object> of it</p></article>') == "A picture of it"
+    assert main_text("<article><p>A<canvas>No</canvas><svg><text>no</text></svg> word</p></article>") == "A word"
+
+
+@pytest.mark.parametrize("words", ["promo-code", "ad-hoc", "comment-policy", "cookie-recipe", "consent-law", "newsletter-history", "advert-free", "reply_rate", "adverb", "load"])
+def test_words_that_only_begin_like_a_notice_stay(words):
+    assert main_text(f'<article><p>One</p><div class="{words}">Two</div></article>') == "One\nTwo"
+
+
+@pytest.mark.parametrize("words", ["promo-box", "ad", "ads", "box ad-slot-3", "ad_300x250", "ad--large", "ads__inner", "comments", "comment-list", "comments-section", "cookie-notice", "site-cookies", "newsletter-signup", "sponsored-content", "sponsor"])
+def test_notices_and_adverts_go(words):
+    assert main_text(f'<article><p>One</p><div class="{words}">Two</div></article>') == "One"
+    assert main_text('<article><p>One</p><p class="sponsor">Two</p></article>') == "One\nTwo"
+
+
 def test_comments_in_an_article_go(spark):
     form = '<body><article><p>Text {i}</p><div class="comments"><p>{i} is longer than the text of the article is, by far</p></div></article></body>'
     assert many(spark, form) == [f"Text {parts(i)}" for i in range(10)]
@@ -205,3 +241,52 @@ def test_clashing_columns_nulls_and_an_empty_table(spark):
 
 def test_very_long_html(spark):
     assert [len(t) for t in texts(spark, [("a.example", "<body><article>" + "<p>word</p>" * 200_000 + "</article></body>")])] == [200_000 * 5 - 1]
+
+
+@pytest.mark.parametrize(("n", "kept"), [(1, True), (2, True), (3, False), (8, False)])
+def test_how_many_pages_show_a_template(spark, n, kept):
+    form = "<body><div><p>Our motto</p></div><div><p>Text {i}</p></div></body>"
+    assert many(spark, form, n) == ["Our motto\n" * kept + f"Text {parts(i)}" for i in range(n)]
+    copies = [("a.example", form.replace("{i}", "same"))] * n
+    assert texts(spark, copies) == ["Our motto\nText same"] * n
+
+
+# ---- against literal occurrence vectors, on the given pages
+
+
+def chrome(host, article, named=False):
+    """A page of a host without any telling name but, if named, the article's."""
+    tag = "article" if named else "div"
+    return f"<body><div><p>Welcome to {host}</p><p>Call us</p></div><{tag}>{article}</{tag}><div><p>All rights of {host}</p></div></body>"
+
+
+def given(sf_dir):
+    """(page_id, host, what is in the article) of the pages table."""
+    pages = ds.dataset(f"{sf_dir}/pages.parquet").to_table().to_pydict()
+    return [(i, re.match("[a-z]+://([^/]*)", u)[1], re.search("<article>(.*)</article>", h, re.S)[1]) for i, u, h in zip(pages["page_id"], pages["url"], pages["html"], strict=True)]
+
+
+def literal(sources, certain):
+    """The texts of a host's pages, by whole vectors: for each text in its place, how often it is on each different page."""
+    blocks = [[" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1|div)>", s[6:-7])] for s in sources]
+    raws = [[(len(re.findall("<div>", s[: m.start()])), " ".join(t.split())) for m in re.finditer("[^<>]+(?=<)", s) if (t := m[0]).strip()] for s in sources]
+    different = list({tuple(r): None for r in raws})
+    vectors = {t: [r.count(t) for r in different] for r in different for t in r}
+    own = {t for t, v in vectors.items() if 100 * (sum(map(bool, v)) + 1) >= certain * (len(v) + 2) and 10 * sum(x == 1 for x in v) >= 9 * sum(map(bool, v))}
+    chromes = {t for _, t in own}
+    return ["\n".join(b for b in found if b and b not in chromes) for found in blocks]
+
+
+@pytest.mark.parametrize("certain", [75, 80, 90])
+def test_classes_against_literal_vectors(spark, sf_dir, certain):
+    """The given articles in elements without names: what the vectors of their hosts show to be the template's goes, all else stays."""
+    rows = [(i, h if certain < 90 else "one.example", a) for i, h, a in given(sf_dir)]
+    pages = spark.createDataFrame([(i, f"https://{h}/{i}", chrome(h, a)) for i, h, a in rows], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extraction.extract(pages, certain).collect()}
+    want, by_host = {}, {}
+    for i, h, a in rows:
+        by_host.setdefault(h, []).append((i, chrome(h, a)))
+    for found in by_host.values():
+        want |= dict(zip([i for i, _ in found], literal([s for _, s in found], certain), strict=True))
+    assert got == want
+    assert any("All rights" in t for t in got.values()) and any("All rights" not in t for t in got.values())
