@@ -430,6 +430,58 @@ def agg_objects(states: DataFrame, signal: str, how: str | dict[str, str], tick:
     return rows.groupBy(tick).agg(*[_aggregate(signal, x).alias(name) for name, x in wanted.items()])
 
 
+#: Ticks of a block, as a power of two: longer blocks are cut into such before they become ticks, so no row makes more.
+BLOCK_LEVEL = 12
+
+
+def agg_at_ticks(objs: ObjectSet, signal: str, how: str | dict[str, str], time: str, step: int, end: int, zero: int = 0, tick: str = "tick") -> DataFrame:
+    """(tick, value): agg_objects() of what objects hold at the ticks zero + step, zero + 2 step ... up to end of a shared clock, without their states.
+
+    An object between two rows holds a value for a range of ticks, which is cut into aligned blocks of 1, 2, 4 ... ticks, at
+    most two of each length. Blocks are added up over all objects first and become ticks only then, so rows are versions and ticks, each
+    times a logarithm, and not objects times ticks. For aggregates that can be added up in parts: count, sum, min, max, avg, bool_and, bool_or.
+    As with state_at(), an update at the time of a tick counts, of updates at one time the last one, and an object that has
+    ended by then does not. Null values count for nothing; a tick at which no object is alive has no row; rows without a time are no updates.
+    """
+    wanted = {"value": how} if isinstance(how, str) else how
+    if unknown := set(wanted.values()) - {"count", "sum", "min", "max", "avg", "bool_and", "bool_or"}:
+        raise ValueError(f"{sorted(unknown)} cannot be added up in parts; take agg_objects()")
+    last = (end - zero) // step
+    order = [time, *(c for c in objs.order if c != time)]
+    w = Window.partitionBy(*objs.keys).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    gone = F.lit(False) if objs.ends is None else F.max(objs.ends).over(so_far)
+    updates = objs.rows.where(F.col(time).isNotNull())
+    held = updates.select(F.last(signal, ignorenulls=True).over(so_far).alias("_value"), F.col(time).cast("bigint").alias("_lo"), F.lead(time).over(w).cast("bigint").alias("_hi"), gone.alias("_gone")).where("not _gone")
+
+    def number(at: str) -> Column:  # of the first tick from this time on, in whole numbers
+        return F.expr(f"(`{at}` - {zero} - pmod(`{at}` - {zero}, {step})) div {step} + if(pmod(`{at}` - {zero}, {step}) > 0, 1, 0)")
+
+    after = F.least(F.coalesce(number("_hi"), F.lit(last + 1)), F.lit(last + 1))
+    ranges = held.select("_value", F.greatest(number("_lo"), F.lit(1)).cast("bigint").alias("_a"), after.cast("bigint").alias("_b")).where("_a < _b")
+    levels = max(last + 1, 1).bit_length()
+    blocks = F.expr(f"""flatten(transform(sequence(0, {levels - 1}), l -> filter(array(
+        struct(l AS level, shiftright(_a + shiftleft(1L, l) - 1, l) AS block, shiftright(_a + shiftleft(1L, l) - 1, l) % 2 = 1 AS odd),
+        struct(l AS level, shiftright(_b, l) - 1 AS block, shiftright(_b, l) % 2 = 1 AS odd)),
+        x -> x.odd AND shiftright(_a + shiftleft(1L, l) - 1, l) < shiftright(_b, l))))""")
+    parts = ranges.select("_value", F.explode(blocks).alias("_x")).select("_value", "_x.level", "_x.block")
+    sums = {"sum", "avg"} & set(wanted.values())
+    own = {"_n": F.count("_value"), "_min": F.min("_value"), "_max": F.max("_value")} | ({"_sum": F.sum("_value")} if sums else {})
+    more = {"_n": F.sum("_n"), "_min": F.min("_min"), "_max": F.max("_max")} | ({"_sum": F.sum("_sum")} if sums else {})
+    added = parts.groupBy("level", "block").agg(*[x.alias(c) for c, x in own.items()])
+
+    def cut(frame: DataFrame, level: Column) -> DataFrame:
+        """Blocks as rows of their blocks of this level."""
+        first, width = F.expr("shiftleft(block, level - _to)"), F.expr("shiftleft(1L, level - _to)")
+        return frame.withColumn("_to", level).select("*", F.explode(F.sequence(first, first + width - 1)).alias("_block")).drop("level", "block").withColumnsRenamed({"_to": "level", "_block": "block"})
+
+    short = cut(added, F.least(F.col("level"), F.lit(BLOCK_LEVEL))).groupBy("level", "block").agg(*[x.alias(c) for c, x in more.items()])
+    ticks = cut(short, F.lit(0)).groupBy("block").agg(*[x.alias(c) for c, x in more.items()])
+    of = {"count": "_n", "sum": "_sum", "min": "_min", "max": "_max", "bool_and": "_min", "bool_or": "_max"}
+    found = [(F.col("_sum").cast("double") / F.when(F.col("_n") > 0, F.col("_n")) if x == "avg" else F.col(of[x])).alias(name) for name, x in wanted.items()]
+    return ticks.select((F.col("block") * step + zero).alias(tick), *found)
+
+
 def _aggregate(signal: str, how: str) -> Column:
     name, _, more = how.partition(":")
     if name == "percentile":

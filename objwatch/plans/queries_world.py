@@ -300,8 +300,28 @@ def truth_intervals(spark, sf):
 
 @query("agg_objects", f"WITH {AT_TICK} SELECT tick, count(value) AS n, max(value) AS top, round(avg(value), 4) AS mean FROM st GROUP BY tick")
 def agg_objects(spark, sf):
-    o = users(spark, sf, "value")
-    ticks = activation.ticks_of_objects(o, "us", every("1d").step(), end_cycle(trace(spark, sf), "us") - 1, ZERO)
-    states = activation.state_at(o, ticks, "us", ["value"])
-    found = quantify.agg_objects(states, "value", {"n": "count", "top": "max", "mean": "avg"})
+    """Over blocks of ticks: no row for each user and tick."""
+    found = quantify.agg_at_ticks(users(spark, sf, "value"), "value", {"n": "count", "top": "max", "mean": "avg"}, "us", *_days(spark, sf))
     return found.select("tick", "n", "top", F.round("mean", 4).alias("mean"))
+
+
+def _days(spark, sf):
+    """Period, end and zero of a daily clock."""
+    return every("1d").step(), end_cycle(trace(spark, sf), "us") - 1, ZERO
+
+
+@query("agg_objects_median", f"WITH {AT_TICK} SELECT tick, round(median(value), 4) AS middle, round(quantile_cont(value, 0.9), 4) AS high FROM st GROUP BY tick")
+def agg_objects_median(spark, sf):
+    """What cannot be added up in parts needs the state of each user at each tick."""
+    o = users(spark, sf, "value")
+    states = activation.state_at(o, activation.ticks_of_objects(o, "us", *_days(spark, sf)), "us", ["value"])
+    found = quantify.agg_objects(states, "value", {"middle": "median", "high": "percentile:0.9"})
+    return found.select("tick", F.round("middle", 4).alias("middle"), F.round("high", 4).alias("high"))
+
+
+@query("agg_objects_ended", f"WITH {E}, p AS (SELECT *, coalesce(sum(CASE WHEN error > 100 THEN 1 ELSE 0 END) OVER ({BY_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life, coalesce(error > 100, false) AS ends FROM e), v AS (SELECT us AS lo, CASE WHEN ends THEN us ELSE coalesce(lead(us) OVER w, (SELECT max(us) + 1 FROM e)) END AS hi, last_value(purchase IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS purchase FROM p WINDOW w AS (PARTITION BY user_id, life ORDER BY us, cycle)), k AS (SELECT unnest(range({ZERO} + {DAY}, (SELECT max(us) FROM e) + 1, {DAY})) AS tick) SELECT tick, count(purchase) AS n, min(purchase) AS least, max(purchase) AS most, round(sum(purchase), 2) AS total FROM k JOIN v ON lo <= tick AND tick < hi GROUP BY tick")
+def agg_objects_ended(spark, sf):
+    """Over users of whom some end, and hold nothing from then on."""
+    o = users(spark, sf, "purchase", "error").ending(F.col("error") > 100)
+    found = quantify.agg_at_ticks(o, "purchase", {"n": "count", "least": "min", "most": "max", "total": "sum"}, "us", *_days(spark, sf))
+    return found.select("tick", "n", "least", "most", F.round("total", 2).alias("total"))
