@@ -27,17 +27,25 @@ class _Parts:
         self.stream = live_source(spark, "parquet", self.rows.schema, path=self.path)
 
     def run(self, writer, close=False):
-        """Write each part and run the stream over it, always on the writer's checkpoint; all files of a part are one batch.
+        """Write each part and run the stream over it, always on the writer's checkpoint; all files of a part are one batch. The progress of all batches.
 
         close: at last, a row of no object, far behind all others, brings the watermark past them.
         """
+        progress = []
+
+        def drain():
+            running = writer.trigger(availableNow=True).start()
+            running.awaitTermination()
+            progress.extend(running.recentProgress)
+
         for part in self.parts:
             self.rows.where(part).repartitionByRange("us").sortWithinPartitions(F.xxhash64("cycle")).write.mode("append").parquet(self.path)
-            writer.trigger(availableNow=True).start().awaitTermination()
+            drain()
         if close:
             end = F.coalesce(F.max("ts"), F.lit("2000-01-01").cast("timestamp")) + F.expr("INTERVAL 1000 DAYS")
             self.rows.agg(end.alias("ts")).select(*[F.col("ts") if c == "ts" else F.lit(None).cast(kind).alias(c) for c, kind in self.rows.dtypes]).write.mode("append").parquet(self.path)
-            writer.trigger(availableNow=True).start().awaitTermination()
+            drain()
+        return progress
 
 
 def _result(spark, parts, frame, name):
@@ -161,6 +169,21 @@ def stream_late(spark, sf):
     return spark.read.parquet(f"{sink}/late").select("cycle", "user_id")
 
 
+@query("stream_late_counts", f"WITH {E}, l AS (SELECT *, cycle % 10 = 3 AND us <= (SELECT max(us) // 1000 * 1000 - {24 * HOUR} FROM e WHERE cycle % 10 <> 3) AS late FROM e) SELECT count(*) AS rows, count(*) FILTER (late) AS dropped, count(*) FILTER (NOT late) AS kept, count(DISTINCT user_id) FILTER (NOT late) AS users FROM l")
+def stream_late_counts(spark, sf):
+    """What the engine counts as arrived and as dropped behind the watermark, beside what objects in keyed state have seen."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    parts = _Parts(spark, sf, "cycle % 10 <> 3", "cycle % 10 = 3")
+    states = monitor.object_stream(monitor.counted(parts.stream, "ts"), "user_id", "ts", "cycle", "value", "24 hours")
+    sink = scratch(spark, "kept")
+    progress = parts.run(states.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "kept-log")), close=True)
+    counts = monitor.batch_counts(spark, progress)
+    kept = spark.read.schema(states.schema).parquet(sink).where("kind = 'event'")
+    closing = 1  # the row of no object
+    total = counts.agg((F.sum("rows") - closing).alias("rows"), F.sum("dropped").alias("dropped"))
+    return total.crossJoin(kept.agg(F.count(F.lit(1)).alias("kept"), F.countDistinct("key").alias("users")))
+
+
 @query("stream_tick_local", f"WITH {E}, p AS (SELECT * FROM e WHERE {PASSED}), u AS (SELECT user_id, min(us) AS start FROM p GROUP BY user_id), k AS (SELECT user_id, unnest(range(start + {5 * DAY}, (SELECT max(us) // 1000 * 1000 - {HOUR} FROM e), {5 * DAY})) AS tick FROM u) SELECT k.user_id, k.tick, (SELECT arg_max(x.value, x.cycle) FROM e x WHERE x.user_id = k.user_id AND x.us <= k.tick) AS last FROM k")
 def stream_tick_local(spark, sf):
     states = _objects(spark, sf, step_ms=5 * DAY // 1000)

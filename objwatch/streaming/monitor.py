@@ -1,6 +1,6 @@
 """The monitor on streams: rules over keyed state (lives.py), and late rows. Quantified rules are in world.py.
 
-Rows behind the watermark never reopen a cycle: Spark drops and counts them, and late_batches() keeps them apart.
+Rows behind the watermark never reopen a cycle: Spark drops and counts them; batch_counts() gives these counts, and late_batches() keeps the rows apart.
 """
 
 from __future__ import annotations
@@ -51,6 +51,28 @@ def late_batches(spark: SparkSession, path: str, ts: str, delay: str, sink: str)
     return run
 
 
+def counted(stream: DataFrame, ts: str, name: str = "arrivals") -> DataFrame:
+    """The stream, which counts its rows and notes their latest time by batch, for batch_counts(). To be called on what arrives."""
+    return stream.observe(name, F.count(F.lit(1)).alias("rows"), F.unix_micros(F.max(ts)).alias("latest"))
+
+
+def batch_counts(spark: SparkSession, progress: list, name: str = "arrivals") -> DataFrame:
+    """(batch, rows, dropped, latest, watermark): what each batch of a stream that was counted() took in, and how many rows behind the watermark the engine has dropped.
+
+    progress is what a query that keeps state gives as recentProgress (of its last batches, a hundred unless
+    spark.sql.streaming.numRecentProgressUpdates says otherwise), or what a listener has gathered. A batch that is there twice counts once, as it was
+    last; one without rows, which only moves the watermark on, has no latest time.
+    """
+    found = {}
+    for p in progress:
+        seen = p.observedMetrics.get(name)
+        dropped = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        if seen is not None or dropped or p.batchId not in found:
+            found[p.batchId] = (p.batchId, seen["rows"] if seen else 0, dropped, seen["latest"] if seen else None, p.eventTime.get("watermark"))
+    counts = spark.createDataFrame(list(found.values()), "batch bigint, rows bigint, dropped bigint, latest bigint, watermark string")
+    return counts.withColumns({"latest": F.timestamp_micros("latest"), "watermark": F.to_timestamp("watermark")})
+
+
 def tick_windows(states: DataFrame, step: str) -> DataFrame:
     """Ticks of all objects grouped by the shared clock, for rules that count over objects."""
     return states.where("kind = 'tick'").groupBy(F.window("ts", step), "ts").agg(F.count(F.lit(1)).alias("objects"), F.max("last").alias("most"), F.min("last").alias("least")).drop("window")

@@ -33,7 +33,7 @@ def test_streams_of_several_files(spark, tmp_path, monkeypatch):
     folder, duck = written(tmp_path, [(i % 3, float(i * 37 % 301)) for i in range(900)])
     made = []
     run = queries_stream._Parts.run
-    monkeypatch.setattr(queries_stream._Parts, "run", lambda self, writer: (made.append(self), run(self, writer))[1])
+    monkeypatch.setattr(queries_stream._Parts, "run", lambda self, *args, **more: (made.append(self), run(self, *args, **more))[1])
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         for name in ("stream_state", "stream_late", "stream_world"):

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from objwatch.streaming import lives
 from objwatch.streaming.lives import Clock, Let, LifeProcessor, Objects
@@ -184,3 +185,23 @@ def test_nothing_is_left_of_objects_that_are_gone():
     kinds = [k for made in p.handleExpiredTimer((1,), Times(50), None) for k in made["kind"]]
     assert kinds == ["event", "tick", "tick", "end"]
     assert not (p.waiting or p.chunks or p.held or p.due or p.timer or handle.timers)
+
+
+# ---- counts of the engine
+
+
+def test_batch_counts(spark):
+    """A batch that is reported twice counts once; one without rows has no latest time."""
+    from types import SimpleNamespace as N
+
+    from objwatch.streaming import monitor
+
+    def progress(batch, rows, dropped, latest, mark="2024-01-01T00:00:00.000Z"):
+        seen = {} if rows is None else {"arrivals": {"rows": rows, "latest": latest}}
+        return N(batchId=batch, observedMetrics=seen, stateOperators=[N(numRowsDroppedByWatermark=d) for d in dropped], eventTime={"watermark": mark} if mark else {})
+
+    found = monitor.batch_counts(spark, [progress(0, 5, [0], 1_000_000, None), progress(1, None, [0], None), progress(2, 4, [3, 1], 2_500_000), progress(2, None, [0], None), progress(3, 2, [], None)])
+    got = [(r["batch"], r["rows"], r["dropped"], r["latest"]) for r in found.select("batch", "rows", "dropped", F.unix_micros("latest").alias("latest")).orderBy("batch").collect()]
+    assert got == [(0, 5, 0, 1_000_000), (1, 0, 0, None), (2, 4, 4, 2_500_000), (3, 2, 0, None)]
+    assert [r[0] is None for r in found.orderBy("batch").select("watermark").collect()] == [True, False, False, False]
+    assert monitor.batch_counts(spark, []).count() == 0
