@@ -66,3 +66,10 @@ def test_waiting_rows_are_merged_by_time(monkeypatch):
     assert [tuple(r.values()) for t in tables for r in t.to_pylist()] == sorted(r for r in rows if r[0] < 3333) and min(later) == 3333
     assert max(map(len, tables)) <= 5 * 256
     assert [tuple(r.values()) for t in p._ready(9999, []) for r in t.to_pylist()] == sorted(r for r in rows if r[0] >= 3333) and not p.waiting and not p.chunks
+
+
+def test_aggregates_and_counts_of_an_empty_trace(spark, tmp_path):
+    folder, duck = written(tmp_path, [])
+    for name in ("agg_objects", "agg_objects_ended", "agg_objects_median", "stream_late_counts"):
+        got = catalog.QUERIES[name](spark, folder)
+        assert sorted(map(tuple, got.collect())) == sorted(duck.sql(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()), name
