@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from objwatch.llm.common import cut_lineage, map_batches, table
@@ -32,6 +32,8 @@ RUN_CACHE, WORD_CACHE, LONGEST = 150_000, 50_000, 64
 BLOCK_BYTES = 1 << 20
 #: Rows of one length that one window of ranks holds, about.
 RANK_ROWS = 2_000
+#: And such windows of one length whose sizes are added up together.
+RANK_SHARDS = 2_048
 
 
 #: Letters of words that are parts by themselves: Latin ones with one lower case each. And ASCII symbols but the apostrophe, which begins tokens with letters.
@@ -341,13 +343,21 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 
 def _ranked(pieces: DataFrame) -> DataFrame:
-    """Add rank, from 0, among the pieces of one length. _n numbers the pieces; no window holds much more than RANK_ROWS rows of a length, whatever their ids."""
+    """Add rank, from 0, among the pieces of one length. _n numbers the pieces; no window holds much more than RANK_ROWS rows of a length, whatever their ids.
+
+    What is before a shard is added up in two levels, so that the one window by length alone sees a row for some four million pieces.
+    """
     per_length = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("_of"))  # at most `capacity` rows
     shard = F.pmod(F.xxhash64("_n"), F.floor(F.col("_of") / RANK_ROWS) + 1)
     sharded = pieces.join(F.broadcast(per_length), "length").withColumn("_shard", shard)
-    sizes = sharded.groupBy("length", "_shard").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.sum("_size").over(Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).select("length", "_shard", "_before")
+    sizes = sharded.groupBy("length", "_shard").agg(F.count(F.lit(1)).alias("_size")).withColumn("_coarse", F.floor(F.col("_shard") / RANK_SHARDS))
+
+    def before(order: str, *keys: str) -> Column:
+        return F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    tops = sizes.groupBy("length", "_coarse").agg(F.sum("_size").alias("_size")).select("length", "_coarse", before("_coarse", "length").alias("_outside"))
+    inside = sizes.select("length", "_coarse", "_shard", before("_shard", "length", "_coarse").alias("_inside"))
+    starts = inside.join(tops, ["length", "_coarse"]).select("length", "_shard", (F.col("_inside") + F.col("_outside")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("length", "_shard").orderBy("doc_id", "piece", "ids_crc32", "_n")) - 1
     return sharded.withColumn("_own", own).join(starts, ["length", "_shard"]).withColumn("rank", F.col("_before") + F.col("_own")).drop("_of", "_shard", "_own", "_before", "_n")
 

@@ -214,6 +214,22 @@ def test_pieces_without_ids_are_dealt_to_many_windows(spark):
     assert len(got) == 5000 and not got.duplicated(["sequence_id", "offset"]).any() and got.sequence_id.nunique() == -(-5000 // (2048 // 3))
 
 
+def test_shards_of_ranks_are_added_up_in_groups(spark, monkeypatch):
+    """Ranks within each length are 0, 1, 2 ... without gaps, over many shards and many groups of them."""
+    monkeypatch.setattr(packing, "RANK_ROWS", 10)
+    monkeypatch.setattr(packing, "RANK_SHARDS", 3)
+    pieces = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).alias("start"), F.when(F.col("id") % 10 == 0, 7).otherwise(2048).alias("length"), F.lit(1).alias("ids_crc32"), F.col("id").alias("_n"))
+    got = packing._ranked(pieces).toPandas()
+    for n, found in ((300, got[got.length == 7]), (2700, got[got.length == 2048])):
+        assert sorted(found["rank"]) == list(range(n))
+
+
+def test_redaction_of_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "write to a@b.co now"), (3, "write to a@b.co now"), (None, "a@b.co"), (4, "x" * 100_000 + " a@b.co")]
+    got = Counter((r["doc_id"], r["text"]) for r in pii.redact(frame(spark, rows)).collect())
+    assert got == Counter((i, t and t.replace("a@b.co", "******")) for i, t in rows)
+
+
 # ---- language and quality
 
 
