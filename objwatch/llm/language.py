@@ -163,7 +163,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Null, empty and letterless texts are `und` with score 0, as is any text if the model has seen
     no language. The score is the ridge estimate for the language chosen, held between 0 and 1.
-    Ties go to the first language in order of name. Rows are independent; other columns are ignored.
+    Ties go to the first language in order of name. A very long text is scored whole; what is kept of it is which of a
+    fixed number of slots its n-grams fill. Rows are independent, a null doc_id is carried; other columns are ignored.
     """
     names = np.array([*model.languages, UNKNOWN], object)
 

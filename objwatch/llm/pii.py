@@ -141,7 +141,11 @@ def find_pii(docs: DataFrame, kinds: list[Kind] = KINDS, threshold: float = THRE
 
 
 def redact(docs: DataFrame, mask: str = "*") -> DataFrame:
-    """docs with each code point of a span of find_pii() replaced by mask; lengths stay."""
+    """docs with each code point of a span of find_pii() replaced by mask; lengths stay.
+
+    A null text stays null, an empty one empty; spans may overlap. Rows are treated each by
+    itself, repeated ones and those without an id too. A text of any length is looked at whole. An existing column spans is replaced.
+    """
 
     def cover(text: Column, x: Column) -> Column:
         n = x["end"] - x["start"]

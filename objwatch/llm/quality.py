@@ -302,7 +302,8 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
     """docs and a column score (0 to 1): how likely label 1 is.
 
     Null counts as empty; an empty text is one cell of zero bytes and gets the score of that.
-    Rows are independent; an existing column score is replaced.
+    A very long text is scored whole, all of its chunks; texts are taken together up to BLOCK_BYTES, or a longer one by itself.
+    Rows are independent, repeated ones and those without an id too; an existing column score is replaced.
     """
     kept = [c for c in docs.columns if c != "score"]
     schema = docs.select(kept).schema.add("score", "double")

@@ -217,7 +217,8 @@ def padded(text: str | None) -> tuple[bytes, int]:
 def to_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text of docs(doc_id, text, ...) as a transport stream, and its bytes before padding.
 
-    Null counts as empty, which is one unit of padding. Repeated rows are streams each; a null doc_id is carried. Other columns are ignored.
+    Null counts as empty, which is one unit of padding. Repeated rows are streams each; a null doc_id is carried. A very long
+    text is one stream of as many access units as it takes, and is held once with its stream. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

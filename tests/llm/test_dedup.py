@@ -253,6 +253,25 @@ def test_hot_spans_are_dealt_to_many_keys(spark):
     assert got == plain_spans(rows, dedup) and sum(passage in t for t in got.values()) == 1
 
 
+def test_recall_on_runs_of_fifty_words(spark):
+    """Of the documents with 50 words in a row of an earlier one, nine in ten keep no such run."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    cleaned = {r["doc_id"]: r["text"] for r in substring.SpanDedup().clean(docs.select("doc_id", "text")).collect()}
+
+    def runs(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 50]) for i in range(len(words) - 49)}
+
+    seen, repeats, left = set(), 0, 0
+    for r in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        own = runs(r["text"])
+        again = own & seen
+        repeats += bool(again)
+        left += bool(again & runs(cleaned[r["doc_id"]]))
+        seen |= own
+    assert repeats > 50 and left <= 0.1 * repeats
+
+
 def test_sentences_join_to_the_text():
     long = "word, " * 100 + "x" * 5000 + " of many " * 70 + "\u3000a\u2003b " * 50
     for t in [long, "  " + long, long + "\n", "字。" * 90, "", "a", "a.b c. d", "...", ".\n.\n", "x! y? z", "\n\n a.  \n b", "1.5 is a number. So is 2.5."]:
