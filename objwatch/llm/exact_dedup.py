@@ -35,10 +35,11 @@ def sha256(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Run:
-    """A run's folder, and the bits of its filter."""
+    """A run's folder with its filter, the filter's bits, and the folder of its entries, which runs written together have beside each other."""
 
     path: str
     bits: int
+    entries: str
 
 
 class DigestIndex:
@@ -65,10 +66,9 @@ class DigestIndex:
         dealt = F.pmod(F.spark_partition_id(), F.lit(self.memtables)).alias("memtable")
         self.keyed(docs).select("digest", "doc_id", dealt).write.partitionBy("memtable").parquet(log)
         self.logs.append(log)
-        hits = []
-        for k in range(self.memtables):
-            rows = self._log(log).where(F.col("memtable") == k)
-            run = self._write(rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), 0)
+        entries = self._log(log).groupBy("memtable", "digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        hits = [self.entries().select("digest")]
+        for run in self._write(entries, 0):
             own = self.entries(run)
             hits.append(own.where("group_size > 1").select("digest"))
             hits += [self.probe(own, older) for level in self.levels for older in level]
@@ -83,29 +83,32 @@ class DigestIndex:
 
     def entries(self, *runs: Run) -> DataFrame:
         """Entries of these runs."""
-        read = self.spark.read.schema(ENTRY)
-        return read.parquet(*[f"{r.path}/entries" for r in runs])
-
-    def _write(self, entries: DataFrame, level: int) -> Run:
-        """A run of a level: each file a range of digests, in order, beside its filter."""
-        path = f"{self.path}/level-{level}/run-{self.made}"
-        self.made += 1
-        entries.repartitionByRange("digest").sortWithinPartitions("digest").write.parquet(f"{path}/entries")
-        run = Run(path, 1 << 16)
-        written = self.entries(run)
-        run = Run(path, filter_bits(written.count()))
-        membership_filter(written, "digest", run.bits).write.parquet(f"{path}/filter")
-        return run
+        paths = [r.entries for r in runs]
+        return self.spark.read.schema(ENTRY).parquet(*paths) if paths else self.spark.createDataFrame([], ENTRY)
+
+    def _write(self, entries: DataFrame, level: int) -> list[Run]:
+        """A run of a level for each memtable of entries, all in one pass: each file a range of digests, in order, beside its filter."""
+        folder = f"{self.path}/level-{level}/entries-{self.made}"
+        order = ["memtable", "digest"]
+        entries.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("memtable").parquet(folder)
+        written = self.spark.read.schema(f"{ENTRY}, memtable int").parquet(folder)
+        runs = []
+        for k, n in sorted((r["memtable"], r["count"]) for r in written.groupBy("memtable").count().collect()):
+            run = Run(f"{self.path}/level-{level}/run-{self.made}", filter_bits(n), f"{folder}/memtable={k}")
+            membership_filter(self.entries(run), "digest", run.bits).write.parquet(f"{run.path}/filter")
+            runs.append(run)
+            self.made += 1
+        return runs
 
     def _merged(self, runs: list[Run]) -> DataFrame:
-        return self.entries(*runs).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        return self.entries(*runs).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).withColumn("memtable", F.lit(0))
 
     def _merge_full_levels(self) -> None:
         for k, runs in enumerate(self.levels):
             if len(runs) >= self.fanout:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(self._write(self._merged(runs), k + 1))
+                self.levels[k + 1] += self._write(self._merged(runs), k + 1)
                 self.levels[k] = []
 
     def compact(self) -> DataFrame:
@@ -113,9 +116,8 @@ class DigestIndex:
         runs = [r for level in self.levels for r in level]
         if len(runs) > 1:
             depth = len(self.levels)
-            merged = self._write(self._merged(runs), depth)
-            self.levels = [[] for _ in range(depth)] + [[merged]]
-            runs = [merged]
+            runs = self._write(self._merged(runs), depth)
+            self.levels = [[] for _ in range(depth)] + [runs]
         return (self.entries(*runs) if runs else self.spark.createDataFrame([], ENTRY)).where("group_size > 1")
 
     def _log(self, *logs: str) -> DataFrame:
@@ -130,7 +132,7 @@ class DigestIndex:
         """Entries with one of these digests, over all runs; ranges and filters spare most files."""
         wanted = [bytearray(d) for d in digests]
         runs = [r for level in self.levels for r in level]
-        return self._merged(runs).where(F.col("digest").isin(wanted)) if runs else self.spark.createDataFrame([], ENTRY)
+        return self._merged(runs).drop("memtable").where(F.col("digest").isin(wanted)) if runs else self.spark.createDataFrame([], ENTRY)
 
 
 def _groups(docs: DataFrame, index: DigestIndex, earlier: DataFrame | None) -> tuple[DataFrame, DataFrame]:

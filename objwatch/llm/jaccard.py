@@ -240,8 +240,8 @@ class Join:
         links = self.links(docs, star, facts)
         label = connected(links)
         across = self._across(members, label, facts.drop("parity"))
-        if not across.isEmpty():
-            label = connected(links.unionByName(self.links(docs, across, facts)))
+        if not across.isEmpty() and not (more := self.links(docs, across, facts)).isEmpty():
+            label = connected(links.unionByName(more))
         named = reps.join(label, "id", "left").select("d0", "d1", F.coalesce("label", "id").alias("component_id"))
         out = rows.join(named, ["d0", "d1"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
@@ -282,21 +282,24 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars: each round hangs the neighbours of a node on the smallest
     of them, until all hang on the smallest of their component. Rounds grow with the logarithm of the size.
+    The driver keeps a record of each task, so a round has as few stages as it can, and none follows the last one to see that it was the last.
     """
     edges = edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u > v").distinct()
-    state = None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.selectExpr("inline(array(struct(u, v), struct(v AS u, u AS v)))")
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
         large = both.join(least, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").selectExpr("v AS u", "m AS v").union(low.selectExpr("u", "m AS v"))
+        small = large.join(low, "u").selectExpr("inline(array(struct(u, m AS v), struct(v AS u, m AS v)))").where("u > v")
         edges = cut_lineage(small.distinct())
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
+        if _are_stars(edges):
+            return edges.selectExpr("inline(array(struct(u AS id, v AS label), struct(v AS id, v AS label)))").distinct()
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node of edges (u, v), u > v, hangs on one other that hangs on none."""
+    ends = edges.selectExpr("inline(array(struct(u AS id, 1 AS hangs, 0 AS holds), struct(v AS id, 0 AS hangs, 1 AS holds)))")
+    return ends.groupBy("id").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 or hangs = 1 and holds = 1").isEmpty()
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

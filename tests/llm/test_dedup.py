@@ -303,3 +303,44 @@ def test_bands_of_sizes_part_no_pair(spark, percent):
     want = components(rows, 1, percent)
     got = jaccard.Join(1, percent).components(frame(spark, rows)).collect()
     assert {x["doc_id"]: x["component_id"] for x in got} == want
+
+
+def tasks_of(spark, group, run):
+    """What run() returns, and how many tasks its jobs had."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        sc.setJobGroup("", "")
+    known = sc.statusTracker()
+    stages = {s for j in known.getJobIdsForGroup(group) for s in known.getJobInfo(j).stageIds}
+    return out, sum(i.numCompletedTasks for s in stages if (i := known.getStageInfo(s)))
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """As many tasks as partitions, whatever the rows."""
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield 16
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_stars_take_one_round(spark, many_partitions):
+    """The driver keeps a record of each task: edges that one round settles have no second one."""
+    edges = spark.createDataFrame([(i, 10 * i + k) for i in range(1, 5) for k in range(10, 14)], "a bigint, b bigint").coalesce(1)
+    got, tasks = tasks_of(spark, "stars", lambda: {r["id"]: r["label"] for r in jaccard.connected(edges).collect()})
+    assert got == {**{i: i for i in range(1, 5)}, **{10 * i + k: min(j for j in range(1, 5) if 0 <= 10 * i + k - 10 * j - 10 < 4) for i in range(1, 5) for k in range(10, 14)}}
+    assert tasks <= 12 * many_partitions
+
+
+def test_a_flush_writes_its_runs_in_one_pass(spark, many_partitions):
+    docs = frame(spark, [(i, f"text {i % 30}") for i in range(40)]).repartition(4, "doc_id")
+    index = exact_dedup.DigestIndex(spark, memtables=4, fanout=9)
+    hits, tasks = tasks_of(spark, "flush", lambda: index.flush(docs))
+    assert hits.count() == 10 and len(index.levels[0]) == 4
+    assert tasks <= 18 * many_partitions
