@@ -56,3 +56,48 @@ def test_no_pairs_are_made(spark):
     for where in ({}, {"a": lambda x: x.uid % 2 == 0}):
         got = Alike(["a", "b"], o, lambda x: x.x.last(), where, end=4000).counts(t.select("cycle")).where("cycle = 3999").first()["n"]
         assert got == (4000 * 3999 // 2 if not where else sum(3999 - u for u in range(0, 4000, 2)))
+
+
+@pytest.mark.parametrize(("seed", "listed", "step"), [(0, 1024, 1), (1, 3, 1), (2, 5, 9000)])
+def test_witnesses_equal_joins(spark, seed, listed, step):
+    """Objects that end or not, null keys, conditions, cycles asked for twice or without objects, lists and blocks of a few cycles, and cycles far apart."""
+    from objwatch.operators.objects import objects
+
+    rows = trace(700 + seed, 80, 6)
+    t = frame(spark, rows).withColumn("cycle", F.col("cycle") * step)
+    end = (len(rows) - 1) * step + 1
+    asked = t.where("cycle % 3 <> 1").select("cycle").unionByName(t.where("cycle % 7 = 0").select("cycle")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS cycle"))
+    key = lambda x: F.floor(x.a.last() / 2)
+    some = lambda x: x.b.last(1.0) > 0
+    pair = lambda a, b: (key(a) == key(b)) & (a.uid < b.uid)
+    o = objects(t, "uid", ["a", "b"], ["cycle"])
+    o = o.ending(F.col("b") == 5) if seed else o
+    cases = [
+        (Alike(["a", "b"], o, key, {"a": some}, end=end), lambda a, b: pair(a, b) & some(a), "ab"),
+        (Alike(["a", "b", "c"], o, key, end=end), lambda a, b, c: pair(a, b) & pair(b, c), "abc"),
+    ]
+    for made, body, names in cases:
+        want = exists(body, dict.fromkeys(names, o), end=end).witnesses(asked)
+        got = made.witnesses(asked, listed)
+        assert got.schema["cycle"] == want.schema["cycle"] and set(got.columns) == set(want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) != []
+    assert made.witnesses(asked.where("cycle is null")).count() == 0
+
+
+def test_binding_witnesses_shuffles_no_pairs(spark, tmp_path):
+    """Two hundred users that hold the same to the end: 19,900 pairs, which were shuffled for each range of cycles that they last."""
+    from objwatch.plans import catalog
+
+    held = spark.range(200).selectExpr("id AS event_id", "id AS user_id", "'view' AS event_type", "150.5D AS value")
+    errors = spark.range(1, 61).selectExpr("id * 1000 AS event_id", "999L AS user_id", "'error' AS event_type", "5D AS value")
+    held.unionByName(errors).selectExpr("*", "timestamp_ntz'2024-01-02' AS ts", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    sc = spark.sparkContext
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = shuffled()
+    assert catalog.QUERIES["binding_witnesses"](spark, str(tmp_path)).count() == 60 * 19_900
+    assert sum(n for stage, n in shuffled().items() if stage not in before) < 10_000
