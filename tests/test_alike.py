@@ -101,3 +101,22 @@ def test_binding_witnesses_shuffles_no_pairs(spark, tmp_path):
     before = shuffled()
     assert catalog.QUERIES["binding_witnesses"](spark, str(tmp_path)).count() == 60 * 19_900
     assert sum(n for stage, n in shuffled().items() if stage not in before) < 10_000
+
+
+def test_keys_share_the_cycles_of_witnesses(spark, tmp_path):
+    """Three hundred pairs of users, each with a whole value of its own to the end, and 20,000 cycles, which were shuffled once for each value."""
+    from objwatch.plans import catalog
+
+    held = spark.range(600).selectExpr("id AS event_id", "id AS user_id", "'view' AS event_type", "CAST(100.5 + id % 300 AS DOUBLE) AS value")
+    errors = spark.range(20_000).selectExpr("1000 + id * 64 + xxhash64(id) % 32 AS event_id", "999L AS user_id", "'error' AS event_type", "5D AS value")
+    held.unionByName(errors).selectExpr("*", "timestamp_ntz'2024-01-02' AS ts", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    sc = spark.sparkContext
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = shuffled()
+    assert catalog.QUERIES["binding_witnesses"](spark, str(tmp_path)).count() == 300 * 20_000
+    assert sum(n for stage, n in shuffled().items() if stage not in before) < 1_200_000
